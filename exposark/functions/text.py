@@ -66,13 +66,14 @@ def clean_lines(text: Column) -> Column:
 def masked(text: Column) -> Column:
     """Text with addresses, cards and labelled credentials replaced by their kinds."""
     out = F.regexp_replace(text, EMAIL, "[EMAIL]")
-    out = F.regexp_replace(out, CARD, "[CARD]")
+    out = F.regexp_replace(out, WHOLE_CARD, "[CARD]")
     return F.regexp_replace(out, r"(?i)((?:password|passwd|pwd|secret|token|apikey|api_key)\s*[=:]\s*)\S+", "$1[SECRET]")
 
 
 # The detectors' patterns.
 EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 CARD = r"\b(?:\d[ -]?){15,16}\b"
+WHOLE_CARD = r"\b\d(?:[ -]?\d){14,15}\b"
 AADHAAR = r"\b[2-9]\d{3}\s?\d{4}\s?\d{4}\b"
 PAN = r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"
 PHONE = r"\b[6-9][0-9]{9}\b"

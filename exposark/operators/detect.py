@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from exposark.functions import text as T
 
 
-def _typed(kind: str, values: Column) -> Column:
+def typed(kind: str, values: Column) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
 
 
@@ -49,17 +49,17 @@ def labelled_ids(text: Column) -> Column:
 def document_findings(text: Column) -> Column:
     """The document profile: an array of (type, value)."""
     return F.concat(
-        _typed("email", emails(text)),
-        _typed("phone", phones(text)),
-        _typed("password", credentials(text)),
-        _typed("aadhaar", T.matches(text, T.AADHAAR)),
-        _typed("pan_card", T.matches(text, T.PAN)),
-        _typed("credit_card", cards(text)),
-        _typed("cvv", T.all_matches(text, T.CVV, 1)),
-        _typed("dob", F.slice(T.matches(text, T.DOB, 1), 1, 1)),
-        _typed("otp", otps(text)),
-        _typed("person_name", labelled_names(text)),
-        _typed("id_number", labelled_ids(text)),
+        typed("email", emails(text)),
+        typed("phone", phones(text)),
+        typed("password", credentials(text)),
+        typed("aadhaar", T.matches(text, T.AADHAAR)),
+        typed("pan_card", T.matches(text, T.PAN)),
+        typed("credit_card", cards(text)),
+        typed("cvv", T.all_matches(text, T.CVV, 1)),
+        typed("dob", F.slice(T.matches(text, T.DOB, 1), 1, 1)),
+        typed("otp", otps(text)),
+        typed("person_name", labelled_names(text)),
+        typed("id_number", labelled_ids(text)),
     )
 
 
@@ -70,15 +70,15 @@ def url_findings(text: Column, url: Column) -> Column:
     literals = ("true", "false", "null", "none", "undefined")
     secrets = F.filter(T.matches(text, r"(?i)\b(?:password|passwd|pwd)\s*[=:]\s*([^\s<>\"']{4,30})", 1), lambda v: ~F.lower(v).isin(*literals))
     every = F.concat(
-        _typed("email", T.matches(text, r"\b[A-Za-z0-9._%+\-]{2,}@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b")),
-        _typed("phone", T.matches(text, r"(?<!\d)[6-9][0-9]{9}(?!\d)")),
-        _typed("aadhaar", ids),
-        _typed("credit_card", numbers),
-        _typed("pan", T.matches(text, T.PAN)),
-        _typed("password", secrets),
-        _typed("otp", T.matches(text, T.OTP, 1)),
-        _typed("cvv", T.matches(text, r"(?i)\bcvv\b\D{0,20}(\d{3,4})", 1)),
-        F.when(F.startswith(F.lower(url), F.lit("http://")), _typed("http_only", F.array(url))).otherwise(F.array().cast("array<struct<type:string,value:string>>")),
+        typed("email", T.matches(text, r"\b[A-Za-z0-9._%+\-]{2,}@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b")),
+        typed("phone", T.matches(text, r"(?<!\d)[6-9][0-9]{9}(?!\d)")),
+        typed("aadhaar", ids),
+        typed("credit_card", numbers),
+        typed("pan", T.matches(text, T.PAN)),
+        typed("password", secrets),
+        typed("otp", T.matches(text, T.OTP, 1)),
+        typed("cvv", T.matches(text, r"(?i)\bcvv\b\D{0,20}(\d{3,4})", 1)),
+        F.when(F.startswith(F.lower(url), F.lit("http://")), typed("http_only", F.array(url))).otherwise(F.array().cast("array<struct<type:string,value:string>>")),
     )
     return every
 
@@ -90,14 +90,14 @@ def screen_findings(text: Column) -> Column:
     numbers = T.matches(text, r"(?<!\d)\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?!\d)")
     calls = F.filter(T.matches(text, r"(?<!\d)[6-9]\d{9}(?!\d)"), lambda p: ~F.exists(ids, lambda a: F.contains(T.digits(a), p)))
     return F.concat(
-        _typed("aadhaar", short(ids)),
-        _typed("pan", T.matches(text, r"(?<![A-Za-z])[A-Z]{5}[0-9]{4}[A-Z](?![A-Za-z])")),
-        _typed("credit_card", numbers),
-        _typed("email", T.matches(text, r"(?<!\w)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?!\w)")),
-        _typed("phone", calls),
-        _typed("password", short(T.matches(text, r"(?i)(?:password|passwd|pwd)\s*[:=-]\s*\S{4,}"))),
-        _typed("otp", short(T.matches(text, r"(?i)\botp\b.{0,30}?\d{4,8}"))),
-        _typed("dob", T.matches(text, r"\b\d{1,2}/\d{1,2}/(?:19\d{2}|200\d)\b")),
+        typed("aadhaar", short(ids)),
+        typed("pan", T.matches(text, r"(?<![A-Za-z])[A-Z]{5}[0-9]{4}[A-Z](?![A-Za-z])")),
+        typed("credit_card", numbers),
+        typed("email", T.matches(text, r"(?<!\w)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?!\w)")),
+        typed("phone", calls),
+        typed("password", short(T.matches(text, r"(?i)(?:password|passwd|pwd)\s*[:=-]\s*\S{4,}"))),
+        typed("otp", short(T.matches(text, r"(?i)\botp\b.{0,30}?\d{4,8}"))),
+        typed("dob", T.matches(text, r"\b\d{1,2}/\d{1,2}/(?:19\d{2}|200\d)\b")),
     )
 
 
@@ -106,7 +106,7 @@ def social_findings(texts: Column) -> Column:
     text = F.array_join(texts, "\n")
     cut = lambda values: F.transform(F.slice(values, 1, 3), lambda v: F.substring(v, 1, 200))
     sites = F.filter(T.matches(text, r"https?://[^\s\"'<>]+"), lambda v: ~v.rlike(r"(?i)//([a-z0-9-]+\.)*(twitter|x|linkedin|reddit|instagram|github|facebook|youtube)\.com"))
-    return F.concat(_typed("email", cut(T.matches(text, T.EMAIL))), _typed("phone", cut(T.matches(text, r"(?<!\d)(?:[6-9]\d{9}|\+?\d{1,3}[ -]\d{3}[ -]\d{3}[ -]\d{4})(?!\d)"))), _typed("website", cut(sites)))
+    return F.concat(typed("email", cut(T.matches(text, T.EMAIL))), typed("phone", cut(T.matches(text, r"(?<!\d)(?:[6-9]\d{9}|\+?\d{1,3}[ -]\d{3}[ -]\d{3}[ -]\d{4})(?!\d)"))), typed("website", cut(sites)))
 
 
 def metadata_findings(value: Column) -> Column:
