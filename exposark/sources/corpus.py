@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exposark.functions import tables
+from exposark.functions.text import stripped
 
 SCANNABLE = (".pdf", ".png", ".jpg", ".jpeg", ".txt", ".docx", ".doc", ".html", ".csv")
 AS_OF = "2024-01-31"
@@ -115,7 +116,7 @@ def html_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]*>", " ")
     for entity, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(c))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return stripped(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
 
 
 def decimal_degrees(degrees: Column, minutes: Column, seconds: Column, side: Column) -> Column:

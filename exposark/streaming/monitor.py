@@ -19,7 +19,7 @@ def frame_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def text_arrivals(spark: SparkSession, path: str) -> DataFrame:
     """Text files as they arrive in a folder; not in folders below it."""
-    return spark.readStream.option("wholetext", "true").option("recursiveFileLookup", "false").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.readStream.text(path, wholetext=True, recursiveFileLookup=False).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def session_counters(frames: DataFrame) -> DataFrame:
