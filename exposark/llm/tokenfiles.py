@@ -36,7 +36,7 @@ BLOCK = 1024
 CHUNK = 2 << 20
 #: Lanes that are coded in step.
 LANES = 4096
-SLOTS = 1 << 10
+SLOTS = 1 << 9
 RIGHT2, RIGHT1, RIGHT0, CLASS = 0, 1, 2, 3
 #: Ids of up to LOW_BITS bits are one class, the others one for each number of bits.
 LOW_BITS = 8
@@ -47,6 +47,17 @@ LARGEST_WEIGHT = 8
 TOP, BOTTOM, FULL = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
 REMEMBERED = 300_000
 HEAD = struct.Struct("<IIII")
+#: What a symbol's count grows by, and whole parts of 2^20 by the sum they are divided by.
+STEP = 24
+INVERSE = np.array([0] + [(1 << 20) // n for n in range(1, LARGEST_SUM + 2 * STEP)], np.int64)
+#: By twice the confidence, plus one if the guess was right: the next confidence, and whether the guess stays.
+NEXT_TRUST = np.array([1, 1, 1, 2, 1, 3, 2, 3], np.int64)
+STAYS = np.array([0, 1, 0, 1, 1, 1, 1, 1], bool)
+
+
+#: By symbol, the bits of an id that it leaves open.
+OPEN = np.array([0] * CLASS + [LOW_BITS, *range(LOW_BITS, LOW_BITS + SYMBOLS - CLASS - 1)])
+EIGHT = np.uint64(8)
 
 
 # --- the models ---------------------------------------------------------------------------------------------------------
@@ -57,9 +68,8 @@ class Models:
 
     def __init__(self, lanes: int) -> None:
         self.lane = np.arange(lanes)
-        self.ids = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
-        self.most, self.votes = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.seen = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]  # four times the id, plus the confidence
+        self.most, self.votes = np.zeros(lanes, np.int64), np.zeros(lanes, np.int32)
         self.counts = [np.ones((lanes * k, SYMBOLS), np.int32) for k in (1, CONFIDENCES, CONFIDENCES)]
         self.totals = [np.full(lanes * k, SYMBOLS, np.int32) for k in (1, CONFIDENCES, CONFIDENCES)]
         self.weights = np.full((lanes, 3), 2, np.int32)
@@ -69,10 +79,12 @@ class Models:
         """The running sums of the mixed counts of the first n lanes, (SYMBOLS + 1, n)."""
         one, two = self.before[0][:n], self.before[1][:n]
         base = self.lane[:n] * SLOTS
-        self.slots = [base + (one * 0x9E37 >> 6 & SLOTS - 1), base + ((one * 0x9E37 + two * 0x5BD1 >> 5) & SLOTS - 1)]
-        self.guess = [self.ids[k][self.slots[k]] for k in range(2)]
-        self.trust = [self.sure[k][self.slots[k]].astype(np.int64) for k in range(2)]
-        self.rows = [self.lane[:n], self.lane[:n] * CONFIDENCES + self.trust[0], self.lane[:n] * CONFIDENCES + self.trust[1]]
+        mixed_up = one * 0x9E37
+        self.slots = [base + (mixed_up >> 6 & SLOTS - 1), base + ((mixed_up + two * 0x5BD1) >> 5 & SLOTS - 1)]
+        seen = [self.seen[k].take(self.slots[k]) for k in range(2)]
+        self.guess, self.trust = [x >> 2 for x in seen], [x & 3 for x in seen]
+        first = self.lane[:n] * CONFIDENCES
+        self.rows = [self.lane[:n], first + self.trust[0], first + self.trust[1]]
         weights = self.weights[:n]
         mixed = self.counts[0][:n] * weights[:, :1]
         for k in (1, 2):
@@ -98,28 +110,39 @@ class Models:
     def update(self, ids: np.ndarray, symbols: np.ndarray) -> None:
         n = len(ids)
         lane = self.lane[:n]
-        foreseen = [c[r, symbols] * 4096 // t[r] for c, r, t in zip(self.counts, self.rows, self.totals, strict=True)]
-        best = np.where(foreseen[1] > foreseen[0], np.where(foreseen[2] > foreseen[1], 2, 1), np.where(foreseen[2] > foreseen[0], 2, 0))
-        self.weights[lane, best] += 1
-        over = np.flatnonzero(self.weights[lane, best] > LARGEST_WEIGHT)
-        self.weights[over] = (self.weights[over] + 1) // 2
+        foreseen = []
         for counts, totals, rows in zip(self.counts, self.totals, self.rows, strict=True):
-            counts[rows, symbols] += 24
-            totals[rows] += 24
-            full = rows[totals[rows] > LARGEST_SUM]
+            flat = counts.reshape(-1)
+            at = rows * SYMBOLS + symbols
+            count, total = flat.take(at), totals.take(rows)
+            foreseen.append(count * INVERSE.take(total))
+            flat[at] = count + STEP
+            total += STEP
+            totals[rows] = total
+            full = np.flatnonzero(total > LARGEST_SUM)
             if len(full):
-                counts[full] = (counts[full] + 1) >> 1
-                totals[full] = counts[full].sum(axis=1)
+                over = rows[full]
+                counts[over] = (counts[over] + 1) >> 1
+                totals[over] = counts[over].sum(axis=1)
+        best = (foreseen[1] > foreseen[0]).astype(np.int64)
+        best[foreseen[2] > np.maximum(foreseen[0], foreseen[1])] = 2
+        flat = self.weights.reshape(-1)
+        at = lane * 3 + best
+        weight = flat.take(at) + 1
+        flat[at] = weight
+        over = np.flatnonzero(weight > LARGEST_WEIGHT)
+        if len(over):
+            self.weights[over] = (self.weights[over] + 1) // 2
         for k in range(2):
-            slot, same, trust = self.slots[k], self.guess[k] == ids, self.trust[k]
-            keep = ~same & (trust > 1)
-            self.sure[k][slot] = np.where(same, np.minimum(trust + 1, CONFIDENCES - 1), np.where(keep, trust - 1, 1))
-            self.ids[k][slot] = np.where(same | keep, self.guess[k], ids)
-        same = ids == self.most[:n]
-        votes = self.votes[:n]
-        self.most[:n] = np.where(votes == 0, ids, self.most[:n])
-        self.votes[:n] = np.where((votes == 0) | same, votes + 1, votes - 1)
-        self.before[1][:n], self.before[0][:n] = self.before[0][:n].copy(), ids
+            state = self.trust[k] * 2 + (self.guess[k] == ids)
+            self.seen[k][self.slots[k]] = np.where(STAYS.take(state), self.guess[k], ids) << 2 | NEXT_TRUST.take(state)
+        votes, most = self.votes[:n], self.most[:n]
+        same = ids == most
+        none = votes == 0
+        most[none] = ids[none]
+        votes += np.where(same | none, 1, -1).astype(np.int32)
+        self.before[0], self.before[1] = self.before[1], self.before[0]
+        self.before[0][:n] = ids
 
 
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
@@ -142,49 +165,73 @@ def encode_lanes(matrix: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     """The blocks of the rows of a matrix of ids; lengths fall from row to row."""
     lanes, width = matrix.shape
     models = Models(lanes)
+    columns = np.ascontiguousarray(matrix.T.astype(np.int64))
+    chosen = np.zeros((width, lanes), np.int8)
     low, wide = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFF, np.uint64)
-    out, at = np.zeros((lanes, 2 * width + 16), np.uint8), np.zeros(lanes, np.int64)
-    raw, raw_at = np.zeros((lanes, 2 * width + 8), np.uint8), np.zeros(lanes, np.int64)
+    room = 2 * width + 16
+    out, at = np.zeros(lanes * room, np.uint8), models.lane * room
     for t in range(int(lengths[0]) if lanes else 0):
         n = int(np.searchsorted(-lengths, -t, side="left"))
-        ids = matrix[:n, t].astype(np.int64)
+        ids = columns[t, :n]
         sums = models.predict(n)
         symbols = models.symbols(ids)
-        lane = models.lane[:n]
-        share = wide[:n] // sums[-1].astype(np.uint64)
-        below = sums[symbols, lane]
-        low[:n] = low[:n] + below.astype(np.uint64) * share & FULL
-        wide[:n] = (sums[symbols + 1, lane] - below).astype(np.uint64) * share
-        due = _pull(low[:n], wide[:n])
+        chosen[t, :n] = symbols
+        part_low, part_wide = low[:n], wide[:n]
+        _narrow(sums, symbols, models.lane[:n], part_low, part_wide)
+        due = _pull(part_low, part_wide)
         while len(due):
-            out[due, at[due]] = (low[due] >> np.uint64(24)).astype(np.uint8)
-            at[due] += 1
-            low[due] = low[due] << np.uint64(8) & FULL
-            wide[due] = wide[due] << np.uint64(8) & FULL
-            part_low, part_wide = low[due], wide[due]
-            more = _pull(part_low, part_wide)
-            wide[due] = part_wide
+            x, r, place = low.take(due), wide.take(due), at.take(due)
+            out[place] = x >> EIGHT * np.uint64(3)
+            at[due] = place + 1
+            x, r = x << EIGHT & FULL, r << EIGHT & FULL
+            more = _pull(x, r)
+            low[due], wide[due] = x, r
             due = due[more]
-        spelled = np.flatnonzero(symbols >= CLASS)  # what is left of an id below its highest bit; all bits of a low one
-        bits = np.maximum(LOW_BITS, symbols[spelled] - CLASS + LOW_BITS - 1)
-        rest = ids[spelled] & ((1 << bits) - 1)
-        place = raw_at[spelled]
-        value = rest << (place & 7)
-        for k in range(3):
-            raw[spelled, (place >> 3) + k] |= (value >> 8 * k & 255).astype(np.uint8)
-        raw_at[spelled] += bits
         models.update(ids, symbols)
     for _ in range(4):
-        out[models.lane, at] = (low >> np.uint64(24)).astype(np.uint8)
+        out[at] = low >> EIGHT * np.uint64(3)
         at += 1
-        low = low << np.uint64(8) & FULL
+        low = low << EIGHT & FULL
+    raw, ends = _spelled(columns, chosen.astype(np.int64), lengths)
     blocks = []
     for k in range(lanes):
-        n, a, b = int(lengths[k]), int(at[k]), int(raw_at[k] + 7) // 8
-        blocks.append(HEAD.pack(n, a, b, zlib.crc32(matrix[k, :n].astype("<u4").tobytes())) + out[k, :a].tobytes() + raw[k, :b].tobytes())
+        n, a, b = int(lengths[k]), int(at[k]) - k * room, int(ends[k] + 7) // 8
+        blocks.append(HEAD.pack(n, a, b, zlib.crc32(matrix[k, :n].astype("<u4").tobytes())) + out[k * room : k * room + a].tobytes() + raw[k, :b].tobytes())
     return blocks
 
 
+def _narrow(sums: np.ndarray, symbols: np.ndarray, lane: np.ndarray, low: np.ndarray, wide: np.ndarray) -> None:
+    """Narrow each lane's range, in place, to its symbol's part."""
+    n = sums.shape[1]
+    flat = sums.reshape(-1)
+    at = symbols * n + lane
+    below, above = flat.take(at).astype(np.uint64), flat.take(at + n).astype(np.uint64)
+    share = wide // sums[-1].astype(np.uint64)
+    low += below * share
+    low &= FULL
+    np.multiply(above - below, share, out=wide)
+
+
+def open_bits(symbols: np.ndarray) -> np.ndarray:
+    """The bits of an id that its symbol leaves open."""
+    return OPEN.take(symbols)
+
+
+def _spelled(ids: np.ndarray, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The open bits of all ids, lane by lane, as bytes, and how many bits each lane has. ids and symbols: (width, lanes)."""
+    width, lanes = ids.shape
+    bits = np.where(np.arange(width)[:, None] < lengths[None, :], open_bits(symbols), 0)
+    ends = np.cumsum(bits, axis=0)
+    starts = ends - bits
+    room = 2 * width + 8
+    value = (ids & ((1 << bits) - 1)) << (starts & 7)
+    place = np.arange(lanes)[None, :] * room + (starts >> 3)
+    raw = np.zeros(lanes * room)
+    for k in range(3):  # no two ids share a bit, so sums are unions
+        raw += np.bincount((place + k).reshape(-1), (value >> 8 * k & 255).reshape(-1), lanes * room)
+    return raw.astype(np.uint8).reshape(lanes, room), ends[-1] if width else np.zeros(lanes, np.int64)
+
+
 def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """Ids below 2^17 as blocks end to end."""
     parts: list[bytes] = []
@@ -204,46 +251,48 @@ def decode_lanes(heads: list[tuple[int, int, int, int]], coded: list[bytes], raw
     lanes = len(heads)
     lengths = np.array([h[0] for h in heads])
     models = Models(lanes)
-    stream = np.zeros((lanes, max(map(len, coded)) + 8), np.uint8)
-    raw = np.zeros((lanes, max(map(len, raws)) + 8), np.uint8)
+    room, raw_room = max(map(len, coded)) + 16, max(map(len, raws)) + 8
+    stream, raw = np.zeros((lanes, room), np.uint8), np.zeros((lanes, raw_room), np.uint8)
     for k in range(lanes):
         stream[k, : len(coded[k])] = np.frombuffer(coded[k], np.uint8)
         raw[k, : len(raws[k])] = np.frombuffer(raws[k], np.uint8)
     low, wide = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFF, np.uint64)
     code = np.zeros(lanes, np.uint64)
     for k in range(4):
-        code = code << np.uint64(8) | stream[:, k]
-    at, raw_at = np.full(lanes, 4), np.zeros(lanes, np.int64)
-    matrix = np.zeros((lanes, int(lengths[0])), np.int32)
+        code = code << EIGHT | stream[:, k]
+    # three bytes from every place, so that open bits are one look-up
+    wide_raw = raw.reshape(-1).astype(np.int64)
+    wide_raw[:-2] |= wide_raw[1:-1] << 8 | raw.reshape(-1)[2:].astype(np.int64) << 16
+    wide_raw &= 0xFFFFFF
+    stream = stream.reshape(-1)
+    at, raw_at = models.lane * room + 4, models.lane * raw_room * 8
+    columns = np.zeros((int(lengths[0]), lanes), np.int64)
     for t in range(int(lengths[0])):
         n = int(np.searchsorted(-lengths, -t, side="left"))
         sums = models.predict(n)
-        lane = models.lane[:n]
-        share = wide[:n] // sums[-1].astype(np.uint64)
-        value = np.minimum(((code[:n] - low[:n] & FULL) // share).astype(np.int64), sums[-1] - 1)
-        symbols = (sums[1:] <= value).sum(axis=0)
-        ids = models.known(symbols).astype(np.int64)
-        spelled = symbols >= CLASS
-        bits = np.where(spelled, np.maximum(LOW_BITS, symbols - CLASS + LOW_BITS - 1), 0)
+        part_low, part_wide = low[:n], wide[:n]
+        value = ((code[:n] - part_low & FULL) // (part_wide // sums[-1].astype(np.uint64))).astype(np.int32)
+        np.minimum(value, sums[-1] - 1, out=value)
+        symbols = np.count_nonzero(sums[1:] <= value, axis=0)
+        ids = models.known(symbols)
         place = raw_at[:n]
-        word = raw[lane, place >> 3].astype(np.int64) | raw[lane, (place >> 3) + 1].astype(np.int64) << 8 | raw[lane, (place >> 3) + 2].astype(np.int64) << 16
-        ids = np.where(spelled, np.where(symbols > CLASS, 1 << bits, 0) + (word >> (place & 7) & ((1 << bits) - 1)), ids)
-        raw_at[:n] += bits
-        below = sums[symbols, lane]
-        low[:n] = low[:n] + below.astype(np.uint64) * share & FULL
-        wide[:n] = (sums[symbols + 1, lane] - below).astype(np.uint64) * share
-        due = _pull(low[:n], wide[:n])
+        bits = open_bits(symbols)
+        spelled = (wide_raw.take(place >> 3) >> (place & 7) & ((1 << bits) - 1)) + np.where(symbols > CLASS, 1 << bits, 0)
+        ids = np.where(symbols >= CLASS, spelled, ids)
+        place += bits
+        _narrow(sums, symbols, models.lane[:n], part_low, part_wide)
+        due = _pull(part_low, part_wide)
         while len(due):
-            code[due] = (code[due] << np.uint64(8) | stream[due, np.minimum(at[due], stream.shape[1] - 1)]) & FULL
-            at[due] += 1
-            low[due] = low[due] << np.uint64(8) & FULL
-            wide[due] = wide[due] << np.uint64(8) & FULL
-            part_low, part_wide = low[due], wide[due]
-            more = _pull(part_low, part_wide)
-            wide[due] = part_wide
+            x, r, where = low.take(due), wide.take(due), at.take(due)
+            code[due] = (code.take(due) << EIGHT | stream.take(where, mode="clip")) & FULL
+            at[due] = where + 1
+            x, r = x << EIGHT & FULL, r << EIGHT & FULL
+            more = _pull(x, r)
+            low[due], wide[due] = x, r
             due = due[more]
-        matrix[:n, t] = ids
+        columns[t, :n] = ids
         models.update(ids, symbols)
+    matrix = np.ascontiguousarray(columns.T.astype(np.int32))
     out = []
     for k, (n, _, _, crc) in enumerate(heads):
         row = matrix[k, :n]
