@@ -92,9 +92,9 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
     out = []
     joined = np.arange(n)
+    bits = values.view(np.uint64)  # of signed numbers, bitwise_count would count the bits of the absolute value
     for i in range(0, n, BLOCK):
-        block = values[i : i + BLOCK]
-        rows, columns = np.nonzero(np.bitwise_count(block[:, None] ^ values[None, :]) <= radius)
+        rows, columns = np.nonzero(np.bitwise_count(bits[i : i + BLOCK, None] ^ bits[None, :]) <= radius)
         rows += i
         keep = (rows < columns) & (joined[rows] != joined[columns])
         rows, columns = rows[keep], columns[keep]
@@ -153,8 +153,8 @@ def _bucket_links(masks: list[int], radius: int, largest: int) -> Callable:
 
 def links(nodes: DataFrame, radius: int = RADIUS, largest: int = LARGEST_BUCKET) -> DataFrame:
     """Links (a, b) between different fingerprints that connect exactly what lies within the radius. nodes: fp, each once."""
-    if radius > 4:
-        raise ValueError("large buckets are linked through neighbours within 2 bits, which holds up to a radius of 4")
+    if radius != 4:
+        raise ValueError("large buckets are linked through neighbours within 2 bits, which fits a radius of 4")
     masks = covering_masks(radius)
     spark = nodes.sparkSession
     keyed = nodes.select(F.posexplode(F.array(*map(F.lit, masks))).alias("i", "mask"), "fp")

@@ -277,7 +277,7 @@ def decode_lanes(heads: list[tuple[int, int, int, int]], coded: list[bytes], raw
         ids = models.known(symbols)
         place = raw_at[:n]
         bits = open_bits(symbols)
-        spelled = (wide_raw.take(place >> 3) >> (place & 7) & ((1 << bits) - 1)) + np.where(symbols > CLASS, 1 << bits, 0)
+        spelled = (wide_raw.take(place >> 3, mode="clip") >> (place & 7) & ((1 << bits) - 1)) + np.where(symbols > CLASS, 1 << bits, 0)
         ids = np.where(symbols >= CLASS, spelled, ids)
         place += bits
         _narrow(sums, symbols, models.lane[:n], part_low, part_wide)
@@ -346,7 +346,8 @@ class Tokens:
         self.split_latin = re.compile(latin).findall
         self.beyond_latin = re.compile(f"[^\x00-{chr(LATIN - 1)}]|[\x1c-\x1f\x85]").search
         self.newest = regex.compile(f"[{NEW_LETTERS}{NEW_NUMBERS}]").search
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
@@ -354,17 +355,31 @@ class Tokens:
         if any(s in text for s in self.special) or beyond and self.newest(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         pieces = (self.split if beyond else self.split_latin)(text)
-        found = list(map(self.known.get, pieces))
+        found = list(map(self.young.get, pieces))
         if None in found:
-            lacking = list({p for p, f in zip(pieces, found, strict=True) if f is None})
-            if len(self.known) + len(lacking) > REMEMBERED:
-                self.known.clear()
-                lacking = list(set(pieces))
-            for p in lacking:
-                self.known[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-            found = list(map(self.known.__getitem__, pieces))
+            found = [self.remember(p) if f is None else f for p, f in zip(pieces, found, strict=True)]
         return b"".join(found)
 
+    def remember(self, piece: str) -> bytes:
+        """The ids of a piece that the younger generation lacks; when that is full, it becomes the older one."""
+        found = self.young.get(piece) or self.old.get(piece)
+        if found is None:
+            found = np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young[piece] = found
+        return found
+
+
+_loaded: dict[str, Tokens] = {}
+
+
+def load(path: str) -> Tokens:
+    """The vocabulary of a file, loaded once in a worker; what it remembers serves all tasks of the worker."""
+    if path not in _loaded:
+        _loaded[path] = Tokens(path)
+    return _loaded[path]
+
 
 # --- files --------------------------------------------------------------------------------------------------------------
 
@@ -382,7 +397,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary_path: str | None = None, en
     vocabulary = vocabulary_path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(vocabulary)
+        tokens = load(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         first, chunk = 0, 0
