@@ -78,7 +78,7 @@ def find_secrets(text: str, encoding, max_chars_per_token: float = MAX_CHARS_PER
 
 
 def scan_secrets(docs: DataFrame, vocabulary_path: str | None = None, max_chars_per_token: float = MAX_CHARS_PER_TOKEN) -> DataFrame:
-    """doc_id, the count of each kind, a digest of the base spans, all spans, and the text with every secret masked by its kind."""
+    """doc_id, the count of each kind, a digest of the base spans, and all spans."""
     if vocabulary_path is None:
         import public_tokenizers
 
