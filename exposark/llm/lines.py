@@ -123,16 +123,27 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """The rows of docs with the text that is left, and n_lines (before) and n_dropped. Other columns stay."""
-    names = ["__doc", "__row", "__dropped", "__lines", "n_lines", "n_dropped"]
-    if clash := sorted(set(names) & set(docs.columns)):
-        raise ValueError(f"columns of these names are made here: {', '.join(clash)}")
-    drops = dropped_lines(docs, batches).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), F.col("dropped").alias("__dropped"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.join(drops, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64(text) == F.col("__row")), "left")
-    lines = joined.withColumn("__lines", split_lines(F.col("text"))).withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dropped", F.coalesce(F.size(F.col("__dropped")), F.lit(0)).cast("long"))
-    lines = lines.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)).cast("long"))
+    """The rows of docs with the text that is left, and n_lines (before) and n_dropped, which replace columns of these names. Other columns stay."""
+    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    return _left(docs, batches).select(*_columns(others + ["text"], docs.columns), "n_lines", "n_dropped")
+
+
+def without_dropped_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """The rows of docs with the text that is left, and no columns but those of docs, whatever their names."""
+    return _left(docs, batches).select(*_columns(docs.columns, docs.columns))
+
+
+def _columns(names: list[str], order: list[str]) -> list[Column]:
+    return [F.col("text") if c == "text" else F.col("own").getField(c).alias(c) for c in order if c in names]
+
+
+def _left(docs: DataFrame, batches: int) -> DataFrame:
+    """own (a struct of all columns but the text, so that their names meet no others), text, n_lines and n_dropped of each row."""
+    drops = dropped_lines(docs, batches)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("own"), F.col("text").cast("string").alias("text"))
+    joined = own.join(drops, (F.col("own.doc_id").cast("long") == F.col("doc_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("row")), "left")
+    counted = joined.withColumn("lines", split_lines(F.col("text"))).withColumn("n_lines", F.size("lines").cast("long")).withColumn("n_dropped", F.greatest(F.coalesce(F.size("dropped"), F.lit(0)), F.lit(0)).cast("long"))
     # array_except is linear in both arrays, unlike a search of one in the other for each line
-    left = F.transform(F.array_except(F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")), F.col("__dropped")), lambda i: F.get("__lines", i))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")), F.col("dropped")), lambda i: F.get("lines", i))
     kept = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
-    return lines.withColumn("text", kept).drop("__doc", "__row", "__dropped", "__lines")
+    return counted.select("own", kept.alias("text"), "n_lines", "n_dropped")

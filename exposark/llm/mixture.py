@@ -111,16 +111,18 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with the columns of docs. Documents without words are not taken."""
+    """The rows of docs, each as often as the mix takes it, with the columns of docs, whatever their names. Documents without words are not taken."""
     row = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     allotted = allot(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), row.alias("row")), weights, share, most)
     # repeated rows may differ in copies: they are dealt out by number, so that each copy goes to one row
     numbers = allotted.where("size > 0").groupBy("doc_id", "source", "row").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
     numbers = numbers.where("__copies > 0").select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("row").alias("__row"), "__copies", "__rows")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (row == F.col("__row"))
-    joined = docs.join(numbers, on)
+    packed = docs.select(F.struct("*").alias("own"))
+    own_row = F.xxhash64(F.coalesce(F.col("own.text"), F.lit("")))
+    on = F.col("own.doc_id").cast("long").eqNullSafe(F.col("__doc")) & F.col("own.source").cast("string").eqNullSafe(F.col("__source")) & (own_row == F.col("__row"))
+    joined = packed.join(numbers, on)
     each = Window.partitionBy("__doc", "__source", "__row").orderBy(F.lit(1))
     joined = joined.withColumn("__k", F.when(F.col("__rows") > 1, F.row_number().over(each)).otherwise(1))
     count = F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__k") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
     joined = joined.withColumn("__n", count.cast("int")).where("__n > 0")
-    return joined.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    return joined.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select("own.*")

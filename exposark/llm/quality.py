@@ -83,9 +83,9 @@ def text_stats(text: str) -> tuple:
     )
 
 
-def stats(docs: DataFrame) -> DataFrame:
-    """doc_id and STATS of each whole text."""
-    return map_texts(docs, lambda: text_stats, ", ".join(f"{x} long" for x in STATS))
+def stats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and STATS of each whole text, and the carried columns as strings."""
+    return map_texts(docs, lambda: text_stats, ", ".join(f"{x} long" for x in STATS), carry)
 
 
 #: What rules test: ratios of the statistics, so that they hold for texts of any length.
@@ -214,11 +214,21 @@ def describe(rules: list[list[Test]]) -> list[str]:
     return [" and ".join(f"{x.name} {'>' if x.over else '<='} {x.threshold:g}" for x in rule) for rule in rules]
 
 
-def judge(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
-    """doc_id, STATS, base_failed, the number of the rule that rejects the row (0: none), and kept."""
+def judge(docs: DataFrame, rules: list[list[Test]], carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, STATS, base_failed, the number of the rule that rejects the row (0: none), kept, and the carried columns as strings."""
     return (
-        stats(docs)
+        stats(docs, carry)
         .withColumn("base_failed", base_failed())
         .withColumn("rule", verdict(rules).cast("int"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
     )
+
+
+def kept_rows(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
+    """The rows of docs that the rules keep, with the columns of docs, whatever their names. Rows of one id, or of none, are judged each by its own text."""
+    row = lambda text: F.xxhash64(F.coalesce(text, F.lit("")))
+    judged = judge(docs.select("doc_id", "text", row(F.col("text")).alias("row")), rules, ("row",))
+    gone = judged.where(~F.col("kept")).select("doc_id", F.col("row").cast("long").alias("row")).distinct()
+    packed = docs.select(F.struct("*").alias("own"))
+    on = F.col("own.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (row(F.col("own.text")) == F.col("row"))
+    return packed.join(gone, on, "left_anti").select("own.*")

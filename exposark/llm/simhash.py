@@ -209,6 +209,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of docs that are the smallest of their component, one row for each such id. Rows with a null doc_id stay."""
     found = near_duplicates(docs, shingle, radius)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__doc")).distinct()
-    ids = docs.where("doc_id IS NOT NULL").join(first, F.col("doc_id").cast("long") == F.col("__doc"), "left_semi").dropDuplicates(["doc_id"])
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    packed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("own"))
+    ids = packed.join(first, "id", "left_semi").dropDuplicates(["id"]).select("own.*")
     return ids.unionByName(docs.where("doc_id IS NULL"))

@@ -221,3 +221,25 @@ def test_pipeline_plainly(spark):
     library = bpe.load(bpe.default_path())
     want = Counter((r["doc_id"], hashlib.sha256(" ".join(map(str, library.encode(r["text"]))).encode()).hexdigest()) for r in mixed.collect())
     assert Counter((r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, SF).collect()) == want
+
+
+CLASHING = ("own", "row", "id", "__doc", "__row", "__n", "n_lines", "n_dropped", "dropped", "size", "copies", "kept", "rule", "u", "bin")
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_clashing_names(spark, docs, stage):
+    """Extra columns of the names that the operators use themselves stay as they are and change nothing else."""
+    extra = docs.selectExpr("*", *(f"'{c}' AS `{c}`" for c in CLASHING))
+    plain, more = stage(spark, docs, SF), stage(spark, extra, SF)
+    shared = [c for c in plain.columns if c not in CLASHING]
+    key = lambda f: sorted(map(repr, f.select(*shared).collect()))
+    assert key(more) == key(plain)
+    if "text" in more.columns:
+        assert more.columns == extra.columns
+        assert all(r[c] == c for r in more.collect() for c in CLASHING)
+
+
+def test_quality_judges_rows_of_one_id_apart(spark):
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = spark.createDataFrame([(None, good), (None, "short"), (1, good), (1, "short"), (2, None)], "doc_id long, text string")
+    assert sorted(map(tuple, quality.kept_rows(rows, []).collect()), key=repr) == sorted([(1, good), (None, good)], key=repr)
