@@ -12,13 +12,12 @@ from exposark.llm.common import shared_dir
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     rules = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    judged = quality.judge(docs, rules).where(~F.coalesce("kept", F.lit(False))).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(judged, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti").select(*docs.columns)
+    return quality.kept_rows(docs, rules)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a document of a smaller id has; n_chars follows the text."""
-    out = lines.dedup_lines(docs).drop("n_lines", "n_dropped")
+    out = lines.without_dropped_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
