@@ -1,7 +1,7 @@
 """Byte-pair encoding by dynamic programming over prefixes, and decoding.
 
-For each prefix of a word exactly one token can be the last of its encoding. An automaton over the vocabulary lists the tokens
-that end at a prefix; a token is the last one if it starts the word, or if it may follow the last token of the prefix before
+For each prefix of a word exactly one token can be the last of its encoding. A suffix automaton of the vocabulary lists the tokens
+that end at a prefix, the longest first; a token is the last one if it starts the word, or if it may follow the last token of the prefix before
 it. Two tokens may stand beside each other if undoing their merges along the seam meets no merge that would have come first.
 The last tokens are back-pointers: followed from the whole word, they give the ids that applying the merges in order gives.
 
@@ -14,9 +14,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
@@ -44,6 +43,67 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class SuffixAutomaton:
+    """All substrings of a set of tokens; walked along a text, it lists the tokens that end at each place.
+
+    A state stands for the substrings that end at the same places within the tokens. Its longest one has length[state] characters, and its
+    link leads to the state of the longest suffix that ends at other places too. A token starts at a token's start, so nothing in its state
+    is longer, and the tokens that are suffixes of it are its state's ancestors.
+    """
+
+    def __init__(self, tokens: dict[str, int]) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        state = {"": 0}
+        # by length, so that what a state stands for grows by one character at a time
+        prefixes = sorted({t[:k] for t in tokens for k in range(1, len(t) + 1)}, key=lambda p: (len(p), p))
+        for prefix in prefixes:
+            state[prefix] = self._extended(state[prefix[:-1]], prefix[-1])
+        own: list[tuple[int, int, bool] | None] = [None] * len(self.link)
+        for token, value in tokens.items():
+            own[state[token]] = (value, len(token) - token.endswith(MARK), token.endswith(MARK))
+        #: By state: the tokens among its longest string's suffixes, the longest first; and those among shorter suffixes only.
+        self.ending: list[tuple] = [()] * len(self.link)
+        for v in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            above = self.ending[self.link[v]]
+            self.ending[v] = above if own[v] is None else (own[v], *above)
+
+    def _extended(self, last: int, symbol: str) -> int:
+        """The state of the string of state last with one more symbol."""
+        new = len(self.link)
+        self.next.append({})
+        self.length.append(self.length[last] + 1)
+        self.link.append(0)
+        at = last
+        while at >= 0 and symbol not in self.next[at]:
+            self.next[at][symbol] = new
+            at = self.link[at]
+        if at >= 0:
+            found = self.next[at][symbol]
+            if self.length[found] > self.length[at] + 1:  # only its shorter strings end here as well: they get a state of their own
+                whole, found = found, len(self.link)
+                self.next.append(dict(self.next[whole]))
+                self.length.append(self.length[at] + 1)
+                self.link.append(self.link[whole])
+                self.link[whole] = found
+                while at >= 0 and self.next[at].get(symbol) == whole:
+                    self.next[at][symbol] = found
+                    at = self.link[at]
+            self.link[new] = found
+        return new
+
+    def matches(self, text: str) -> Iterator[tuple[int, tuple]]:
+        """For each place of a text, the tokens that end there, the longest first: (value, length without MARK, whether it has MARK)."""
+        v, n = 0, 0
+        for place, symbol in enumerate(text):
+            while v and symbol not in self.next[v]:
+                v = self.link[v]
+                n = self.length[v]
+            if symbol in self.next[v]:
+                v, n = self.next[v][symbol], n + 1
+            yield place, self.ending[v if n == self.length[v] else self.link[v]] if v else ()
+
+
 class WordBpe:
     """The encoder and decoder of a vocabulary file whose words end with END, as the tokenizers library reads it."""
 
@@ -87,10 +147,7 @@ class WordBpe:
             self.halves.setdefault(r, (self.rank[own(a)], self.rank[own(b)]))
             self.merged.setdefault((self.rank[own(a)], self.rank[own(b)]), r)
         self.id_by_rank = {r: self.id_of[t] for t, r in self.rank.items()}
-        self.automaton = ahocorasick.Automaton()
-        for t, r in self.rank.items():
-            self.automaton.add_word(t, (r, len(t) - t.endswith(MARK), t.endswith(MARK)))
-        self.automaton.make_automaton()
+        self.automaton = SuffixAutomaton(self.rank)
         self.compatible: dict[int, bool] = {}
         self.young: dict[str, tuple[str, str]] = {}
         self.old: dict[str, tuple[str, str]] = {}
@@ -126,19 +183,21 @@ class WordBpe:
         compatible = self.compatible
         if len(compatible) > 1_000_000:
             compatible.clear()
-        for end, (r, length, marked) in self.automaton.iter(symbols + MARK):
-            at = end if marked else end + 1
-            if last[at] >= 0 or at == n and not marked:  # the last symbol of a word is always one with MARK
-                continue
-            start = at - length
-            if start:
-                pair = last[start] << 20 | r
-                holds = compatible.get(pair)
-                if holds is None:
-                    holds = compatible[pair] = self.pair_holds(last[start], r)
-                if not holds:
+        for end, tokens in self.automaton.matches(symbols + MARK):
+            for r, length, marked in tokens:
+                at = end if marked else end + 1
+                if at == n and not marked:  # the last symbol of a word is always one with MARK
                     continue
-            last[at], before[at] = r, start
+                start = at - length
+                if start:
+                    pair = last[start] << 20 | r
+                    holds = compatible.get(pair)
+                    if holds is None:
+                        holds = compatible[pair] = self.pair_holds(last[start], r)
+                    if not holds:
+                        continue
+                last[at], before[at] = r, start
+                break
         out = []
         while n > 0:
             out.append(self.id_by_rank[last[n]])

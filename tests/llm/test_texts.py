@@ -95,6 +95,14 @@ def word_bpe():
     return library, bpe.load(bpe.default_path())
 
 
+@given(st.lists(st.text("abc", min_size=1, max_size=5), min_size=1, max_size=12, unique=True), st.text("abcd", max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_automaton_lists_the_tokens_at_each_place(tokens, text):
+    automaton = bpe.SuffixAutomaton({t: i for i, t in enumerate(tokens)})
+    plainly = [[t for t in sorted(tokens, key=len, reverse=True) if text[: k + 1].endswith(t)] for k in range(len(text))]
+    assert [[tokens[x[0]] for x in found] for _, found in automaton.matches(text)] == plainly
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("aeioublethn'sredmvl .,-!?0123é<|endoftext|>ßΣ\n"), max_size=80))
 def test_bpe_is_the_library(text):
