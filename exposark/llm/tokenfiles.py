@@ -1,11 +1,12 @@
 """Token ids in compact files: a context-mixing range coder over independently reset, checksummed blocks.
 
 A block holds BLOCK ids. Its models start empty: the id seen last after the two ids before (order 2), after the one before (order 1),
-and the block's most frequent id (order 0), each with a confidence. An id is coded as one of SYMBOLS: right by order 2, by order 1, by
-order 0, or else the class of its number of bits; the bits that the class leaves open follow as they are. The symbol's distribution mixes three sets of
-counts, in all (order 0), by the confidence of order 1, and by that of order 2, under weights that follow which one foresaw the symbols
-so far. All is in whole numbers, so that reader and writer agree everywhere. Blocks depend on nothing but themselves: all
-blocks of a chunk are coded in step, one lane each.
+and a frequent id of the block (order 0), each with a confidence. An id is coded as one of SYMBOLS: right by order 2, by order 1, by
+order 0, or else the class of its size; within a class, equal parts of the range tell all but the low byte, which follows as it is. The
+symbol's distribution mixes three sets of counts, in all (order 0), by the confidence of order 1, and by that of order 2, under
+weights that follow which one foresaw the symbols so far. The models learn after every GROUP ids, so that most of the work is on whole
+groups. All is in whole numbers, so that reader and writer agree everywhere. Blocks depend on nothing but themselves: all blocks of
+a chunk are coded in step, one lane each.
 
 A file is a Parquet file of chunks; a chunk is a row with its documents, their token counts, and its blocks.
 
@@ -34,211 +35,211 @@ from exposark.llm.common import map_batches, shared_dir
 BLOCK = 1024
 #: A chunk ends with the first document that brings it to so many ids.
 CHUNK = 2 << 20
-#: Lanes that are coded in step.
-LANES = 4096
+#: Lanes that are coded in step, and the ids after which the models learn.
+LANES = 2048
+GROUP = 32
 SLOTS = 1 << 9
 RIGHT2, RIGHT1, RIGHT0, CLASS = 0, 1, 2, 3
-#: Ids of up to LOW_BITS bits are one class, the others one for each number of bits.
-LOW_BITS = 8
+#: Ids of up to eight bits are one class, the others one for each number of bits.
 SYMBOLS = CLASS + 10
+#: Symbols with room for a search by halves.
+DEEP = 16
 CONFIDENCES = 4
+#: What a symbol's count grows by, and the sum of counts beyond which they are halved.
+STEP = 24
 LARGEST_SUM = 1024
-LARGEST_WEIGHT = 8
-TOP, BOTTOM, FULL = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
+#: Mixed shares are parts of TOTAL; each symbol has one at least. Sums of shares under all weights are brought there by SHIFT.
+TOTAL_BITS = np.uint64(12)
+TOTAL = 1 << 12
+WEIGHTS = 16
+SHIFT = 12
+SHARED = (TOTAL - SYMBOLS << SHIFT) // WEIGHTS
+#: Bits of a share that its merit leaves out.
+SHARES_LOST = 4
+#: Ranges of three 16-bit digits.
+DIGIT, DIGITS_ABOVE = np.uint64(16), np.uint64(32)
+TOP, BOTTOM, FULL = np.uint64(1 << 32), np.uint64(1 << 24), np.uint64((1 << 48) - 1)
 REMEMBERED = 300_000
 HEAD = struct.Struct("<IIII")
-#: What a symbol's count grows by, and whole parts of 2^20 by the sum they are divided by.
-STEP = 24
-INVERSE = np.array([0] + [(1 << 20) // n for n in range(1, LARGEST_SUM + 2 * STEP)], np.int64)
+#: By the sum of a set of counts: the factor that makes the counts shares of SHARED.
+INVERSE = np.array([0] + [SHARED // n for n in range(1, LARGEST_SUM + STEP * GROUP + 1)], np.int32)
 #: By twice the confidence, plus one if the guess was right: the next confidence, and whether the guess stays.
 NEXT_TRUST = np.array([1, 1, 1, 2, 1, 3, 2, 3], np.int64)
 STAYS = np.array([0, 1, 0, 1, 1, 1, 1, 1], bool)
-
-
-#: By symbol, the bits of an id that it leaves open.
-OPEN = np.array([0] * CLASS + [LOW_BITS, *range(LOW_BITS, LOW_BITS + SYMBOLS - CLASS - 1)])
-EIGHT = np.uint64(8)
+#: By an id without its low byte: its symbol if no model foresees it. By symbol: the least such number, and how many bits it leaves open.
+CLASS_OF = np.array([CLASS + n.bit_length() for n in range(1 << SYMBOLS - CLASS - 1)])
+LEAST = np.array([0] * (CLASS + 1) + [1 << k for k in range(SYMBOLS - CLASS - 1)])
+OPEN = np.array([0] * (CLASS + 1) + list(range(SYMBOLS - CLASS - 1)), np.uint64)
 
 
 # --- the models ---------------------------------------------------------------------------------------------------------
 
 
 class Models:
-    """The state of so many blocks that are coded in step."""
+    """The state of so many blocks that are coded in step. It changes after each group of GROUP ids, and is the same within one."""
 
     def __init__(self, lanes: int) -> None:
+        self.lanes = lanes
         self.lane = np.arange(lanes)
+        self.base = self.lane * SLOTS
         self.seen = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]  # four times the id, plus the confidence
-        self.most, self.votes = np.zeros(lanes, np.int64), np.zeros(lanes, np.int32)
-        self.counts = [np.ones((lanes * k, SYMBOLS), np.int32) for k in (1, CONFIDENCES, CONFIDENCES)]
-        self.totals = [np.full(lanes * k, SYMBOLS, np.int32) for k in (1, CONFIDENCES, CONFIDENCES)]
-        self.weights = np.full((lanes, 3), 2, np.int32)
-        self.before = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
-
-    def predict(self, n: int) -> np.ndarray:
-        """The running sums of the mixed counts of the first n lanes, (SYMBOLS + 1, n)."""
-        one, two = self.before[0][:n], self.before[1][:n]
-        base = self.lane[:n] * SLOTS
+        self.most, self.votes = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.counts = [np.ones((SYMBOLS, k, lanes), np.int32) for k in (1, CONFIDENCES, CONFIDENCES)]
+        self.merits = np.ones((3, lanes), np.int64)
+        self.sums = np.full((DEEP, CONFIDENCES, CONFIDENCES, lanes), TOTAL, np.int32)
+        self.depth = CONFIDENCES * CONFIDENCES * lanes
+
+    def mix(self) -> None:
+        """The running sums of the mixed shares, by symbol, both confidences and lane, for the group to come."""
+        self.shares = [c * INVERSE.take(c.sum(axis=0)) for c in self.counts]
+        weights = 1 + (WEIGHTS - 3) * self.merits // self.merits.sum(axis=0)
+        weights[self.merits.argmax(axis=0), self.lane] += WEIGHTS - weights.sum(axis=0)
+        weights = weights.astype(np.int32)
+        zero, one, two = (s * w for s, w in zip(self.shares, weights, strict=True))
+        self.sums[0] = 0
+        first, second = np.zeros_like(one[0]), np.zeros_like(two[0])
+        for s in range(SYMBOLS - 1):
+            first += zero[s]
+            first += one[s]
+            second += two[s]
+            part = self.sums[s + 1]
+            np.add(first[:, None], second[None], out=part)
+            part >>= SHIFT
+            part += s + 1
+
+    def foresee(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+        """After the id before and the one before that: the slots, guesses and confidences of orders 1 and 2, and the place in the sums."""
         mixed_up = one * 0x9E37
-        self.slots = [base + (mixed_up >> 6 & SLOTS - 1), base + ((mixed_up + two * 0x5BD1) >> 5 & SLOTS - 1)]
-        seen = [self.seen[k].take(self.slots[k]) for k in range(2)]
-        self.guess, self.trust = [x >> 2 for x in seen], [x & 3 for x in seen]
-        first = self.lane[:n] * CONFIDENCES
-        self.rows = [self.lane[:n], first + self.trust[0], first + self.trust[1]]
-        weights = self.weights[:n]
-        mixed = self.counts[0][:n] * weights[:, :1]
-        for k in (1, 2):
-            mixed += self.counts[k].take(self.rows[k], axis=0) * weights[:, k : k + 1]
-        sums = np.zeros((SYMBOLS + 1, n), np.int32)
-        for k in range(SYMBOLS):  # by symbol, so that each step runs over all lanes
-            np.add(sums[k], mixed[:, k], out=sums[k + 1])
-        return sums
-
-    def symbols(self, ids: np.ndarray) -> np.ndarray:
+        slots = self.base + (mixed_up >> 6 & SLOTS - 1), self.base + (mixed_up + two * 0x5BD1 >> 5 & SLOTS - 1)
+        seen = [self.seen[k].take(slots[k]).astype(np.int64) for k in range(2)]
+        trust = seen[0] & 3, seen[1] & 3
+        row = (trust[0] * CONFIDENCES + trust[1]) * self.lanes + self.lane
+        return *slots, seen[0] >> 2, seen[1] >> 2, *trust, row
+
+    def symbols(self, ids: np.ndarray, foreseen: tuple[np.ndarray, ...]) -> np.ndarray:
         """The symbol of each id under the present guesses."""
-        n = len(ids)
-        out = CLASS + np.maximum(bit_lengths(ids) - LOW_BITS, 0)
-        out = np.where((self.votes[:n] > 0) & (ids == self.most[:n]), RIGHT0, out)
-        out = np.where((self.trust[0] > 0) & (ids == self.guess[0]), RIGHT1, out)
-        return np.where((self.trust[1] > 0) & (ids == self.guess[1]), RIGHT2, out)
-
-    def known(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that symbols below CLASS stand for; others are 0."""
-        n = len(symbols)
-        return np.select([symbols == RIGHT2, symbols == RIGHT1, symbols == RIGHT0], [self.guess[1], self.guess[0], self.most[:n]], 0)
-
-    def update(self, ids: np.ndarray, symbols: np.ndarray) -> None:
-        n = len(ids)
-        lane = self.lane[:n]
-        foreseen = []
-        for counts, totals, rows in zip(self.counts, self.totals, self.rows, strict=True):
-            flat = counts.reshape(-1)
-            at = rows * SYMBOLS + symbols
-            count, total = flat.take(at), totals.take(rows)
-            foreseen.append(count * INVERSE.take(total))
-            flat[at] = count + STEP
-            total += STEP
-            totals[rows] = total
-            full = np.flatnonzero(total > LARGEST_SUM)
-            if len(full):
-                over = rows[full]
-                counts[over] = (counts[over] + 1) >> 1
-                totals[over] = counts[over].sum(axis=1)
-        best = (foreseen[1] > foreseen[0]).astype(np.int64)
-        best[foreseen[2] > np.maximum(foreseen[0], foreseen[1])] = 2
-        flat = self.weights.reshape(-1)
-        at = lane * 3 + best
-        weight = flat.take(at) + 1
-        flat[at] = weight
-        over = np.flatnonzero(weight > LARGEST_WEIGHT)
-        if len(over):
-            self.weights[over] = (self.weights[over] + 1) // 2
-        for k in range(2):
-            state = self.trust[k] * 2 + (self.guess[k] == ids)
-            self.seen[k][self.slots[k]] = np.where(STAYS.take(state), self.guess[k], ids) << 2 | NEXT_TRUST.take(state)
-        votes, most = self.votes[:n], self.most[:n]
-        same = ids == most
-        none = votes == 0
-        most[none] = ids[none]
-        votes += np.where(same | none, 1, -1).astype(np.int32)
-        self.before[0], self.before[1] = self.before[1], self.before[0]
-        self.before[0][:n] = ids
-
-
-def bit_lengths(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+        _, _, guess1, guess2, trust1, trust2, _ = foreseen
+        out = CLASS_OF.take(ids >> 8)
+        out[(ids == self.most) & (self.votes > 0)] = RIGHT0
+        out[(ids == guess1) & (trust1 > 0)] = RIGHT1
+        out[(ids == guess2) & (trust2 > 0)] = RIGHT2
+        return out
+
+    def update(self, ids: np.ndarray, symbols: np.ndarray, foreseen: tuple[np.ndarray, ...]) -> None:
+        """Learn a group, (its ids, lanes)."""
+        slot1, slot2, guess1, guess2, trust1, trust2, _ = foreseen
+        for k, (slot, guess, trust) in enumerate(((slot1, guess1, trust1), (slot2, guess2, trust2))):
+            state = trust * 2 + (guess == ids)
+            self.seen[k][slot] = np.where(STAYS.take(state), guess, ids) << 2 | NEXT_TRUST.take(state)  # of several at one slot, the last stays
+        for k, trust in enumerate((0, trust1, trust2)):
+            counts = self.counts[k]
+            at = (symbols * counts.shape[1] + trust) * self.lanes + self.lane
+            new = np.bincount(at.reshape(-1), minlength=counts.size).reshape(counts.shape).astype(np.int32)
+            merit = sum((new[s] * (self.shares[k][s] >> SHARES_LOST) for s in range(SYMBOLS)), np.zeros_like(new[0]))
+            self.merits[k] = (self.merits[k] >> 1) + merit.sum(axis=0) + 1
+            new *= STEP
+            counts += new
+            full = counts.sum(axis=0) > LARGEST_SUM
+            if full.any():
+                which, lane = np.nonzero(full)
+                counts[:, which, lane] = (counts[:, which, lane] + 1) >> 1
+        self.votes += 2 * (ids == self.most).sum(axis=0) - len(ids)
+        lost = self.votes <= 0
+        self.most = np.where(lost, ids[-1], self.most)
+        self.votes = np.where(lost, 1, self.votes)
 
 
 # --- the coder ----------------------------------------------------------------------------------------------------------
 
 
-def _pull(low: np.ndarray, wide: np.ndarray) -> np.ndarray:
-    """Lanes whose top byte is settled, or whose range is too small; the latter's range is cut to what settles it."""
-    settled = (low ^ (low + wide & FULL)) < TOP
-    small = ~settled & (wide < BOTTOM)
-    if small.any():
-        wide[small] = (~low[small] + np.uint64(1)) & (BOTTOM - np.uint64(1))
-    return np.flatnonzero(settled | small)
+class Ranges:
+    """The ranges of all lanes, and the places in their streams of 16-bit digits."""
+
+    def __init__(self, lanes: int, room: int) -> None:
+        self.low, self.wide = np.zeros(lanes, np.uint64), np.full(lanes, FULL, np.uint64)
+        self.at = np.arange(lanes) * room
+
+    def narrow(self, below: np.ndarray, share: np.ndarray, open_bits: np.ndarray) -> None:
+        """Narrow each range to a symbol's part, and that to the first of the parts that the open bits choose from."""
+        unit = self.wide >> TOTAL_BITS
+        self.low += below * unit
+        np.multiply(unit, share, out=self.wide)
+        self.wide >>= open_bits
+
+    def choose(self, value: np.ndarray) -> None:
+        self.low += value * self.wide
+        self.low &= FULL
+
+    def _settled(self, low: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        """Lanes whose first digit is settled, or whose range is too small; the latter's range is cut to what settles it."""
+        settled = (low ^ (low + wide & FULL)) < TOP
+        small = np.flatnonzero(wide < BOTTOM)
+        if len(small):
+            small = small[~settled[small]]
+            wide[small] = (~low[small] + np.uint64(1)) & (BOTTOM - np.uint64(1))
+            settled[small] = True
+        return np.flatnonzero(settled)
+
+    def due(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(lanes, their places, their digits) as long as any lane has a settled digit."""
+        due = self._settled(self.low, self.wide)
+        while len(due):
+            low, wide, place = self.low.take(due), self.wide.take(due), self.at.take(due)
+            yield due, place, low >> DIGITS_ABOVE
+            self.at[due] = place + 1
+            low, wide = low << DIGIT & FULL, wide << DIGIT & FULL
+            more = self._settled(low, wide)
+            self.low[due], self.wide[due] = low, wide
+            due = due[more]
 
 
 def encode_lanes(matrix: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """The blocks of the rows of a matrix of ids; lengths fall from row to row."""
+    """The blocks of the rows of a matrix of ids. Rows shorter than the matrix end in zeros, which are coded but not read again."""
     lanes, width = matrix.shape
     models = Models(lanes)
-    columns = np.ascontiguousarray(matrix.T.astype(np.int64))
+    columns = np.zeros((width + 2, lanes), np.int64)
+    columns[2:] = matrix.T
     chosen = np.zeros((width, lanes), np.int8)
-    low, wide = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFF, np.uint64)
     room = 2 * width + 16
-    out, at = np.zeros(lanes * room, np.uint8), models.lane * room
-    for t in range(int(lengths[0]) if lanes else 0):
-        n = int(np.searchsorted(-lengths, -t, side="left"))
-        ids = columns[t, :n]
-        sums = models.predict(n)
-        symbols = models.symbols(ids)
-        chosen[t, :n] = symbols
-        part_low, part_wide = low[:n], wide[:n]
-        _narrow(sums, symbols, models.lane[:n], part_low, part_wide)
-        due = _pull(part_low, part_wide)
-        while len(due):
-            x, r, place = low.take(due), wide.take(due), at.take(due)
-            out[place] = x >> EIGHT * np.uint64(3)
-            at[due] = place + 1
-            x, r = x << EIGHT & FULL, r << EIGHT & FULL
-            more = _pull(x, r)
-            low[due], wide[due] = x, r
-            due = due[more]
-        models.update(ids, symbols)
-    for _ in range(4):
-        out[at] = low >> EIGHT * np.uint64(3)
-        at += 1
-        low = low << EIGHT & FULL
-    raw, ends = _spelled(columns, chosen.astype(np.int64), lengths)
+    ranges, out = Ranges(lanes, room), np.zeros(lanes * room, "<u2")
+    for t in range(0, width, GROUP):
+        until = min(t + GROUP, width)
+        ids = columns[t + 2 : until + 2]
+        models.mix()
+        foreseen = models.foresee(columns[t + 1 : until + 1], columns[t:until])
+        symbols = models.symbols(ids, foreseen)
+        chosen[t:until] = symbols
+        place = symbols * models.depth + foreseen[-1]
+        below = models.sums.take(place)
+        share = (models.sums.take(place + models.depth) - below).astype(np.uint64)
+        below = below.astype(np.uint64)
+        open_bits = OPEN.take(symbols)
+        value = np.where(open_bits > 0, (ids >> 8) - LEAST.take(symbols), 0).astype(np.uint64)
+        for k in range(until - t):
+            ranges.narrow(below[k], share[k], open_bits[k])
+            ranges.choose(value[k])
+            for _, at, digits in ranges.due():
+                out[at] = digits
+        models.update(ids, symbols, foreseen)
+    for k in (DIGITS_ABOVE, DIGIT, np.uint64(0)):
+        out[ranges.at] = ranges.low >> k & np.uint64(0xFFFF)
+        ranges.at += 1
     blocks = []
+    low_bytes, spelled = matrix.astype(np.uint8), np.ascontiguousarray(chosen.T) >= CLASS
     for k in range(lanes):
-        n, a, b = int(lengths[k]), int(at[k]) - k * room, int(ends[k] + 7) // 8
-        blocks.append(HEAD.pack(n, a, b, zlib.crc32(matrix[k, :n].astype("<u4").tobytes())) + out[k * room : k * room + a].tobytes() + raw[k, :b].tobytes())
+        n, coded = int(lengths[k]), out[k * room : ranges.at[k]].tobytes()
+        raw = low_bytes[k, :n][spelled[k, :n]].tobytes()
+        blocks.append(HEAD.pack(n, len(coded), len(raw), zlib.crc32(matrix[k, :n].astype("<u4").tobytes())) + coded + raw)
     return blocks
 
 
-def _narrow(sums: np.ndarray, symbols: np.ndarray, lane: np.ndarray, low: np.ndarray, wide: np.ndarray) -> None:
-    """Narrow each lane's range, in place, to its symbol's part."""
-    n = sums.shape[1]
-    flat = sums.reshape(-1)
-    at = symbols * n + lane
-    below, above = flat.take(at).astype(np.uint64), flat.take(at + n).astype(np.uint64)
-    share = wide // sums[-1].astype(np.uint64)
-    low += below * share
-    low &= FULL
-    np.multiply(above - below, share, out=wide)
-
-
-def open_bits(symbols: np.ndarray) -> np.ndarray:
-    """The bits of an id that its symbol leaves open."""
-    return OPEN.take(symbols)
-
-
-def _spelled(ids: np.ndarray, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The open bits of all ids, lane by lane, as bytes, and how many bits each lane has. ids and symbols: (width, lanes)."""
-    width, lanes = ids.shape
-    bits = np.where(np.arange(width)[:, None] < lengths[None, :], open_bits(symbols), 0)
-    ends = np.cumsum(bits, axis=0)
-    starts = ends - bits
-    room = 2 * width + 8
-    value = (ids & ((1 << bits) - 1)) << (starts & 7)
-    place = np.arange(lanes)[None, :] * room + (starts >> 3)
-    raw = np.zeros(lanes * room)
-    for k in range(3):  # no two ids share a bit, so sums are unions
-        raw += np.bincount((place + k).reshape(-1), (value >> 8 * k & 255).reshape(-1), lanes * room)
-    return raw.astype(np.uint8).reshape(lanes, room), ends[-1] if width else np.zeros(lanes, np.int64)
-
-
 def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """Ids below 2^17 as blocks end to end."""
     parts: list[bytes] = []
     for i in range(0, len(ids), block * LANES):
         piece = ids[i : i + block * LANES].astype(np.int32)
         lanes = -(-len(piece) // block)
-        matrix = np.zeros((lanes, block), np.int32)
+        matrix = np.zeros((lanes, min(block, len(piece))), np.int32)
         matrix.reshape(-1)[: len(piece)] = piece
         lengths = np.full(lanes, block)
         lengths[-1] = len(piece) - block * (lanes - 1)
@@ -247,52 +248,53 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
 
 
 def decode_lanes(heads: list[tuple[int, int, int, int]], coded: list[bytes], raws: list[bytes]) -> list[np.ndarray]:
-    """The ids of blocks, the longest first."""
-    lanes = len(heads)
-    lengths = np.array([h[0] for h in heads])
+    """The ids of blocks. A block shorter than the longest is read on over its end, and what that gives is left out."""
+    lanes, width = len(heads), max(h[0] for h in heads)
     models = Models(lanes)
-    room, raw_room = max(map(len, coded)) + 16, max(map(len, raws)) + 8
-    stream, raw = np.zeros((lanes, room), np.uint8), np.zeros((lanes, raw_room), np.uint8)
+    room, raw_room = max(map(len, coded)) // 2 + 8, max(map(len, raws)) + 8
+    stream, raw = np.zeros((lanes, room), "<u2"), np.zeros((lanes, raw_room), np.uint8)
     for k in range(lanes):
-        stream[k, : len(coded[k])] = np.frombuffer(coded[k], np.uint8)
+        stream[k, : len(coded[k]) // 2] = np.frombuffer(coded[k], "<u2")
         raw[k, : len(raws[k])] = np.frombuffer(raws[k], np.uint8)
-    low, wide = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFF, np.uint64)
+    ranges = Ranges(lanes, room)
     code = np.zeros(lanes, np.uint64)
-    for k in range(4):
-        code = code << EIGHT | stream[:, k]
-    # three bytes from every place, so that open bits are one look-up
-    wide_raw = raw.reshape(-1).astype(np.int64)
-    wide_raw[:-2] |= wide_raw[1:-1] << 8 | raw.reshape(-1)[2:].astype(np.int64) << 16
-    wide_raw &= 0xFFFFFF
-    stream = stream.reshape(-1)
-    at, raw_at = models.lane * room + 4, models.lane * raw_room * 8
-    columns = np.zeros((int(lengths[0]), lanes), np.int64)
-    for t in range(int(lengths[0])):
-        n = int(np.searchsorted(-lengths, -t, side="left"))
-        sums = models.predict(n)
-        part_low, part_wide = low[:n], wide[:n]
-        value = ((code[:n] - part_low & FULL) // (part_wide // sums[-1].astype(np.uint64))).astype(np.int32)
-        np.minimum(value, sums[-1] - 1, out=value)
-        symbols = np.count_nonzero(sums[1:] <= value, axis=0)
-        ids = models.known(symbols)
-        place = raw_at[:n]
-        bits = open_bits(symbols)
-        spelled = (wide_raw.take(place >> 3, mode="clip") >> (place & 7) & ((1 << bits) - 1)) + np.where(symbols > CLASS, 1 << bits, 0)
-        ids = np.where(symbols >= CLASS, spelled, ids)
-        place += bits
-        _narrow(sums, symbols, models.lane[:n], part_low, part_wide)
-        due = _pull(part_low, part_wide)
-        while len(due):
-            x, r, where = low.take(due), wide.take(due), at.take(due)
-            code[due] = (code.take(due) << EIGHT | stream.take(where, mode="clip")) & FULL
-            at[due] = where + 1
-            x, r = x << EIGHT & FULL, r << EIGHT & FULL
-            more = _pull(x, r)
-            low[due], wide[due] = x, r
-            due = due[more]
-        columns[t, :n] = ids
-        models.update(ids, symbols)
-    matrix = np.ascontiguousarray(columns.T.astype(np.int32))
+    for k in range(3):
+        code = code << DIGIT | stream[:, k]
+    ranges.at += 3
+    stream, raw = stream.reshape(-1), raw.reshape(-1).astype(np.int64)
+    raw_at = models.lane * raw_room
+    columns = np.zeros((width + 2, lanes), np.int64)
+    for t in range(0, width, GROUP):
+        until = min(t + GROUP, width)
+        models.mix()
+        steps, found = [], []
+        for k in range(t, until):
+            one, two = columns[k + 1], columns[k]
+            foreseen = models.foresee(one, two)
+            row = foreseen[-1]
+            unit = ranges.wide >> TOTAL_BITS
+            value = np.minimum((code - ranges.low & FULL) // unit, np.uint64(TOTAL - 1)).astype(np.int32)
+            symbols = np.zeros(lanes, np.int64)
+            for half in (8, 4, 2, 1):
+                symbols += half * (models.sums.take((symbols + half) * models.depth + row) <= value)
+            place = symbols * models.depth + row
+            below = models.sums.take(place)
+            share = (models.sums.take(place + models.depth) - below).astype(np.uint64)
+            open_bits = OPEN.take(symbols)
+            ranges.narrow(below.astype(np.uint64), share, open_bits)
+            chosen = np.minimum((code - ranges.low & FULL) // ranges.wide, (np.uint64(1) << open_bits) - np.uint64(1))
+            ranges.choose(chosen)
+            for due, at, _ in ranges.due():
+                code[due] = (code.take(due) << DIGIT | stream.take(at, mode="clip")) & FULL
+            ids = (LEAST.take(symbols) + chosen.astype(np.int64) << 8) + raw.take(raw_at, mode="clip")
+            raw_at += symbols >= CLASS
+            for symbol, guess in ((RIGHT2, foreseen[3]), (RIGHT1, foreseen[2]), (RIGHT0, models.most)):
+                np.copyto(ids, guess, where=symbols == symbol)
+            columns[k + 2] = ids
+            steps.append(foreseen)
+            found.append(symbols)
+        models.update(columns[t + 2 : until + 2], np.array(found), tuple(np.array(x) for x in zip(*steps, strict=True)))
+    matrix = np.ascontiguousarray(columns[2:].T.astype(np.int32))
     out = []
     for k, (n, _, _, crc) in enumerate(heads):
         row = matrix[k, :n]
@@ -316,10 +318,7 @@ def decode_ids(data: bytes) -> np.ndarray:
         at += a + b
     out: list[np.ndarray] = []
     for i in range(0, len(heads), LANES):
-        order = sorted(range(i, min(i + LANES, len(heads))), key=lambda k: -heads[k][0])
-        rows = decode_lanes([heads[k] for k in order], [coded[k] for k in order], [raws[k] for k in order])
-        back = dict(zip(order, rows, strict=True))
-        out += [back[k] for k in sorted(back)]
+        out += decode_lanes(heads[i : i + LANES], coded[i : i + LANES], raws[i : i + LANES])
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
