@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposark.llm.bpe import LATIN, NEW_LETTERS, NEW_NUMBERS
+from exposark.llm.bpe import LATIN, NEW_LETTERS, NEW_NUMBERS, byte_symbols
 from exposark.llm.common import map_batches, shared_dir
 
 BLOCK = 1024
@@ -345,6 +345,9 @@ class Tokens:
         self.split_latin = re.compile(latin).findall
         self.beyond_latin = re.compile(f"[^\x00-{chr(LATIN - 1)}]|[\x1c-\x1f\x85]").search
         self.newest = regex.compile(f"[{NEW_LETTERS}{NEW_NUMBERS}]").search
+        self.model = self.library.model
+        self.bytes = {chr(b): symbol for b, symbol in byte_symbols().items()}
+        self.space = self.bytes[" "]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -363,7 +366,10 @@ class Tokens:
         """The ids of a piece that the younger generation lacks; when that is full, it becomes the older one."""
         found = self.young.get(piece) or self.old.get(piece)
         if found is None:
-            found = np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+            # what the library's byte-level pre-tokeniser hands to its model
+            symbols = piece.replace(" ", self.space) if piece.isascii() and piece.isprintable() else "".join(map(self.bytes.__getitem__, piece.encode().decode("latin-1")))
+            ids = [t.id for t in self.model.tokenize(symbols)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(self.young) >= REMEMBERED:
             self.old, self.young = self.young, {}
         self.young[piece] = found
