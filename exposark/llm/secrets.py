@@ -2,7 +2,8 @@
 
 A random string costs a byte-pair vocabulary far more tokens a character than words do. So each long run of key characters
 that the patterns have not taken is encoded with a public vocabulary; a run with few characters a token, which is no known
-digest, UUID or plain number, is a secret.
+digest, UUID, plain number or name of joined pieces, is a secret. Where words joined to a key hide it, neighbouring segments between
+the characters / _ - = are judged for themselves.
 
 Defined results: a null or empty text has no spans; repeated rows each get their own; matches of one kind never overlap.
 """
@@ -26,10 +27,15 @@ KINDS = ("assign", "access", "hex", "random")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Lengths of hex digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512); those and UUIDs are identifiers, not secrets.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
-IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9_+/=-]+|([A-Za-z]+[_/-])+[A-Za-z]*[0-9]{0,4}")
+UUID = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])")
+SEGMENT = re.compile(r"[A-Za-z0-9+]+")
+LETTER = re.compile(r"[A-Za-z]")
+#: A name of at least two pieces of under 20 letters, each of one case or capitalised, with a number of up to 4 digits.
+NAME = re.compile(r"(?:(?:[A-Z]?[a-z]{0,18}|[A-Z]{1,19})[0-9]{0,4}[_/=-]+)+(?:[A-Z]?[a-z]{0,18}|[A-Z]{1,19})[0-9]{0,4}")
 HEX_ANY = re.compile(r"[0-9a-fA-F]+")
 MAX_CHARS_PER_TOKEN = 1.9
 LONGEST = 4096
+SHORTEST = 20
 
 _vocabularies: dict = {}
 
@@ -46,15 +52,73 @@ def vocabulary(path: str):
     return _vocabularies[path]
 
 
-def looks_random(run: str, encoding, max_chars_per_token: float = MAX_CHARS_PER_TOKEN) -> bool:
-    """Whether a run is no known digest, identifier or number and costs many tokens for its length."""
-    if IDENTIFIER.fullmatch(run) or HEX_ANY.fullmatch(run) and len(run) in DIGEST_LENGTHS:
-        return False
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-        return False
+def _tokens(run: str, encoding) -> int:
     # A very long run (an inlined file, say) is judged piece by piece, so that no encoding of it is quadratic; all pieces count.
-    tokens = sum(len(encoding.encode_ordinary(run[i : i + LONGEST])) for i in range(0, len(run), LONGEST))
-    return len(run) < max_chars_per_token * tokens
+    return sum(len(encoding.encode_ordinary(run[i : i + LONGEST])) for i in range(0, len(run), LONGEST))
+
+
+def _is_digest(run: str) -> bool:
+    return len(run) in DIGEST_LENGTHS and HEX_ANY.fullmatch(run) is not None
+
+
+def _costly(run: str, encoding, most: float) -> bool:
+    return LETTER.search(run) is not None and not NAME.fullmatch(run) and len(run) < most * _tokens(run, encoding)
+
+
+def _windows(scores: list[float]) -> list[tuple[int, int]]:
+    """All maximal windows of the highest sum, in linear time: disjoint, none can be lengthened or joined to the next for a higher sum."""
+    found: list[tuple[int, int, float, float]] = []  # first, last + 1, sum before, sum at the end
+    total = 0.0
+    for k, x in enumerate(scores):
+        if x > 0:
+            first, before, after = k, total, total + x
+            while found and (found[-1][2] >= before or found[-1][3] < after):
+                if found[-1][2] >= before:
+                    # an earlier window that starts no lower can never be joined; those below it may
+                    j = len(found) - 1
+                    while j >= 0 and found[j][2] >= before:
+                        j -= 1
+                    if j < 0 or found[j][3] >= after:
+                        break
+                    del found[j + 1 :]
+                first, _, before, _ = found.pop()
+            found.append((first, k + 1, before, after))
+        total += x
+    return [(a, b) for a, b, _, _ in found]
+
+
+def random_spans(run: str, encoding, max_chars_per_token: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int]]:
+    """Where a run is random: all of it, or else neighbouring segments; UUIDs and digests never are."""
+    if len(run) < SHORTEST or _is_digest(run):
+        return []
+    known = [m.span() for m in UUID.finditer(run)]
+    pieces = list(SEGMENT.finditer(run))
+    known += [m.span() for m in pieces if _is_digest(m.group())]
+    if known:  # what is around them is judged for itself
+        return [(a + i, a + j) for a, b in uncovered(0, len(run), sorted(known)) for i, j in random_spans(run[a:b], encoding, max_chars_per_token)]
+    if _costly(run, encoding, max_chars_per_token):
+        return [(0, len(run))]
+    if len(pieces) < 2:
+        return []
+    scores = [max_chars_per_token * _tokens(m.group(), encoding) - len(m.group()) for m in pieces]
+    scores = [x if LETTER.search(m.group()) else min(x, 0.0) for x, m in zip(scores, pieces, strict=True)]
+    spans = [(pieces[a].start(), pieces[b - 1].end()) for a, b in _windows(scores)]
+    return [(a, b) for a, b in spans if b - a >= SHORTEST and not NAME.fullmatch(run[a:b])]
+
+
+def uncovered(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a span outside sorted spans."""
+    out = []
+    for a, b in taken:
+        if a > start:
+            out.append((start, min(a, end)))
+        start = max(start, b)
+    return [x for x in [*out, (start, end)] if x[0] < x[1]]
+
+
+def looks_random(run: str, encoding, max_chars_per_token: float = MAX_CHARS_PER_TOKEN) -> bool:
+    """Whether a run, or a part of it, is no known digest, identifier or number and costs many tokens for its length."""
+    return bool(random_spans(run, encoding, max_chars_per_token))
 
 
 def find_secrets(text: str, encoding, max_chars_per_token: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int, str]]:
@@ -65,15 +129,17 @@ def find_secrets(text: str, encoding, max_chars_per_token: float = MAX_CHARS_PER
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end(), "access") for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end(), "hex") for m in HEX.finditer(text)]
-    base = sorted(spans)
+    base = sorted((a, b) for a, _, b, _ in spans)
     i = 0
-    reach = -1
+    taken: list[tuple[int, int]] = []
     for m in RUN.finditer(text):
+        taken = [x for x in taken if x[1] > m.start()]
         while i < len(base) and base[i][0] < m.end():
-            reach = max(reach, base[i][2])
+            if base[i][1] > m.start():
+                taken.append(base[i])
             i += 1
-        if reach <= m.start() and looks_random(m.group(), encoding, max_chars_per_token):
-            spans.append((m.start(), 3, m.end(), "random"))
+        for start, end in uncovered(m.start(), m.end(), taken):
+            spans += [(start + a, 3, start + b, "random") for a, b in random_spans(text[start:end], encoding, max_chars_per_token)]
     return spans
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+import string
+
+import public_tokenizers
 import pytest
 
-from exposark.llm import webp
+from exposark.llm import secrets, webp
 
 
 @pytest.mark.parametrize("rows", [16411, 16384, 2 * 16384 + 1, 17 * 1024])
@@ -29,3 +33,38 @@ def test_payloads_over_one_file_are_split():
     assert len(webp.files_of(data)) == 4
     assert webp.read_payload(data) == payload
     assert webp.files_of(webp.store(payload)) == [webp.store(payload)]
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    return secrets.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@pytest.mark.parametrize("prefix", ["", "/services/webhooks/incoming/", "/api/public/documents/download/session/"])
+@pytest.mark.parametrize(("alphabet", "n"), [(string.ascii_letters + string.digits, 24), (string.ascii_letters, 32), (string.ascii_letters + string.digits + "-_", 32), (string.ascii_letters + string.digits + "+/", 40)])
+def test_keys_behind_words_and_without_digits(encoding, prefix, alphabet, n):
+    rng = random.Random(11)
+    texts = ["see " + prefix + "".join(rng.choices(alphabet, k=n)) + " ok" for _ in range(300)]
+    assert sum(not secrets.find_secrets(t, encoding) for t in texts) <= 3
+
+
+def test_key_behind_a_digest_is_found_and_names_are_not(encoding):
+    key = "x9Kq2vLp7Zt4Rw8Bn3Yc6Hd1"
+    text = f"/blobs/123e4567-e89b-12d3-a456-426614174000/{key} and /x/{'0b96a8c8' * 4}/{key}"
+    assert [text[s[0] : s[2]].strip("/") for s in secrets.find_secrets(text, encoding) if s[3] == "random"] == [key, key]
+    for name in ("/api/public/documents/download/session/", "BINARY_OP_MULTIPLY_FLOAT", "a_b_c_d_e_f_g_h_i_j_k_l", "2024-01-02-12-30-45-2024", "sha1-da39a3ee5e6b4b0d3255bfef95601890afd80709"):
+        assert not secrets.looks_random(name, encoding), name
+
+
+def test_windows_are_those_of_the_definition():
+    def plainly(scores, lo, hi):
+        sums = [(sum(scores[a:b]), a - b, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)]
+        if not sums or max(sums)[0] <= 0:
+            return []
+        _, _, a, b = max(sums)
+        return plainly(scores, lo, a) + [(a, b)] + plainly(scores, b, hi)
+
+    rng = random.Random(3)
+    for _ in range(300):
+        scores = [rng.uniform(-5, 5) for _ in range(rng.randrange(12))]
+        assert secrets._windows(scores) == plainly(scores, 0, len(scores))
