@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ALERT_SCORE = 20
 COOLDOWN_SECONDS = 30
@@ -28,8 +32,27 @@ def alerts_of(alert_rows: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def with_cooldown(alert_rows: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str = "session_id") -> DataFrame:
-    """Alerts at least so many seconds after the last one that passed, by key. A key's times, and nothing else of it, are folded in order."""
-    times = alert_rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("double").alias("t"), F.col("frame_id").alias("id")))).alias("all"))
-    start = F.struct(F.lit(float("-inf")).alias("last"), F.array().cast("array<bigint>").alias("ids"))
-    passed = lambda a, x: F.when(x["t"] - a["last"] >= seconds, F.struct(x["t"].alias("last"), F.concat(a["ids"], F.array(x["id"])).alias("ids"))).otherwise(a)
-    return times.select(key, F.explode(F.aggregate("all", start, passed)["ids"]).alias("frame_id"))
+    """Alerts at least so many seconds after the last one that passed, by key.
+
+    An alert so long after the one before it always passes, so what lies between two such gaps is independent of the rest. Each of these
+    islands is read as a stream in order of time, keeping only the last time that passed; no key's rows are held together.
+    """
+    rows = alert_rows.where(F.col("ts").isNotNull()).select(key, F.col("frame_id").cast("long").alias("frame_id"), F.col("ts").cast("double").alias("t"))
+    w = Window.partitionBy(key).orderBy("t", "frame_id")
+    far = rows.withColumn("far", (F.col("t") - F.lag("t").over(w) >= seconds).cast("long"))
+    islands = far.withColumn("island", F.sum(F.coalesce("far", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("far")
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, float("-inf")
+        for batch in batches:
+            keep = []
+            for here, t in zip(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True), batch.column(2).to_pylist(), strict=True):
+                if here != at:
+                    at, last = here, float("-inf")
+                keep.append(t - last >= seconds)
+                if keep[-1]:
+                    last = t
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    ordered = islands.repartition(key, "island").sortWithinPartitions(key, "island", "t", "frame_id")
+    return ordered.mapInArrow(passed, StructType([rows.schema[key], rows.schema["frame_id"]]))
