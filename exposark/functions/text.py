@@ -80,6 +80,12 @@ PHONE = r"\b[6-9][0-9]{9}\b"
 CVV = r"(?i)\bCVV\b.*?(\d{3,4})"
 CREDENTIAL = r"(?i)(?:password|passwd|pwd|pass|secret|token|apikey|api_key|auth)\s*[=:]\s*(\S+)"
 OTP = r"(?i)(?:otp|one[-\s]time\s+(?:password|passcode|pin|code)|verification\s+(?:code|pin)|auth(?:entication)?\s+(?:code|pin|token)|login\s+(?:code|pin)|security\s+code|confirm(?:ation)?\s+(?:code|pin)|passcode|access\s+code)\D{0,60}(\d{4,6})"
-DOB = r"(?i)\b(?:dob|date\s+of\s+birth|born\s+on)[:\s]+(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b"
+DOB = r"(?i)\b(?:dob|date\s+of\s+birth|born\s+on|birth\s+date)[:\s]+(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b"
+BIRTH = r"(?i)d\.?o\.?b|born\s+on|birth"
+BIRTH_WINDOW = r"(?is)(?:(?:date of birth|dob|d\.o\.b):?|born on|birth ?date)(?=(.{0,80}))"
+NUMERIC_DATE = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"
+MONTH_DATE = r"(?i)\b\d{1,2}(?:\s+|[/-])(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)(?:\s+|[/-])\d{2,4}\b"
+BIRTH_INLINE = r"(?i)\b(?:dob|date\s+of\s+birth|born\s+on|birthdate)[:\s|/=\[\]()-]+(" + MONTH_DATE[6:] + "|" + NUMERIC_DATE[2:] + ")"
+BIRTH_YEAR = r"\b(?:19\d{2}|20[01]\d|202[0-5]|[01]\d|2[0-5]|[3-9]\d)\b"
 NAME = r"(?i:\b(?:full name|name|patient name|employee name|student name|candidate name|account holder)\b)[ \t]*[:=-][ \t]*([A-Z][A-Za-z .]{2,30})"
 ID_NUMBER = r"(?i)\b(?:passport no|id no|employee id|student id|roll no|usn|register no|customer id|account no|licence no|voter id|pf no|patient id|policy no)\b[ \t]*[:=.#-]+[ \t]*([A-Za-z0-9-]{4,20})"

@@ -37,6 +37,14 @@ def otps(text: Column) -> Column:
     return F.array_except(T.matches(hidden, T.OTP, 1), phones(text))
 
 
+def birth_dates(text: Column) -> Column:
+    """The first plausible date within 80 characters after a label, with a month's name if there is one; at most one. A date of under 6 digits does not count."""
+    in_window = F.transform(T.all_matches(text, T.BIRTH_WINDOW, 1), lambda w: F.coalesce(F.nullif(F.regexp_extract(w, T.MONTH_DATE, 0), F.lit("")), F.regexp_extract(w, T.NUMERIC_DATE, 0)))
+    every = F.concat(in_window, T.all_matches(text, T.BIRTH_INLINE, 1))
+    good = F.filter(every, lambda d: (F.length(T.digits(d)) >= 6) & d.rlike(T.BIRTH_YEAR))
+    return F.when(F.coalesce(text, F.lit("")).rlike(T.BIRTH), F.slice(good, 1, 1)).otherwise(F.array().cast("array<string>"))
+
+
 def labelled_names(text: Column) -> Column:
     values = F.transform(T.all_matches(text, T.NAME, 1), T.stripped)
     return F.array_distinct(F.filter(values, lambda v: F.size(F.split(v, r"\s+")) <= 4))
@@ -56,31 +64,81 @@ def document_findings(text: Column) -> Column:
         typed("pan_card", T.matches(text, T.PAN)),
         typed("credit_card", cards(text)),
         typed("cvv", T.all_matches(text, T.CVV, 1)),
-        typed("dob", F.slice(T.matches(text, T.DOB, 1), 1, 1)),
+        typed("dob", birth_dates(text)),
         typed("otp", otps(text)),
         typed("person_name", labelled_names(text)),
         typed("id_number", labelled_ids(text)),
     )
 
 
+CONTACT = r"contact|reach\s+us|email\s+us|write\s+to|mail\s+us|enquir|inquiry|admissions?|registrar|helpdesk|helpline|principal|director|dean|office|department|institute|college|university|school|faculty|placement|for\s+more\s+info|get\s+in\s+touch|send\s+us|feel\s+free\s+to"
+PHONE_CONTACT = "admission|enquiry|office|contact|helpdesk|registrar|placement|fax|tel|call|support|info|desk|college|institute|university|school|principal|dean|campus|department|helpline|customer|service|agent"
+PUBLIC_PREFIXES = (
+    "info", "support", "contact", "admin", "hello", "help", "enquiry", "inquiry", "noreply", "no-reply", "donotreply", "do-not-reply", "office", "team", "mail", "webmaster", "postmaster", "editor", "news", "press", "media",
+    "feedback", "service", "care", "hr", "recruitment", "jobs", "sales", "marketing", "billing", "accounts", "finance", "legal", "privacy", "security",
+)
+
+
+def near(text: Column, value: Column, words: str, reach: int) -> Column:
+    """Whether a word of a pattern begins up to so many characters before a value, is in it, or ends up to so many after it."""
+    text = F.coalesce(text, F.lit(""))
+    literal = F.concat(F.lit(r"\Q"), value, F.lit(r"\E"))
+    before = F.rlike(text, F.concat(F.lit(rf"(?is)\b(?=(?:{words})\b)(?=.{{0,{reach}}}"), literal, F.lit(")")))
+    after = F.regexp_extract_all(text, F.concat(F.lit("(?is)"), literal, F.lit(rf"(?=(.{{0,{reach}}}))")), F.lit(1))
+    word = rf"(?is)\b(?:{words})\b"
+    return before | value.rlike(word) | F.exists(after, lambda w: w.rlike(word))
+
+
+def url_host(url: Column) -> Column:
+    return F.lower(F.coalesce(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
+
+
+def email_class(email: Column, text: Column, url: Column) -> Column:
+    """public_contact or personal_email: addresses of the site or named like it, of offices, of institutions, or near contact words are public."""
+    full = url_host(url)
+    host = F.regexp_replace(full, r"^www\.", "")
+    root = F.substring_index(host, ".", 1)
+    low = F.lower(email)
+    local, domain = F.substring_index(low, "@", 1), F.regexp_replace(low, "^[^@]*@", "")
+    public = (
+        ((host != "") & F.contains(domain, host))
+        | ((F.length(root) >= 4) & F.contains(local, root))
+        | local.isin(*PUBLIC_PREFIXES)
+        | domain.rlike(r"\.(edu|gov|ac\.in|edu\.in|nic\.in|mil|int)$")
+        | near(text, email, CONTACT, 200)
+        | (low.rlike(r"@(gmail|yahoo|hotmail|outlook|protonmail|icloud|rediffmail|ymail)\.\w+") & full.rlike(r"\.(ac\.in|edu\.in|edu|gov|nic\.in|org)$"))
+    )
+    return F.when(public, "public_contact").otherwise("personal_email")
+
+
+def phone_class(phone: Column, text: Column, url: Column) -> Column:
+    """public_phone on the site of an institution or near contact words, else phone."""
+    return F.when(url_host(url).rlike(r"\.edu|\.gov|\.ac\.in|\.nic\.in|jssmca|college|university") | near(text, phone, PHONE_CONTACT, 120), "public_phone").otherwise("phone")
+
+
 def url_findings(text: Column, url: Column) -> Column:
-    """The web profile: cards need Luhn, 12-digit ids need Verhoeff, plain http is a finding; one of each (type, value in any case)."""
+    """The web profile: cards need Luhn, 12-digit ids need Verhoeff, plain http is a finding; addresses and phones are typed by class;
+    PANs in technical text need a label; one of each (type, value in any case), the first."""
     ids = F.array_distinct(F.filter(F.transform(T.all_matches(text, r"\b[2-9]\d{3}[ -]?\d{4}[ -]?\d{4}\b"), T.digits), T.verhoeff))
     numbers = F.array_distinct(F.filter(F.transform(T.all_matches(text, r"\b(?:\d[ -]?){12,15}\d\b"), T.digits), T.luhn))
     literals = ("true", "false", "null", "none", "undefined")
     secrets = F.filter(T.matches(text, r"(?i)\b(?:password|passwd|pwd)\s*[=:]\s*([^\s<>\"']{4,30})", 1), lambda v: ~F.lower(v).isin(*literals))
+    classed = lambda values, kind: F.transform(values, lambda v: F.struct(kind(v, text, url).alias("type"), v.alias("value")))
+    technical = (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?i)\b(RFC|HTTP|HTML|JSON|XML|API|URL|SQL|CSS|TCP|UDP|IP)\b")) > 5) & ~F.coalesce(text, F.lit("")).rlike(r"(?i)\b(pan\s*card|pan\s*number|permanent\s*account)\b")
     every = F.concat(
-        typed("email", T.matches(text, r"\b[A-Za-z0-9._%+\-]{2,}@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b")),
-        typed("phone", T.matches(text, r"(?<!\d)[6-9][0-9]{9}(?!\d)")),
+        classed(T.matches(text, r"\b[A-Za-z0-9._%+\-]{2,}@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"), email_class),
+        classed(T.matches(text, r"(?<!\d)[6-9][0-9]{9}(?!\d)"), phone_class),
         typed("aadhaar", ids),
         typed("credit_card", numbers),
-        typed("pan", T.matches(text, T.PAN)),
+        typed("pan", F.filter(T.matches(text, T.PAN), lambda _: ~technical)),
         typed("password", secrets),
         typed("otp", T.matches(text, T.OTP, 1)),
-        typed("cvv", T.matches(text, r"(?i)\bcvv\b\D{0,20}(\d{3,4})", 1)),
+        typed("cvv", T.matches(text, r"(?i)\b(?:CVV|CVC|CVV2|security\s+code)\b\D{0,20}(\d{3,4})", 1)),
+        typed("dob", T.matches(text, T.DOB, 1)),
         F.when(F.startswith(F.lower(url), F.lit("http://")), typed("http_only", F.array(url))).otherwise(F.array().cast("array<struct<type:string,value:string>>")),
     )
-    return every
+    keys = F.transform(every, lambda f: F.concat(f["type"], F.lit(" "), F.lower(F.trim(f["value"]))))
+    return F.filter(every, lambda f, i: F.array_position(keys, F.get(keys, i)) == i + 1)
 
 
 def screen_findings(text: Column) -> Column:
