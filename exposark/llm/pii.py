@@ -77,9 +77,7 @@ LABELS = ("other", *KINDS)
 MAX_TOKENS = 6
 #: Characters of text around a seed that the model reads.
 REACH = 48
-#: Log-odds over "other" that a segment of the model needs.
-MARGIN = 3.0
-SEED = re.compile(r"[0-9@]+|[(\[]at[)\]]")
+SEED = re.compile(r"[0-9@]+|[(\[]at[)\]]", re.IGNORECASE)
 TOKEN = re.compile(r"\S+")
 CUES = {"call": "phone", "phone": "phone", "tel": "phone", "mobile": "phone", "fax": "phone", "mail": "email", "email": "email", "e-mail": "email", "contact": "email", "card": "card", "visa": "card", "credit": "card", "ip": "ip", "host": "ip", "address": "ip", "server": "ip"}
 SIZES = ((0, "0"), (6, "1-6"), (8, "7-8"), (11, "9-11"), (15, "12-15"), (16, "16"), (19, "17-19"), (10**9, "more"))
@@ -239,9 +237,7 @@ class SemiCrf:
         while at > 0:
             begin, j = back[at][k]
             if k:
-                scores = self.scores(cells[at][at - 1 - begin][1])
-                if scores[k] - max(scores[0], 0.0) >= MARGIN:
-                    out.append((*trimmed(text, tokens[begin][0], tokens[at - 1][1]), k))
+                out.append((*trimmed(text, tokens[begin][0], tokens[at - 1][1]), k))
             at, k = begin, j
         return out[::-1]
 

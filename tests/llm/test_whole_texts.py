@@ -8,7 +8,7 @@ import string
 import public_tokenizers
 import pytest
 
-from exposark.llm import secrets, webp
+from exposark.llm import pii, secrets, webp
 
 
 @pytest.mark.parametrize("rows", [16411, 16384, 2 * 16384 + 1, 17 * 1024])
@@ -68,3 +68,26 @@ def test_windows_are_those_of_the_definition():
     for _ in range(300):
         scores = [rng.uniform(-5, 5) for _ in range(rng.randrange(12))]
         assert secrets._windows(scores) == plainly(scores, 0, len(scores))
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.fit()
+
+
+@pytest.mark.parametrize("address", ["john (AT) example (DOT) com", "john [AT] example [DOT] com", "john (At) example (Dot) com", "john (at) example (dot) com"])
+def test_spelled_addresses_in_any_case(field, address):
+    text = f"mail {address} now"
+    assert (5, 5 + len(address), "model_email") in {(a, b, kind) for a, _, b, kind in pii.find_pii(text, field)}
+
+
+def test_all_of_the_best_segmentation_is_found(field):
+    rng = random.Random(99)
+    right = wrong = there = 0
+    for _ in range(150):
+        text, tokens, gold = pii.example(rng)
+        want = {(*pii.trimmed(text, tokens[a][0], tokens[b - 1][1]), k) for a, b, k in gold if k}
+        got = set(field.decode(text, 0, len(text)))
+        right, wrong, there = right + len(want & got), wrong + len(got - want), there + len(want)
+    assert right / there > 0.95
+    assert right / (right + wrong) > 0.95
