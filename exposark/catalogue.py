@@ -274,6 +274,11 @@ def hist_timeline(spark, sf_dir):
     return history.timeline(C.scans(spark, sf_dir), 7)
 
 
+@query(f"WITH {SCANS_SQL} SELECT owner_id, scan_id, strftime(upload_date, '%Y-%m-%d') AS day, score, risk, n_findings FROM scans")
+def hist_timelines(spark, sf_dir):
+    return history.timelines(C.scans(spark, sf_dir))
+
+
 @query(f"WITH {SCANS_SQL} SELECT owner_id, count(*) AS n_scans, round(avg(score), 1) AS avg_score, max(score) AS max_score, min(score) AS min_score, sum(n_findings)::BIGINT AS n_findings FROM scans GROUP BY owner_id")
 def hist_summary(spark, sf_dir):
     return history.summary(C.scans(spark, sf_dir))

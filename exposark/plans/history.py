@@ -13,6 +13,11 @@ def timeline(scans: DataFrame, owner: int) -> DataFrame:
     return scans.where(F.col("owner_id") == owner).select("scan_id", F.date_format("upload_date", "yyyy-MM-dd").alias("day"), "score", "risk", "n_findings")
 
 
+def timelines(scans: DataFrame) -> DataFrame:
+    """The timeline of every owner."""
+    return scans.select("owner_id", "scan_id", F.date_format("upload_date", "yyyy-MM-dd").alias("day"), "score", "risk", "n_findings")
+
+
 def summary(scans: DataFrame) -> DataFrame:
     """By owner: scans, mean, highest and lowest score, findings."""
     return scans.groupBy("owner_id").agg(
