@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposark.llm.common import SPACES, shared_dir, stored
+from exposark.llm.common import SPACES, needed, packed, place_of, shared_dir, stored, unpacked
 
 MIN_CHARS = 10
 FANOUT = 2
@@ -38,7 +38,7 @@ def line_key(line: Column) -> Column:
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, row (a hash of the text), n (position), h1, h2 of each line whose key is long enough."""
-    lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row"), F.posexplode(split_lines(F.col("text"))).alias("n", "line"))
+    lines = needed(docs, "doc_id", "text").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row"), F.posexplode(split_lines(F.col("text"))).alias("n", "line"))
     keyed = lines.select("doc_id", "row", "n", line_key(F.col("line")).alias("key")).where(F.length("key") >= MIN_CHARS)
     return keyed.select("doc_id", "row", "n", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(0x9E3779B9), F.col("key")).alias("h2"))
 
@@ -111,39 +111,43 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     spark = docs.sparkSession
     lines = stored(hashed_lines(docs), "line-hashes")
     runs = LineRuns(spark)
-    edges = [None, *batch_bounds(lines, batches), None]
-    for low, high in zip(edges, edges[1:], strict=False):
-        batch = lines if low is None else lines.where(F.col("doc_id") >= low)
-        runs.add(batch if high is None else batch.where(F.col("doc_id") < high))
-    owners = runs.owners().withColumnRenamed("owner", "doc_id")
-    out = lines.join(owners, ["h1", "h2", "doc_id"], "left_anti").groupBy("doc_id", "row").agg(F.collect_set("n").alias("dropped"))
-    out = stored(out, "dropped-lines")
-    runs.close()
-    return out
+    try:
+        edges = [None, *batch_bounds(lines, batches), None]
+        for low, high in zip(edges, edges[1:], strict=False):
+            batch = lines if low is None else lines.where(F.col("doc_id") >= low)
+            runs.add(batch if high is None else batch.where(F.col("doc_id") < high))
+        owners = runs.owners().withColumnRenamed("owner", "doc_id")
+        out = lines.join(owners, ["h1", "h2", "doc_id"], "left_anti").groupBy("doc_id", "row").agg(F.collect_set("n").alias("dropped"))
+        return stored(out, "dropped-lines")
+    finally:
+        runs.close()
 
 
 def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """The rows of docs with the text that is left, and n_lines (before) and n_dropped, which replace columns of these names. Other columns stay."""
-    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return _left(docs, batches).select(*_columns(others + ["text"], docs.columns), "n_lines", "n_dropped")
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    kept = needed(docs, *names)
+    left = _left(kept, batches)
+    rows = left.select("own.*", "n_lines", "n_dropped")
+    return rows.toDF(*names, "n_lines", "n_dropped")
 
 
 def without_dropped_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """The rows of docs with the text that is left, and no columns but those of docs, whatever their names."""
-    return _left(docs, batches).select(*_columns(docs.columns, docs.columns))
-
-
-def _columns(names: list[str], order: list[str]) -> list[Column]:
-    return [F.col("text") if c == "text" else F.col("own").getField(c).alias(c) for c in order if c in names]
+    """The rows of docs with the text that is left, and no columns but those of docs, whatever their names. A column n_chars of whole numbers follows the text."""
+    return unpacked(_left(docs, batches), docs)
 
 
 def _left(docs: DataFrame, batches: int) -> DataFrame:
-    """own (a struct of all columns but the text, so that their names meet no others), text, n_lines and n_dropped of each row."""
+    """own (a struct of all columns, with the text that is left), n_lines and n_dropped of each row."""
     drops = dropped_lines(docs, batches)
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("own"), F.col("text").cast("string").alias("text"))
-    joined = own.join(drops, (F.col("own.doc_id").cast("long") == F.col("doc_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("row")), "left")
+    rows = packed(docs, "doc_id", "text").select("own", F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    joined = rows.join(drops, (F.col("id") == F.col("doc_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("row")), "left")
     counted = joined.withColumn("lines", split_lines(F.col("text"))).withColumn("n_lines", F.size("lines").cast("long")).withColumn("n_dropped", F.greatest(F.coalesce(F.size("dropped"), F.lit(0)), F.lit(0)).cast("long"))
     # array_except is linear in both arrays, unlike a search of one in the other for each line
     left = F.transform(F.array_except(F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")), F.col("dropped")), lambda i: F.get("lines", i))
-    kept = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
-    return counted.select("own", kept.alias("text"), "n_lines", "n_dropped")
+    kept = counted.withColumn("kept", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join(left, "\n")))
+    own = F.col("own").withField(f"c{place_of(docs.columns, 'text')}", F.col("kept"))
+    if "n_chars" in docs.columns:
+        k = place_of(docs.columns, "n_chars")
+        own = own.withField(f"c{k}", F.when(F.col("n_dropped") == 0, F.col(f"own.c{k}")).otherwise(F.length("kept").cast(docs.schema[k].dataType)))
+    return kept.select(own.alias("own"), "n_lines", "n_dropped")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exposark.llm.common import SPACES, map_texts
+from exposark.llm.common import SPACES, map_rows, map_texts, needed, unpacked
 
 WORD = re.compile(r"[^\x20\x09-\x0D]")
 SYMBOLS = "#*$%&|<>"
@@ -83,9 +83,9 @@ def text_stats(text: str) -> tuple:
     )
 
 
-def stats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and STATS of each whole text, and the carried columns as strings."""
-    return map_texts(docs, lambda: text_stats, ", ".join(f"{x} long" for x in STATS), carry)
+def stats(docs: DataFrame) -> DataFrame:
+    """doc_id and STATS of each whole text."""
+    return map_texts(docs, lambda: text_stats, ", ".join(f"{x} long" for x in STATS))
 
 
 #: What rules test: ratios of the statistics, so that they hold for texts of any length.
@@ -183,8 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """The decision list learned from at most max_labelled documents with a quality label (0: bad). Equal inputs, equal list."""
     chosen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")  # the limit bounds what is broadcast
-    rows = stats(marked).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", *(feature(k).alias(k) for k in FEATURES)).where(~base_fails_features()).dropDuplicates().toPandas()
+    ids = chosen.select("doc_id").distinct()
+    marked = needed(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(ids), "doc_id")  # the limit bounds what is broadcast
+    rows = stats(marked).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", *(feature(k).alias(k) for k in FEATURES)).where(~base_fails_features()).dropDuplicates()
+    # rows of one id may be many: the bound holds for rows too
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *FEATURES).limit(max_labelled).toPandas()
     rows = rows.sort_values(["doc_id", "quality", *FEATURES], kind="stable")
     table = {k: rows[k].to_numpy(float) for k in FEATURES}
     return learn(table, (rows["quality"] == 0).to_numpy(), rows["doc_id"].to_numpy() % 3 != 0)
@@ -214,21 +217,21 @@ def describe(rules: list[list[Test]]) -> list[str]:
     return [" and ".join(f"{x.name} {'>' if x.over else '<='} {x.threshold:g}" for x in rule) for rule in rules]
 
 
-def judge(docs: DataFrame, rules: list[list[Test]], carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, STATS, base_failed, the number of the rule that rejects the row (0: none), kept, and the carried columns as strings."""
+def judged(rows: DataFrame, rules: list[list[Test]]) -> DataFrame:
+    """rows (with STATS) with base_failed, the number of the rule that rejects the row (0: none), and kept."""
     return (
-        stats(docs, carry)
-        .withColumn("base_failed", base_failed())
+        rows.withColumn("base_failed", base_failed())
         .withColumn("rule", verdict(rules).cast("int"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
     )
 
 
+def judge(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
+    """doc_id, STATS, base_failed, the number of the rule that rejects the row (0: none), and kept."""
+    return judged(stats(docs), rules)
+
+
 def kept_rows(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs, whatever their names. Rows of one id, or of none, are judged each by its own text."""
-    row = lambda text: F.xxhash64(F.coalesce(text, F.lit("")))
-    judged = judge(docs.select("doc_id", "text", row(F.col("text")).alias("row")), rules, ("row",))
-    gone = judged.where(~F.col("kept")).select("doc_id", F.col("row").cast("long").alias("row")).distinct()
-    packed = docs.select(F.struct("*").alias("own"))
-    on = F.col("own.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (row(F.col("own.text")) == F.col("row"))
-    return packed.join(gone, on, "left_anti").select("own.*")
+    """The rows of docs that the rules keep, with the columns of docs, whatever their names. Each row is judged by its own text, on its way through, so nothing is shuffled."""
+    rows = map_rows(docs, lambda: text_stats, ", ".join(f"{x} long" for x in STATS))
+    return unpacked(judged(rows, rules).where("kept"), docs)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exposark.llm.common import map_batches, map_texts, stored
+from exposark.llm.common import map_batches, map_texts, packed, stored, unpacked
 
 SHINGLE = 4
 SEED = 42
@@ -156,12 +156,10 @@ def links(nodes: DataFrame, radius: int = RADIUS, largest: int = LARGEST_BUCKET)
     if radius != 4:
         raise ValueError("large buckets are linked through neighbours within 2 bits, which fits a radius of 4")
     masks = covering_masks(radius)
-    spark = nodes.sparkSession
     keyed = nodes.select(F.posexplode(F.array(*map(F.lit, masks))).alias("i", "mask"), "fp")
     key = F.col("fp").bitwiseAND(F.element_at(F.array(*map(F.lit, masks)), F.col("i") + 1))
     dealt = keyed.select("i", "fp").repartition("i", key).sortWithinPartitions("i", key)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    found = stored(dealt.mapInArrow(_bucket_links(masks, radius, largest), "a long, b long, i int"), "simhash-links")
+    found = stored(map_batches(dealt, _bucket_links(masks, radius, largest), "a long, b long, i int"), "simhash-links")
     direct = found.where("b IS NOT NULL").select("a", "b")
     # neighbours differ from a member in up to 2 of the bits that its table does not keep
     unkept = [[b for b in range(BITS) if not (m >> b) & 1] for m in masks]
@@ -210,6 +208,6 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     """The rows of docs that are the smallest of their component, one row for each such id. Rows with a null doc_id stay."""
     found = near_duplicates(docs, shingle, radius)
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
-    packed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("own"))
-    ids = packed.join(first, "id", "left_semi").dropDuplicates(["id"]).select("own.*")
-    return ids.unionByName(docs.where("doc_id IS NULL"))
+    rows = packed(docs, "doc_id").select("own", F.col("doc_id").cast("long").alias("id"))
+    kept = rows.where("id IS NOT NULL").join(first, "id", "left_semi").dropDuplicates(["id"]).select("own")
+    return unpacked(kept.unionByName(rows.where("id IS NULL").select("own")), docs)
