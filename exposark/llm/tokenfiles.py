@@ -1,25 +1,29 @@
-"""Token ids in compact files: a context-mixing range coder over independently reset, checksummed blocks.
+"""Token ids in compact files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-A block holds BLOCK ids. Its models start empty: the id seen last after the two ids before (order 2), after the one before (order 1),
-and a frequent id of the block (order 0), each with a confidence. An id is coded as one of SYMBOLS: right by order 2, by order 1, by
-order 0, or else the class of its size; within a class, equal parts of the range tell all but the low byte, which follows as it is. The
-symbol's distribution mixes three sets of counts, in all (order 0), by the confidence of order 1, and by that of order 2, under
-weights that follow which one foresaw the symbols so far. The models learn after every GROUP ids, so that most of the work is on whole
-groups. All is in whole numbers, so that reader and writer agree everywhere. Blocks depend on nothing but themselves: all blocks of
-a chunk are coded in step, one lane each.
+A block holds BLOCK ids. Three predictions of each id are mixed. Order 0: how the chunk's ids are distributed, kept apart for CLASSES
+classes of the id before; the classes gather ids that are followed by like ids. Order 1 and order 2: the id that the block itself saw last after
+the id before, and after the two ids before, each with a confidence. The more certain of orders 2 and 1 gets the share of the range that
+guesses of its confidences have earned in the block so far; the distribution has the rest. So each id is one narrowing of the range, whole, and
+nothing is written beside the coder. The block's guesses, confidences and shares are learned anew in each block, after every GROUP ids; what
+a chunk's blocks have in common, the distribution, stands once before them and is checksummed as the blocks are.
+
+Ranges are whole numbers below 2^53 in double precision and only added, multiplied, divided and rounded down, which is exact, so reader
+and writer agree everywhere. All blocks of a piece are coded in step, one lane each.
 
 A file is a Parquet file of chunks; a chunk is a row with its documents, their token counts, and its blocks.
 
 Defined results: a null or empty text has only the end id; rows with a null doc_id come first; repeated rows are documents of their
-own. A damaged block is an error when read.
+own, in the order of a hash of their texts. A damaged block is an error when read.
 """
 
 from __future__ import annotations
 
+import operator
 import re
 import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,303 +34,318 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exposark.llm.bpe import LATIN, NEW_LETTERS, NEW_NUMBERS, byte_symbols
-from exposark.llm.common import map_batches, shared_dir
+from exposark.llm.common import map_batches, needed, shared_dir
 
+#: Ids of a block, at most 2^14, and of a chunk: it ends with the first document that brings it to so many.
 BLOCK = 1024
-#: A chunk ends with the first document that brings it to so many ids.
 CHUNK = 2 << 20
-#: Lanes that are coded in step, and the ids after which the models learn.
+#: Blocks of a piece, which are coded in step, and the ids after which the models learn.
 LANES = 2048
 GROUP = 32
-SLOTS = 1 << 9
-RIGHT2, RIGHT1, RIGHT0, CLASS = 0, 1, 2, 3
-#: Ids of up to eight bits are one class, the others one for each number of bits.
-SYMBOLS = CLASS + 10
-#: Symbols with room for a search by halves.
-DEEP = 16
-CONFIDENCES = 4
-#: What a symbol's count grows by, and the sum of counts beyond which they are halved.
-STEP = 24
-LARGEST_SUM = 1024
-#: Mixed shares are parts of TOTAL; each symbol has one at least. Sums of shares under all weights are brought there by SHIFT.
-TOTAL_BITS = np.uint64(12)
-TOTAL = 1 << 12
-WEIGHTS = 16
-SHIFT = 12
-SHARED = (TOTAL - SYMBOLS << SHIFT) // WEIGHTS
-#: Bits of a share that its merit leaves out.
-SHARES_LOST = 4
-#: Ranges of three 16-bit digits.
-DIGIT, DIGITS_ABOVE = np.uint64(16), np.uint64(32)
-TOP, BOTTOM, FULL = np.uint64(1 << 32), np.uint64(1 << 24), np.uint64((1 << 48) - 1)
-REMEMBERED = 300_000
-HEAD = struct.Struct("<IIII")
-#: By the sum of a set of counts: the factor that makes the counts shares of SHARED.
-INVERSE = np.array([0] + [SHARED // n for n in range(1, LARGEST_SUM + STEP * GROUP + 1)], np.int32)
-#: By twice the confidence, plus one if the guess was right: the next confidence, and whether the guess stays.
-NEXT_TRUST = np.array([1, 1, 1, 2, 1, 3, 2, 3], np.int64)
-STAYS = np.array([0, 1, 0, 1, 1, 1, 1, 1], bool)
-#: By an id without its low byte: its symbol if no model foresees it. By symbol: the least such number, and how many bits it leaves open.
-CLASS_OF = np.array([CLASS + n.bit_length() for n in range(1 << SYMBOLS - CLASS - 1)])
-LEAST = np.array([0] * (CLASS + 1) + [1 << k for k in range(SYMBOLS - CLASS - 1)])
-OPEN = np.array([0] * (CLASS + 1) + list(range(SYMBOLS - CLASS - 1)), np.uint64)
+#: Places for guesses of each order in a block.
+SLOTS = 1 << 8
+#: Classes of ids by what follows them, and how often each id may change its class.
+CLASSES = 16
+ROUNDS = 3
+#: Shares of a class's distribution add up to two to this, or more if it has very many ids.
+SHARE_BITS = 15
+#: Parts of a range, the least range, and what a digit of the stream counts.
+TOTAL = float(1 << 24)
+LEAST, DIGIT = float(1 << 32), float(1 << 16)
+TRUSTS = 4
+#: By the confidence of order 2 and that of order 1 (0: no guess): how often the guess is right, as far as a new block knows, which counts as EVIDENCE guesses.
+FORESEEN = np.array([0.0, 0.3, 0.5, 0.7, 0.35, 0.5, 0.6, 0.8, 0.6, 0.7, 0.8, 0.9, 0.85, 0.9, 0.92, 0.95])
+EVIDENCE = 4.0
+MOST_FORESEEN = 0.98
+HEAD = struct.Struct("<HHI")
+PIECE = struct.Struct("<III")
+REMEMBERED = 500_000
 
 
 # --- the models ---------------------------------------------------------------------------------------------------------
 
 
+class Prior:
+    """Order 0: the distribution of a piece's ids by class of the id before. Ids are numbered; number len(ids) stands for the start of a block."""
+
+    def __init__(self, ids: np.ndarray, classes: np.ndarray, places: np.ndarray, shares: np.ndarray) -> None:
+        self.ids, self.classes, self.places, self.shares = ids, classes, places, shares  # places: class * ids + number, ascending
+        n = len(ids)
+        ends = np.cumsum(shares)
+        self.bits = int(ends[np.searchsorted(places, n) - 1]).bit_length() - 1
+        before = places // n << self.bits
+        self.below, self.above = (ends - shares - before).astype(float), (ends - before).astype(float)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, block: int) -> tuple[Prior, np.ndarray]:
+        """The distribution of ids that are parted into blocks, and their numbers."""
+        counts = np.bincount(ids)
+        known = np.flatnonzero(counts)
+        n = len(known)
+        number = np.zeros(len(counts), np.int64)
+        number[known] = np.arange(n)
+        numbers = number.take(ids)
+        pairs = np.empty(len(ids), np.int64)
+        pairs[1:] = numbers[:-1]
+        pairs[::block] = n
+        pairs *= n
+        pairs += numbers
+        pairs.sort()
+        edges = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+        times = np.diff(np.append(edges, len(pairs)))
+        first, second = np.divmod(pairs[edges], n)
+        starts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
+        rows = first[starts]
+        classes = np.zeros(n + 1, np.int64)
+        classes[rows[np.argsort(-np.add.reduceat(times, starts), kind="stable")]] = np.arange(len(rows)) % CLASSES
+        smooth = np.bincount(second, times, n) * (2 * CLASSES / len(pairs))
+        weights = times.astype(np.float32)
+        for _ in range(ROUNDS):  # each id joins the class that foresees best what follows it
+            joint = np.bincount(classes.take(first) * n + second, times, CLASSES * n).reshape(CLASSES, n) + smooth
+            worth = np.log2(joint / joint.sum(axis=1, keepdims=True)).astype(np.float32)
+            classes[rows] = np.stack([np.add.reduceat(weights * w.take(second), starts) for w in worth]).argmax(axis=0)
+        joint = np.bincount(classes.take(first) * n + second, times, CLASSES * n).astype(np.int64).reshape(CLASSES, n)
+        joint[:, 0] += joint.sum(axis=1) == 0
+        used = (joint > 0).sum(axis=1, keepdims=True)
+        whole = 1 << max(SHARE_BITS, int(used.max()).bit_length() + 1)
+        shares = np.where(joint > 0, 1 + joint * (whole - used) // joint.sum(axis=1, keepdims=True), 0)
+        shares[np.arange(CLASSES), shares.argmax(axis=1)] += whole - shares.sum(axis=1)
+        places = np.flatnonzero(shares)
+        return cls(known, classes, places, shares.reshape(-1)[places]), numbers
+
+    def packed(self) -> bytes:
+        values = np.concatenate(([len(self.ids), len(self.places)], np.diff(self.ids, prepend=0), self.classes, np.diff(self.places, prepend=0), self.shares)).astype("<u4")
+        return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Prior:
+        raw = np.frombuffer(zlib.decompress(data), np.uint8)
+        values = np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view("<u4").astype(np.int64)
+        n, m = int(values[0]), int(values[1])
+        ids, classes, gaps, shares = np.split(values[2:], np.cumsum([n, n + 1, m]))
+        return cls(np.cumsum(ids), classes, np.cumsum(gaps), shares)
+
+
 class Models:
-    """The state of so many blocks that are coded in step. It changes after each group of GROUP ids, and is the same within one."""
+    """Orders 1 and 2 of so many blocks that are coded in step. They change after each group of GROUP ids, and are the same within one."""
 
     def __init__(self, lanes: int) -> None:
-        self.lanes = lanes
-        self.lane = np.arange(lanes)
-        self.base = self.lane * SLOTS
-        self.seen = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]  # four times the id, plus the confidence
-        self.most, self.votes = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.counts = [np.ones((SYMBOLS, k, lanes), np.int32) for k in (1, CONFIDENCES, CONFIDENCES)]
-        self.merits = np.ones((3, lanes), np.int64)
-        self.sums = np.full((DEEP, CONFIDENCES, CONFIDENCES, lanes), TOTAL, np.int32)
-        self.depth = CONFIDENCES * CONFIDENCES * lanes
+        self.lanes, self.lane = lanes, np.arange(lanes, dtype=np.int32)
+        self.base = np.arange(lanes) * SLOTS
+        self.seen = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)  # four times the number, plus the confidence
+        self.right, self.tried = np.repeat(FORESEEN * EVIDENCE, lanes), np.full(TRUSTS * TRUSTS * lanes, EVIDENCE)
+        self.slots = np.zeros((2, GROUP, lanes), np.int64)
+        self.found = np.zeros((2, GROUP, lanes), np.int32)
+        self.row = np.zeros((GROUP, lanes), np.int64)
 
     def mix(self) -> None:
-        """The running sums of the mixed shares, by symbol, both confidences and lane, for the group to come."""
-        self.shares = [c * INVERSE.take(c.sum(axis=0)) for c in self.counts]
-        weights = 1 + (WEIGHTS - 3) * self.merits // self.merits.sum(axis=0)
-        weights[self.merits.argmax(axis=0), self.lane] += WEIGHTS - weights.sum(axis=0)
-        weights = weights.astype(np.int32)
-        zero, one, two = (s * w for s, w in zip(self.shares, weights, strict=True))
-        self.sums[0] = 0
-        first, second = np.zeros_like(one[0]), np.zeros_like(two[0])
-        for s in range(SYMBOLS - 1):
-            first += zero[s]
-            first += one[s]
-            second += two[s]
-            part = self.sums[s + 1]
-            np.add(first[:, None], second[None], out=part)
-            part >>= SHIFT
-            part += s + 1
-
-    def foresee(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
-        """After the id before and the one before that: the slots, guesses and confidences of orders 1 and 2, and the place in the sums."""
-        mixed_up = one * 0x9E37
-        slots = self.base + (mixed_up >> 6 & SLOTS - 1), self.base + (mixed_up + two * 0x5BD1 >> 5 & SLOTS - 1)
-        seen = [self.seen[k].take(slots[k]).astype(np.int64) for k in range(2)]
-        trust = seen[0] & 3, seen[1] & 3
-        row = (trust[0] * CONFIDENCES + trust[1]) * self.lanes + self.lane
-        return *slots, seen[0] >> 2, seen[1] >> 2, *trust, row
-
-    def symbols(self, ids: np.ndarray, foreseen: tuple[np.ndarray, ...]) -> np.ndarray:
-        """The symbol of each id under the present guesses."""
-        _, _, guess1, guess2, trust1, trust2, _ = foreseen
-        out = CLASS_OF.take(ids >> 8)
-        out[(ids == self.most) & (self.votes > 0)] = RIGHT0
-        out[(ids == guess1) & (trust1 > 0)] = RIGHT1
-        out[(ids == guess2) & (trust2 > 0)] = RIGHT2
-        return out
-
-    def update(self, ids: np.ndarray, symbols: np.ndarray, foreseen: tuple[np.ndarray, ...]) -> None:
-        """Learn a group, (its ids, lanes)."""
-        slot1, slot2, guess1, guess2, trust1, trust2, _ = foreseen
-        for k, (slot, guess, trust) in enumerate(((slot1, guess1, trust1), (slot2, guess2, trust2))):
-            state = trust * 2 + (guess == ids)
-            self.seen[k][slot] = np.where(STAYS.take(state), guess, ids) << 2 | NEXT_TRUST.take(state)  # of several at one slot, the last stays
-        for k, trust in enumerate((0, trust1, trust2)):
-            counts = self.counts[k]
-            at = (symbols * counts.shape[1] + trust) * self.lanes + self.lane
-            new = np.bincount(at.reshape(-1), minlength=counts.size).reshape(counts.shape).astype(np.int32)
-            merit = sum((new[s] * (self.shares[k][s] >> SHARES_LOST) for s in range(SYMBOLS)), np.zeros_like(new[0]))
-            self.merits[k] = (self.merits[k] >> 1) + merit.sum(axis=0) + 1
-            new *= STEP
-            counts += new
-            full = counts.sum(axis=0) > LARGEST_SUM
-            if full.any():
-                which, lane = np.nonzero(full)
-                counts[:, which, lane] = (counts[:, which, lane] + 1) >> 1
-        self.votes += 2 * (ids == self.most).sum(axis=0) - len(ids)
-        lost = self.votes <= 0
-        self.most = np.where(lost, ids[-1], self.most)
-        self.votes = np.where(lost, 1, self.votes)
+        """The part of TOTAL that the guess gets in the group to come, by both confidences and lane; none where there is no guess."""
+        self.part = np.floor(self.right / self.tried * (TOTAL * MOST_FORESEEN)) + 1
+        self.part[: self.lanes] = 0
+
+    def foresee(self, k: int, until: int, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the ids k to until of the group, after the id before and the one before that: the guess, and its part."""
+        slots, found, row = self.slots[:, k:until], self.found[:, k:until], self.row[k:until]
+        mixed = one * np.int32(0x9E37)
+        for j, key in enumerate((mixed >> 6, mixed + two * np.int32(0x5BD1) >> 5)):
+            np.add(self.base, key & np.int32(SLOTS - 1), out=slots[j])
+            self.seen[j].take(slots[j], out=found[j], mode="clip")
+        np.add((((found[1] & 3) << 2) + (found[0] & 3)) * np.int32(self.lanes), self.lane, out=row)
+        return np.where(found[1] > 0, found[1], found[0]) >> 2, self.part.take(row)
+
+    def learn(self, numbers: np.ndarray, right: np.ndarray) -> None:
+        """Learn the group: what followed, and where the guess was right."""
+        n = len(numbers)
+        fresh = (numbers << 2) + 1
+        for seen, slot, x in zip(self.seen, self.slots[:, :n], self.found[:, :n], strict=True):
+            trust = x & 3
+            seen[slot] = np.where(x >> 2 == numbers, x + (trust < 3), np.where(trust == 3, x - 1, fresh))  # of several at one slot, the last stays
+        row, size = self.row[:n], len(self.tried)
+        self.right += np.bincount(row[right], minlength=size)
+        self.tried += np.bincount(row.reshape(-1), minlength=size)
 
 
 # --- the coder ----------------------------------------------------------------------------------------------------------
 
 
-class Ranges:
-    """The ranges of all lanes, and the places in their streams of 16-bit digits."""
-
-    def __init__(self, lanes: int, room: int) -> None:
-        self.low, self.wide = np.zeros(lanes, np.uint64), np.full(lanes, FULL, np.uint64)
-        self.at = np.arange(lanes) * room
-
-    def narrow(self, below: np.ndarray, share: np.ndarray, open_bits: np.ndarray) -> None:
-        """Narrow each range to a symbol's part, and that to the first of the parts that the open bits choose from."""
-        unit = self.wide >> TOTAL_BITS
-        self.low += below * unit
-        np.multiply(unit, share, out=self.wide)
-        self.wide >>= open_bits
-
-    def choose(self, value: np.ndarray) -> None:
-        self.low += value * self.wide
-        self.low &= FULL
-
-    def _settled(self, low: np.ndarray, wide: np.ndarray) -> np.ndarray:
-        """Lanes whose first digit is settled, or whose range is too small; the latter's range is cut to what settles it."""
-        settled = (low ^ (low + wide & FULL)) < TOP
-        small = np.flatnonzero(wide < BOTTOM)
-        if len(small):
-            small = small[~settled[small]]
-            wide[small] = (~low[small] + np.uint64(1)) & (BOTTOM - np.uint64(1))
-            settled[small] = True
-        return np.flatnonzero(settled)
-
-    def due(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(lanes, their places, their digits) as long as any lane has a settled digit."""
-        due = self._settled(self.low, self.wide)
-        while len(due):
-            low, wide, place = self.low.take(due), self.wide.take(due), self.at.take(due)
-            yield due, place, low >> DIGITS_ABOVE
-            self.at[due] = place + 1
-            low, wide = low << DIGIT & FULL, wide << DIGIT & FULL
-            more = self._settled(low, wide)
-            self.low[due], self.wide[due] = low, wide
-            due = due[more]
-
-
-def encode_lanes(matrix: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """The blocks of the rows of a matrix of ids. Rows shorter than the matrix end in zeros, which are coded but not read again."""
-    lanes, width = matrix.shape
+def encode_piece(ids: np.ndarray, block: int) -> bytes:
+    """Up to LANES blocks of ids, behind their distribution. A last block that is shorter takes whole ranges beyond its end."""
+    prior, numbers = Prior.of(ids.astype(np.int64), block)
+    n = len(prior.ids)
+    lanes, width = -(-len(ids) // block), min(block, len(ids))
+    lengths = np.full(lanes, width)
+    lengths[-1] = len(ids) - block * (lanes - 1)
+    columns = np.full((width + 2, lanes), n, np.int32)
+    rows = np.zeros(lanes * width, np.int32)
+    rows[: len(ids)] = numbers
+    columns[2:] = rows.reshape(lanes, width).T
+    pair = np.zeros(CLASSES * n, np.int64)
+    pair[prior.places] = np.arange(len(prior.places))
+    before = prior.classes * n
     models = Models(lanes)
-    columns = np.zeros((width + 2, lanes), np.int64)
-    columns[2:] = matrix.T
-    chosen = np.zeros((width, lanes), np.int8)
-    room = 2 * width + 16
-    ranges, out = Ranges(lanes, room), np.zeros(lanes * room, "<u2")
+    low, wide = np.zeros(lanes), np.full(lanes, LEAST * DIGIT)
+    room = 2 * width + 8
+    at, out = np.arange(lanes) * room, np.zeros(lanes * room)
     for t in range(0, width, GROUP):
         until = min(t + GROUP, width)
-        ids = columns[t + 2 : until + 2]
+        one, now = columns[t + 1 : until + 1], columns[t + 2 : until + 2]
         models.mix()
-        foreseen = models.foresee(columns[t + 1 : until + 1], columns[t:until])
-        symbols = models.symbols(ids, foreseen)
-        chosen[t:until] = symbols
-        place = symbols * models.depth + foreseen[-1]
-        below = models.sums.take(place)
-        share = (models.sums.take(place + models.depth) - below).astype(np.uint64)
-        below = below.astype(np.uint64)
-        open_bits = OPEN.take(symbols)
-        value = np.where(open_bits > 0, (ids >> 8) - LEAST.take(symbols), 0).astype(np.uint64)
+        guess, part = models.foresee(0, until - t, one, columns[t:until])
+        right = (now == guess) & (part > 0)
+        rest = (TOTAL - part) * 2.0**-prior.bits
+        place = pair.take(before.take(one) + now)
+        start = part + np.floor(prior.below.take(place) * rest)
+        share = part + np.floor(prior.above.take(place) * rest)
+        np.copyto(start, 0.0, where=right)
+        np.copyto(share, part, where=right)
+        share -= start
+        if until > lengths[-1]:
+            beyond = max(0, int(lengths[-1]) - t)
+            start[beyond:, -1], share[beyond:, -1] = 0.0, TOTAL
         for k in range(until - t):
-            ranges.narrow(below[k], share[k], open_bits[k])
-            ranges.choose(value[k])
-            for _, at, digits in ranges.due():
-                out[at] = digits
-        models.update(ids, symbols, foreseen)
-    for k in (DIGITS_ABOVE, DIGIT, np.uint64(0)):
-        out[ranges.at] = ranges.low >> k & np.uint64(0xFFFF)
-        ranges.at += 1
-    blocks = []
-    low_bytes, spelled = matrix.astype(np.uint8), np.ascontiguousarray(chosen.T) >= CLASS
-    for k in range(lanes):
-        n, coded = int(lengths[k]), out[k * room : ranges.at[k]].tobytes()
-        raw = low_bytes[k, :n][spelled[k, :n]].tobytes()
-        blocks.append(HEAD.pack(n, len(coded), len(raw), zlib.crc32(matrix[k, :n].astype("<u4").tobytes())) + coded + raw)
-    return blocks
+            unit = np.floor(wide * (1 / TOTAL))
+            low += start[k] * unit
+            wide = share[k] * unit
+            due = wide < LEAST
+            while due.any():
+                digit = np.floor(low * (1 / LEAST))  # may be over a digit: what is carried is settled below
+                out[at] = digit
+                at += due
+                low -= digit * (due * LEAST)
+                up = np.where(due, DIGIT, 1.0)
+                low *= up
+                wide *= up
+                due = wide < LEAST
+        models.learn(now, right)
+    out[at] = np.ceil(low * (1 / LEAST))
+    at += 1 - np.arange(lanes) * room
+    digits = out.reshape(lanes, room)[:, : at.max()].astype(np.int32)
+    while (digits > 0xFFFF).any():
+        carry = digits >> 16
+        digits &= 0xFFFF
+        digits[:, :-1] += carry[:, 1:]
+    digits = digits.astype("<u2")
+    whole = np.ascontiguousarray(ids, "<u4")
+    coded = [digits[k, : at[k]].tobytes() for k in range(lanes)]
+    heads = [HEAD.pack(int(lengths[k]), at[k], zlib.crc32(whole[k * block : (k + 1) * block])) for k in range(lanes)]
+    packed = prior.packed()
+    return b"".join((PIECE.pack(len(packed), lanes, zlib.crc32(packed)), packed, *heads, *coded))
 
 
 def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """Ids below 2^17 as blocks end to end."""
-    parts: list[bytes] = []
-    for i in range(0, len(ids), block * LANES):
-        piece = ids[i : i + block * LANES].astype(np.int32)
-        lanes = -(-len(piece) // block)
-        matrix = np.zeros((lanes, min(block, len(piece))), np.int32)
-        matrix.reshape(-1)[: len(piece)] = piece
-        lengths = np.full(lanes, block)
-        lengths[-1] = len(piece) - block * (lanes - 1)
-        parts += encode_lanes(matrix, lengths)
-    return b"".join(parts)
-
-
-def decode_lanes(heads: list[tuple[int, int, int, int]], coded: list[bytes], raws: list[bytes]) -> list[np.ndarray]:
+    """Ids below 2^17 as pieces end to end."""
+    return b"".join(encode_piece(ids[i : i + block * LANES], block) for i in range(0, len(ids), block * LANES))
+
+
+def decode_piece(prior: Prior, heads: list[tuple[int, int, int]], coded: list[bytes]) -> list[np.ndarray]:
     """The ids of blocks. A block shorter than the longest is read on over its end, and what that gives is left out."""
     lanes, width = len(heads), max(h[0] for h in heads)
     models = Models(lanes)
-    room, raw_room = max(map(len, coded)) // 2 + 8, max(map(len, raws)) + 8
-    stream, raw = np.zeros((lanes, room), "<u2"), np.zeros((lanes, raw_room), np.uint8)
-    for k in range(lanes):
-        stream[k, : len(coded[k]) // 2] = np.frombuffer(coded[k], "<u2")
-        raw[k, : len(raws[k])] = np.frombuffer(raws[k], np.uint8)
-    ranges = Ranges(lanes, room)
-    code = np.zeros(lanes, np.uint64)
-    for k in range(3):
-        code = code << DIGIT | stream[:, k]
-    ranges.at += 3
-    stream, raw = stream.reshape(-1), raw.reshape(-1).astype(np.int64)
-    raw_at = models.lane * raw_room
-    columns = np.zeros((width + 2, lanes), np.int64)
+    n = len(prior.ids)
+    room = max(map(len, coded)) // 2 + 8
+    stream = np.zeros((lanes, room), "<u2")
+    for k, x in enumerate(coded):
+        stream[k, : len(x) // 2] = np.frombuffer(x, "<u2")
+    stream = stream.reshape(-1).astype(float)
+    at, ahead = np.arange(lanes) * room, np.zeros(lanes)  # ahead: the stream's number less the lower end of the range
+    for _ in range(3):
+        ahead = ahead * DIGIT + stream.take(at)
+        at += 1
+    wide = np.full(lanes, LEAST * DIGIT)
+    columns = np.full((width + 2, lanes), n, np.int32)
+    pair = np.repeat(np.arange(len(prior.places), dtype=np.int32), prior.shares)
+    number = (prior.places % n).astype(np.int32)
+    first = prior.classes << prior.bits
+    right = np.zeros((GROUP, lanes), bool)
     for t in range(0, width, GROUP):
         until = min(t + GROUP, width)
         models.mix()
-        steps, found = [], []
         for k in range(t, until):
-            one, two = columns[k + 1], columns[k]
-            foreseen = models.foresee(one, two)
-            row = foreseen[-1]
-            unit = ranges.wide >> TOTAL_BITS
-            value = np.minimum((code - ranges.low & FULL) // unit, np.uint64(TOTAL - 1)).astype(np.int32)
-            symbols = np.zeros(lanes, np.int64)
-            for half in (8, 4, 2, 1):
-                symbols += half * (models.sums.take((symbols + half) * models.depth + row) <= value)
-            place = symbols * models.depth + row
-            below = models.sums.take(place)
-            share = (models.sums.take(place + models.depth) - below).astype(np.uint64)
-            open_bits = OPEN.take(symbols)
-            ranges.narrow(below.astype(np.uint64), share, open_bits)
-            chosen = np.minimum((code - ranges.low & FULL) // ranges.wide, (np.uint64(1) << open_bits) - np.uint64(1))
-            ranges.choose(chosen)
-            for due, at, _ in ranges.due():
-                code[due] = (code.take(due) << DIGIT | stream.take(at, mode="clip")) & FULL
-            ids = (LEAST.take(symbols) + chosen.astype(np.int64) << 8) + raw.take(raw_at, mode="clip")
-            raw_at += symbols >= CLASS
-            for symbol, guess in ((RIGHT2, foreseen[3]), (RIGHT1, foreseen[2]), (RIGHT0, models.most)):
-                np.copyto(ids, guess, where=symbols == symbol)
-            columns[k + 2] = ids
-            steps.append(foreseen)
-            found.append(symbols)
-        models.update(columns[t + 2 : until + 2], np.array(found), tuple(np.array(x) for x in zip(*steps, strict=True)))
-    matrix = np.ascontiguousarray(columns[2:].T.astype(np.int32))
+            one = columns[k + 1]
+            guess, part = (x[0] for x in models.foresee(k - t, k - t + 1, one, columns[k]))
+            rest = (TOTAL - part) * 2.0**-prior.bits
+            unit = np.floor(wide * (1 / TOTAL))
+            value = np.floor(ahead / unit)
+            np.minimum(value, TOTAL - 1, out=value)
+            foreseen = np.less(value, part, out=right[k - t])
+            value -= part
+            value += 1
+            value /= rest
+            place = np.ceil(value, out=value).astype(np.int64)
+            place += first.take(one)
+            place -= 1
+            place = pair.take(place, mode="clip")
+            start = part + np.floor(prior.below.take(place) * rest)
+            share = part + np.floor(prior.above.take(place) * rest)
+            np.copyto(start, 0.0, where=foreseen)
+            np.copyto(share, part, where=foreseen)
+            columns[k + 2] = np.where(foreseen, guess, number.take(place))
+            share -= start
+            start *= unit
+            ahead -= start
+            wide = share * unit
+            due = wide < LEAST
+            while due.any():
+                up = np.where(due, DIGIT, 1.0)
+                wide *= up
+                ahead *= up
+                ahead += stream.take(at, mode="clip") * due
+                at += due
+                due = wide < LEAST
+        models.learn(columns[t + 2 : until + 2], right[: until - t])
+    matrix = prior.ids.astype("<u4").take(columns[2:].T, mode="clip")
     out = []
-    for k, (n, _, _, crc) in enumerate(heads):
-        row = matrix[k, :n]
-        if zlib.crc32(row.astype("<u4").tobytes()) != crc:
+    for row, (length, _, crc) in zip(matrix, heads, strict=True):
+        if zlib.crc32(row[:length]) != crc:
             raise ValueError("a block of token ids is damaged")
-        out.append(row)
+        out.append(row[:length])
     return out
 
 
 def decode_ids(data: bytes) -> np.ndarray:
-    """The ids of blocks end to end. Raises ValueError where a block's checksum does not hold."""
-    heads, coded, raws, at = [], [], [], 0
-    while at < len(data):
-        n, a, b, crc = HEAD.unpack_from(data, at)
-        at += HEAD.size
-        if at + a + b > len(data):
-            raise ValueError("a block of token ids is cut off")
-        heads.append((n, a, b, crc))
-        coded.append(data[at : at + a])
-        raws.append(data[at + a : at + a + b])
-        at += a + b
-    out: list[np.ndarray] = []
-    for i in range(0, len(heads), LANES):
-        out += decode_lanes(heads[i : i + LANES], coded[i : i + LANES], raws[i : i + LANES])
-    return np.concatenate(out) if out else np.zeros(0, np.int32)
+    """The ids of pieces end to end. Raises ValueError where a checksum does not hold."""
+    at, out = 0, []
+    try:
+        while at < len(data):
+            size, lanes, crc = PIECE.unpack_from(data, at)
+            at += PIECE.size
+            packed = data[at : at + size]
+            if zlib.crc32(packed) != crc:
+                raise ValueError("the distribution of a piece of token ids is damaged")
+            at += size
+            heads = [HEAD.unpack_from(data, at + k * HEAD.size) for k in range(lanes)]
+            at += lanes * HEAD.size
+            ends = at + 2 * np.cumsum([h[1] for h in heads])
+            if ends[-1] > len(data):
+                raise ValueError("a block of token ids is cut off")
+            coded = [data[b - 2 * h[1] : b] for h, b in zip(heads, ends.tolist(), strict=True)]
+            at = int(ends[-1])
+            with np.errstate(over="ignore"):  # numbers of damaged streams may grow without bound; their checksums tell
+                out += decode_piece(Prior.unpacked(packed), heads, coded)
+    except (struct.error, IndexError) as e:
+        raise ValueError("a piece of token ids is cut off") from e
+    return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
 # --- tokens -------------------------------------------------------------------------------------------------------------
 
 
+#: Bytes of texts whose words can be encoded apart: ASCII without rare white space, and letters up to U+017F.
+PLAIN = bytes(sorted((set(range(128)) - {*range(9, 10), *range(11, 14), *range(0x1C, 0x20)}) | set(range(0x80, 0xC6)) - {0xC0, 0xC1}))
+#: White space beside a space, and white space beyond ASCII: such texts are not parted at spaces.
+APART = ("  ", " \n", "\n ", "\x85", "\xa0")
+#: Longer words are not remembered.
+LONGEST_REMEMBERED = 64
+#: Pieces of up to so many characters are remembered for themselves.
+SHORT = 2
+#: Signs that end a word and are a piece of their own after letters.
+ENDS = tuple(".,;:!?)")
+LAST_LATIN = chr(LATIN)
+ID_OF = operator.attrgetter("id")
+
+
 class Tokens:
-    """Ids of texts by the tokenizers library. Its byte-level pre-tokeniser parts a text into pieces that are encoded apart, so each piece is encoded once and remembered."""
+    """Ids of texts by the tokenizers library. Its byte-level pre-tokeniser parts a text into pieces that are encoded apart, so words are encoded once and remembered."""
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -336,8 +355,7 @@ class Tokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.special = special
+        self.special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.split = regex.compile(self.PATTERN).findall
         letters = re.escape("".join(c for c in map(chr, range(LATIN)) if unicodedata.category(c)[0] == "L"))
         digits = re.escape("".join(c for c in map(chr, range(LATIN)) if unicodedata.category(c)[0] == "N"))
@@ -345,34 +363,53 @@ class Tokens:
         self.split_latin = re.compile(latin).findall
         self.beyond_latin = re.compile(f"[^\x00-{chr(LATIN - 1)}]|[\x1c-\x1f\x85]").search
         self.newest = regex.compile(f"[{NEW_LETTERS}{NEW_NUMBERS}]").search
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.bytes = {chr(b): symbol for b, symbol in byte_symbols().items()}
-        self.space = self.bytes[" "]
+        self.symbols = {k: "".join(self.bytes[c] for c in chr(k).encode().decode("latin-1")) for k in range(LATIN)}
+        self.short: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
+        special = any(s in text for s in self.special)
+        if not special and not text.encode("utf-8", "surrogatepass").translate(None, PLAIN) and not any(x in text for x in APART):
+            # a piece takes a single space as its first character or not at all, and a lone line end is a piece of its own:
+            # words are encoded apart, each with the space or line end before it
+            first, *words = (text if "\n\n" in text else text.replace("\n", " \n")).split(" ")
+            found = list(map(self.young.get, words))
+            if None in found:
+                found = [self.remember(w) if f is None else f for w, f in zip(words, found, strict=True)]
+            return b"".join([*map(self.modelled, self.split_latin(first)), *found])
         beyond = self.beyond_latin(text)
-        if any(s in text for s in self.special) or beyond and self.newest(text):
+        if special or beyond and self.newest(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = (self.split if beyond else self.split_latin)(text)
-        found = list(map(self.young.get, pieces))
-        if None in found:
-            found = [self.remember(p) if f is None else f for p, f in zip(pieces, found, strict=True)]
-        return b"".join(found)
-
-    def remember(self, piece: str) -> bytes:
-        """The ids of a piece that the younger generation lacks; when that is full, it becomes the older one."""
-        found = self.young.get(piece) or self.old.get(piece)
+        return b"".join(map(self.modelled, (self.split if beyond else self.split_latin)(text)))
+
+    def modelled(self, piece: str) -> bytes:
+        """What the library's byte-level pre-tokeniser hands to its model, by that model."""
+        found = self.short.get(piece)
+        if found is None:
+            symbols = piece.translate(self.symbols) if len(piece) <= LONGEST_REMEMBERED and max(piece) < LAST_LATIN else "".join(map(self.bytes.__getitem__, piece.encode().decode("latin-1")))
+            found = array("I", list(map(ID_OF, self.tokenize(symbols)))).tobytes()
+            if len(piece) <= SHORT and len(self.short) < REMEMBERED:
+                self.short[piece] = found
+        return found
+
+    def remember(self, word: str) -> bytes:
+        """The ids of a word after a space, or of one that begins with a line end, that the younger generation lacks; when that is full, it becomes the older one."""
+        found = self.young.get(word) or self.old.get(word)
         if found is None:
-            # what the library's byte-level pre-tokeniser hands to its model
-            symbols = piece.replace(" ", self.space) if piece.isascii() and piece.isprintable() else "".join(map(self.bytes.__getitem__, piece.encode().decode("latin-1")))
-            ids = [t.id for t in self.model.tokenize(symbols)]
-            found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young[piece] = found
+            if word.isalpha() and len(word) > SHORT:
+                found = array("I", list(map(ID_OF, self.tokenize(f" {word}".translate(self.symbols))))).tobytes()
+            elif word[-1:] in ENDS and word[:-1].isalpha():  # two pieces, the first of which may be known
+                found = (self.young.get(word[:-1]) or self.remember(word[:-1])) + self.modelled(word[-1])
+            else:
+                found = b"".join(map(self.modelled, self.split_latin(word if word[:1] == "\n" else " " + word)))
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self.young) >= REMEMBERED:
+                self.old, self.young = self.young, {}
+            self.young[word] = found
         return found
 
 
@@ -430,8 +467,9 @@ def write_ids(docs: DataFrame, path: str, vocabulary_path: str | None = None, en
         if doc_ids:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = needed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = (F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))))  # the hash parts the rows of one id, or of none
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     map_batches(ordered, run, CHUNK_SCHEMA).write.parquet(path)
 
 
@@ -451,7 +489,7 @@ def _read(spark: SparkSession, path: str, whole: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = decode_ids(row["blocks"]).astype("<u4")
+                ids = decode_ids(row["blocks"])
                 ends = np.cumsum(row["counts"])
                 starts = ends - row["counts"]
                 if len(ids) != row["n_ids"] or len(ends) and ends[-1] != len(ids):
@@ -464,8 +502,7 @@ def _read(spark: SparkSession, path: str, whole: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["first"], pa.int64()), pa.array(row["counts"], pa.int64()), last], ["part", "doc_id", "first", "n_tokens", name])
 
     name, kind = ("ids", "array<long>") if whole else ("ids_crc32", "long")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    documents = chunks.mapInArrow(run, f"part int, doc_id long, first long, n_tokens long, {name} {kind}")
+    documents = map_batches(chunks, run, f"part int, doc_id long, first long, n_tokens long, {name} {kind}")
     # a row for each partition that was written, so their sums fit the driver whatever the input
     sums = sorted((r["part"], r["n"]) for r in chunks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     before, offsets = 0, []
