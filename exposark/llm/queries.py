@@ -50,7 +50,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mix(documents(spark, sf_dir))
+    return mixture.mix(documents(spark, sf_dir)).withColumn("chance", F.round("chance", 9))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,18 +71,23 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM marked GROUP BY doc_id""",
     "op9_mixture": r"""
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    (CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':mix'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM documents),
+    (CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':mix:' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighted AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS DOUBLE) AS weight, CAST(source_size * 2 AS DOUBLE) AS most FROM sources),
 leveled AS (SELECT *, (sum(source_size) OVER () * 1.5 - coalesce(sum(most) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighted WINDOW w AS (ORDER BY most / weight, source IS NULL, source)),
 final AS (SELECT *, max(level) FILTER (WHERE level <= most / weight) OVER () AS final FROM leveled),
 targets AS (SELECT source, source_size, least(most, coalesce(weight * final, most)) AS target FROM final),
-parts AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
-    CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS part FROM targets),
-ranked AS (SELECT s.*, source_size, target, whole, part, target - whole * source_size AS rest,
-    CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) ELSE u END AS rank FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source),
-run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS until FROM ranked),
-copied AS (SELECT *, least(whole + CASE WHEN rest > 0 AND until - size / 2 <= rest THEN 1 ELSE 0 END, 2) AS copies FROM run)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM copied""",
+parts AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets),
+rests AS (SELECT *, target - whole * source_size AS rest FROM parts),
+classes AS (SELECT source, length(bin(size)) AS bits, sum(size) AS words FROM sized WHERE size > 0 GROUP BY ALL),
+levels AS (SELECT k.source, bits, (rest - coalesce(sum(words) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(words / bits) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c
+  FROM classes k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source WINDOW w AS (PARTITION BY k.source ORDER BY bits)),
+chances AS (SELECT source, arg_min(c, bits) AS c FROM levels WHERE c / bits <= 1 GROUP BY source),
+chanced AS (SELECT s.*, source_size, target, whole, rest, CASE WHEN size > 0 AND rest > 0 THEN least(coalesce(c, 0.0) / length(bin(size)), 1.0) ELSE 0.0 END AS chance
+  FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN chances x ON s.source IS NOT DISTINCT FROM x.source),
+run AS (SELECT *, sum(size) OVER (PARTITION BY source, chance > 0 ORDER BY (u / (1 - u)) * ((1 - chance) / chance) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS until FROM chanced),
+copied AS (SELECT *, whole + CASE WHEN chance > 0 AND until - size / 2 <= rest THEN 1 ELSE 0 END AS copies FROM run)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies, round(chance, 9) AS chance FROM copied""",
 }
