@@ -3,11 +3,11 @@
 Words, and their first PREFIX letters, are hashed to rows of an embedding table, whose sum is the word's vector, so that inflected and
 compound forms of a word that was seen share what was learned; filters of several widths run over the whole text, the largest response of each
 filter is kept, and a logistic layer scores those. Training is stochastic gradient descent (Adam) over a bounded sample of labelled
-documents, the same for the same rows. Thresholds are calibrated by language on that sample afterwards: the language picks a
+documents, the same for the same rows. Thresholds are calibrated by language on a part of that sample that trained nothing: the language picks a
 threshold, it is never an input of the score.
 
 Defined results: a null or empty text scores as a text without words does; without labels of both classes all scores are one half less
-a little, so nothing is predicted toxic; repeated rows each get the same score.
+a little, so nothing is predicted toxic; repeated rows each get the same score; texts of any length are scored whole, a piece at a time.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exposark.llm.common import map_texts
+from exposark.llm.common import map_texts, needed, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -34,7 +34,13 @@ EPOCHS = 12
 MIN_DOCUMENTS = 4
 #: Training sees so many labelled documents at most, taken by a hash of their id: a documented bound, so that fitting stays on the driver.
 MAX_LABELLED = 6000
+#: Their words in all, another documented bound: what the driver holds is 8 bytes a word.
+MAX_WORDS = 6_000_000
 HELD_OUT = 5
+#: One in so many labelled rows sets thresholds and trains nothing.
+CALIBRATION = 6
+#: Words of a text that are scored at once.
+PIECE = 1 << 15
 REMEMBERED = 300_000
 
 
@@ -54,8 +60,9 @@ class Buckets(dict):
 
 
 def word_buckets(text: str, known: Buckets) -> np.ndarray:
-    words = WORD.findall(text.lower())
-    return np.array([known[w] for w in words], np.int32).reshape(-1, 2)
+    """The rows of each word of a whole text; words are read one by one, so only the rows are held."""
+    pairs = np.fromiter((b for m in WORD.finditer(text.lower()) for b in known[m.group()]), np.int32)
+    return pairs.reshape(-1, 2)
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -89,15 +96,33 @@ class TextCnn:
             responses = vectors @ kernel[0]
             for k in range(1, len(kernel)):
                 responses[:-k] += vectors[k:] @ kernel[k]
+            responses[ids[:, 0] < 0] = 0  # no filter begins between two texts and goes on into the next
             responses += bias
             np.maximum(responses, 0, out=responses)
             pools.append(np.maximum.reduceat(responses, starts))
             all_responses.append(responses)
         return np.concatenate(pools, axis=1), all_responses
 
+    def largest(self, text: np.ndarray) -> np.ndarray:
+        """The largest response of each filter over one text, PIECE words at a time: a maximum of the pieces' maxima. Pieces overlap by the widest filter less one word."""
+        out = None
+        for i in range(0, max(1, len(text)), PIECE):
+            part, last = text[i : i + PIECE + max(WIDTHS) - 1], i + PIECE >= len(text)
+            ids = laid_out([part])[0] if last else part
+            # what begins beyond the piece belongs to the next one
+            pools = self.pooled(ids, np.array([0]))[0] if last else np.concatenate([r[:PIECE].max(axis=0) for r in self.pooled(ids, np.array([0]))[1]])[None]
+            out = pools if out is None else np.maximum(out, pools)
+        return out
+
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        ids, starts = laid_out(texts)
-        pools, _ = self.pooled(ids, starts)
+        """A score for each text. Long ones are pooled in pieces, short ones laid end to end."""
+        pools = np.zeros((len(texts), FILTERS * len(WIDTHS)), np.float32)
+        short = [k for k, t in enumerate(texts) if len(t) <= PIECE]
+        if short:
+            pools[short] = self.pooled(*laid_out([texts[k] for k in short]))[0]
+        for k, t in enumerate(texts):
+            if len(t) > PIECE:
+                pools[k] = self.largest(t)[0]
         return 1 / (1 + np.exp(-np.clip(pools.astype(np.float64) @ self.out.astype(np.float64) + self.bias, -30, 30)))
 
 
@@ -187,26 +212,69 @@ def calibrated(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, epochs: int = EPOCHS) -> TextCnn:
-    """The model of at most max_labelled documents that have a label and are not held out."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, max_labelled: int, max_words: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of whole texts, labels, languages and ids of at most max_labelled rows that are not held out, of at most max_words words in all.
+
+    Words become buckets in the executors; the driver sees numbers only. Rows are taken by a hash of id and text, as long as their words fit.
+    """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = known.where(~is_held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_labelled)
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang")).join(F.broadcast(chosen), "doc_id")  # the limit bounds what is broadcast
-
-    rows = marked.select("doc_id", "toxic", "lang", "text").toPandas().sort_values(["doc_id", "toxic", "text"], kind="stable")
-    seen = Buckets()
-    texts = [word_buckets(t or "", seen) for t in rows["text"]]
-    y = rows["toxic"].to_numpy(np.float32)
-    if not len(texts):
-        return train([], y)
-    model = train(texts, y, epochs)
-    scores = np.concatenate([model.scores(texts[i : i + 200]) for i in range(0, len(texts), 200)])
-    langs = rows["lang"].fillna("").to_numpy()
-    model.thresholds = {k: calibrated(scores[langs == k], y[langs == k]) for k in sorted(set(langs.tolist()))} | {"*": calibrated(scores, y)}
+    rows = with_language(docs).withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    marked = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")  # the limit bounds what is broadcast
+
+    def start() -> Callable[[str], tuple]:
+        seen = Buckets()
+
+        def one(text: str) -> tuple:
+            pairs = word_buckets(text, seen)
+            return len(pairs), pairs.astype("<i4").tobytes()
+
+        return one
+
+    hashed = stored(map_texts(marked, start, "n_words long, buckets binary", ("lang", "key")).join(F.broadcast(chosen), "doc_id"), "toxicity-rows")
+    sizes = hashed.select("doc_id", "key", "toxic", "n_words").orderBy("key", "doc_id", "toxic").limit(max_labelled).collect()
+    taken, left = [], max_words
+    for r in sizes:
+        if r["n_words"] <= left:
+            left -= r["n_words"]
+            taken.append((r["doc_id"], r["key"], r["toxic"]))
+    if not taken:
+        return [], np.zeros(0, np.float32), np.zeros(0, object), np.zeros(0, np.int64)
+    wanted = docs.sparkSession.createDataFrame(sorted(set(taken)), "doc_id long, key string, toxic int")
+    table = hashed.join(F.broadcast(wanted), ["doc_id", "key", "toxic"]).dropDuplicates(["doc_id", "key", "toxic"]).select("doc_id", "key", "toxic", "lang", "buckets").toPandas()
+    table = table.sort_values(["doc_id", "toxic", "key"], kind="stable")
+    return [np.frombuffer(b, "<i4").reshape(-1, 2) for b in table["buckets"]], table["toxic"].to_numpy(np.float32), table["lang"].fillna("").to_numpy(), table["doc_id"].to_numpy(np.int64)
+
+
+def is_calibration(doc_id: int) -> bool:
+    """Whether a labelled row is kept from training, to set thresholds on."""
+    return zlib.crc32(b"threshold " + str(doc_id).encode()) % CALIBRATION == 0
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, epochs: int = EPOCHS, max_words: int = MAX_WORDS) -> TextCnn:
+    """The model of at most max_labelled rows that have a label and are not held out; its thresholds are set on those of them that it was not trained on."""
+    texts, y, langs, ids = labelled_rows(docs, labels, max_labelled, max_words)
+    apart = np.array([is_calibration(i) for i in ids.tolist()], bool)
+    model = train([t for t, a in zip(texts, apart, strict=True) if not a], y[~apart], epochs)
+    if apart.any():
+        rest = [t for t, a in zip(texts, apart, strict=True) if a]
+        scores = np.concatenate([model.scores(rest[i : i + 200]) for i in range(0, len(rest), 200)])
+        known, own = y[apart], langs[apart]
+        every = calibrated(scores, known)
+        # a language without an example of either class takes the threshold of all
+        model.thresholds = {k: calibrated(scores[own == k], known[own == k]) for k in sorted(set(own.tolist())) if 0 < known[own == k].sum() < (own == k).sum()} | {"*": every}
     return model
 
 
+def with_language(docs: DataFrame) -> DataFrame:
+    """doc_id, text and lang, null where docs has no such column."""
+    if any(c.lower() == "lang" for c in docs.columns):
+        rows = needed(docs, "doc_id", "text", "lang")
+    else:
+        rows = needed(docs, "doc_id", "text").withColumn("lang", F.lit(None))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+
+
 def score(docs: DataFrame, model: TextCnn) -> DataFrame:
     """doc_id, held_out, score, predicted (score of at least one half), and, by the threshold of each document's language (that of all languages for others), flagged.
 
@@ -218,7 +286,7 @@ def score(docs: DataFrame, model: TextCnn) -> DataFrame:
         known, m = Buckets(), shared.value
         return lambda text: (float(m.scores([word_buckets(text, known)])[0]),)
 
-    out = map_texts(docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string")), start, "score double", ("lang",))
+    out = map_texts(with_language(docs), start, "score double", ("lang",))
     pairs = [x for k, t in model.thresholds.items() for x in (F.lit(k), F.lit(t))]
     table = F.create_map(*pairs) if pairs else F.create_map(F.lit("*"), F.lit(0.5))
     threshold = F.coalesce(F.try_element_at(table, F.coalesce(F.col("lang"), F.lit(""))), F.lit(model.thresholds.get("*", 0.5)))
