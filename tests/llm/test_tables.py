@@ -243,3 +243,97 @@ def test_quality_judges_rows_of_one_id_apart(spark):
     good = " ".join(f"word{i}" for i in range(80))
     rows = spark.createDataFrame([(None, good), (None, "short"), (1, good), (1, "short"), (2, None)], "doc_id long, text string")
     assert sorted(map(tuple, quality.kept_rows(rows, []).collect()), key=repr) == sorted([(1, good), (None, good)], key=repr)
+
+
+def test_quality_rules_on_rows_they_were_not_learned_from(spark):
+    """Rules learned from four fifths of the labelled rows, judged on the last fifth: how many rejected rows are bad, and how many good ones are kept."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet").where("quality IS NOT NULL")
+    rules = quality.fit(docs, labels.where("crc32(cast(doc_id AS string)) % 5 <> 0"))
+    judged = quality.judge(docs, rules).join(labels.where("crc32(cast(doc_id AS string)) % 5 = 0"), "doc_id").select("quality", "kept", "base_failed").collect()
+    good, bad = [r for r in judged if r["quality"] == 1], [r for r in judged if r["quality"] == 0]
+    assert len(good) > 100 and len(bad) > 20
+    assert sum(r["kept"] for r in good) / len(good) > 0.93
+    assert sum(not r["kept"] for r in bad) / len(bad) > 0.8
+
+
+def test_inclusion_frequencies_are_the_stated_ones(spark):
+    """Over many salts, documents of each size are taken beyond their whole copies as often as their chance says, and the words meet the targets each time."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 2, 3, 6, 12, 25, 50, 100])), f"s{i % 3}") for i in range(1500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2).cache()
+    taken: Counter = Counter()
+    stated: Counter = Counter()
+    turns = 5
+    for turn in range(turns):
+        out = mixture.mix(table, salt=f"turn {turn}").collect()
+        for r in out:
+            key = (round(r["target"], 6), r["size"].bit_length())
+            extra = r["copies"] - int(r["target"] // r["source_size"])
+            taken[key] += extra
+            stated[key] += r["chance"]
+        for target in {r["target"] for r in out}:
+            assert abs(sum(r["taken"] for r in out if r["target"] == target) - target) <= 100
+    chances = {}
+    for r in out:
+        chances[round(r["target"], 6), r["size"].bit_length()] = r["chance"]
+    assert len({round(c, 6) for c in chances.values() if 0 < c < 1}) > 5  # not one for a whole source
+    for key, want in stated.items():
+        n = want / max(chances[key], 1e-9) if chances[key] else 0
+        error = 4 * (n * chances[key] * (1 - chances[key])) ** 0.5 + 0.02 * n
+        assert abs(taken[key] - want) <= error + 1e-6, (key, taken[key], want)
+    table.unpersist()
+
+
+def test_places_of_sources_plainly(spark):
+    names = [f"s{i:05d}" for i in range(3000)] + [None, "", "é", "Z"]
+    random.Random(1).shuffle(names)
+    got = {r["source"]: r["place"] for r in mixture.placed(spark.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(7)).collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names, key=lambda n: (n is None, n or "")))}
+
+
+def test_dots_and_twins_in_names_of_columns(spark, docs):
+    """Columns of dotted names and of names that differ in case alone, for all operators and stages."""
+    case = "spark.sql.caseSensitive"
+    extra = docs.selectExpr("*", "1 AS `a.b`", "2 AS `text.x`", "3 AS `Text`", "4 AS `DOC_ID`", "5 AS `c0`")
+    for name, job in jobs(spark).items():
+        assert len(job(extra).collect()) == docs.count(), name
+    for stage in (lambda d: quality.kept_rows(d, []), lines.without_dropped_lines, simhash.keep_one, mixture.mixed):
+        assert stage(extra).columns == extra.columns
+        assert stage(extra).count() == stage(docs).count()
+    assert spark.conf.get(case) == "false"
+
+
+def test_very_long_texts_go_through_every_operator(spark):
+    """A text of over a megabyte with lines, one without any space, and a short one."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(2, 9))) for _ in range(5000)]
+    long = " ".join(w + ("\n" if i % 40 == 39 else "") for i, w in enumerate(rng.choices(words, k=190_000)))
+    blob = "".join(rng.choices("abcdefghijklmnop0123456789", k=1_100_000))
+    table = spark.createDataFrame([(1, long, "en", "a"), (2, blob, "en", "a"), (3, "short", "en", "b")], "doc_id long, text string, lang string, source string")
+    for name, job in jobs(spark).items():
+        assert len(job(table).collect()) == 3, name
+
+
+def test_operators_leave_the_session_alone(spark, docs):
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    built = [job(docs) for job in (secrets.scan_secrets, simhash.near_duplicates, tokenfiles.write_and_check)]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == rows
+    assert all(len(b.collect()) == docs.count() for b in built)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    from exposark.llm import common
+
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "app"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session(), "x")
+    assert spark.conf.get("spark.checkpoint.dir")

@@ -78,7 +78,7 @@ def test_random_field_on_held_out_sentences(field):
 
 
 def test_random_field_likelihood_is_a_probability(field):
-    text, tokens, gold = "to 4532015112830366 now", [(0, 2), (3, 19), (20, 23)], [(0, 1, 0), (1, 2, 3), (2, 3, 0)]
+    text, tokens = "to 4532015112830366 now", [(0, 2), (3, 19), (20, 23)]
     cells = field.segments(text, tokens)
     total = pii._log_sum(field.forward(cells, best=False)[0][-1])
     assert abs(total - field.backward(cells)[0][0]) < 1e-6
@@ -275,14 +275,16 @@ def test_damaged_files_are_refused():
     with pytest.raises(ValueError):
         webp.decode(b"RIFF")
     with pytest.raises(ValueError):
-        webp.read_payload(webp.store(b"abc" * 64)[:60])
+        webp.read_payload(webp.store(b"abc" * 64)[:-8])  # a file of this payload has under 60 bytes
+    with pytest.raises(ValueError):
+        webp.read_payload(webp.store(bytes(range(64)) * 3)[:60])
 
 
 # token files
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 131071), max_size=300), st.integers(1, 70))
+@given(st.lists(st.one_of(st.integers(0, 131071), st.integers(0, 5)), max_size=300), st.integers(1, 70))
 def test_ids_round_trip(ids, block):
     assert tokenfiles.decode_ids(tokenfiles.encode_ids(np.array(ids, np.int64), block)).tolist() == ids
 
@@ -297,6 +299,49 @@ def test_blocks_are_checked_and_smaller_than_plain():
         tokenfiles.decode_ids(bytes(damaged))
 
 
+def test_blocks_are_smaller_than_by_deflate():
+    import pyarrow.parquet as pq
+
+    tokens = tokenfiles.load(tokenfiles.default_path())
+    documents = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    ids = np.frombuffer(b"".join(tokens.encode(t or "") for t in documents), "<u4")
+    plain = sum(len(zlib.compress(ids[i : i + tokenfiles.BLOCK].astype("<u2").tobytes(), 9)) for i in range(0, len(ids), tokenfiles.BLOCK))
+    data = tokenfiles.encode_ids(ids)
+    assert (tokenfiles.decode_ids(data) == ids).all()
+    assert len(data) < 0.7 * plain
+    assert len(data) < 0.9 * len(ids)
+
+
+def test_each_block_is_coded_for_itself():
+    """A block's bytes depend on its own ids and the distribution alone, and one damaged block does not hide behind another."""
+    rng = np.random.default_rng(1)
+    a, b, c = (rng.integers(0, 40, 64) for _ in range(3))
+    one, two = tokenfiles.encode_ids(np.concatenate((a, b, c, a, b)), 64), tokenfiles.encode_ids(np.concatenate((a, b, c, a, b)), 64)
+    assert one == two
+    for at in range(0, len(one), 7):
+        damaged = bytearray(one)
+        damaged[at] ^= 0x5A
+        with pytest.raises((ValueError, zlib.error)):
+            tokenfiles.decode_ids(bytes(damaged))
+    for cut in (1, 5, len(one) // 2, len(one) - 1):
+        with pytest.raises(ValueError):
+            tokenfiles.decode_ids(one[:cut])
+
+
+@pytest.mark.parametrize("text", [" ", "  ", "a", " a", "a ", "a  b", "a b ", "a b  ", "\na b", "a\nb c\n", "a \nb", "a\n b", "a\tb c", "it's we'll 'd x", "é à ß ñ, ü", "a\u00a0 b", "中 文", "a,b c.d (e) f", "<|endoftext|> a b", "x" * 300 + " y"])
+def test_words_are_the_library(text):
+    tokens = tokenfiles.load(tokenfiles.default_path())
+    for _ in range(2):
+        assert np.frombuffer(tokens.encode(text), "<u4").tolist() == tokens.library.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab '.,1\n\té<|"), max_size=40))
+def test_parted_texts_are_the_library(text):
+    tokens = tokenfiles.load(tokenfiles.default_path())
+    assert np.frombuffer(tokens.encode(text), "<u4").tolist() == tokens.library.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=100, deadline=None)
 @given(texts)
 def test_pieces_are_the_library(text):
@@ -329,3 +374,31 @@ def test_thresholds():
     assert 0.2 < textcnn.calibrated(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) < 0.8
     assert textcnn.calibrated(np.array([0.1]), np.array([0])) == 0.5
     assert zlib.crc32(b"1") % 5 == 3 and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_pooling_plainly(monkeypatch):
+    """Each filter's largest response by loops over all places, for texts that are laid end to end and for one that is read in pieces."""
+    rng = np.random.default_rng(7)
+    model = textcnn.TextCnn.fresh(3)
+    made = [rng.integers(0, textcnn.BUCKETS, (n, 2)).astype(np.int32) for n in (0, 1, 2, 5, 40)]
+
+    def plainly(text):
+        vectors = [model.table[a] + model.table[b] for a, b in text] + [np.zeros(textcnn.DIMENSIONS, np.float32)] * max(textcnn.WIDTHS)
+        out = []
+        for kernel, bias in zip(model.kernels, model.biases, strict=True):
+            places = [sum(vectors[i + k] @ kernel[k] for k in range(len(kernel)) if i + k < len(vectors)) + bias for i in range(len(vectors))]
+            out.append(np.maximum(np.max(places, axis=0), 0))
+        return np.concatenate(out)
+
+    pools = model.pooled(*textcnn.laid_out(made))[0]
+    for text, pool in zip(made, pools, strict=True):
+        assert np.allclose(pool, plainly(text), atol=1e-5)
+    whole = model.scores(made)
+    for piece in (1, 3, 7, 39):
+        monkeypatch.setattr(textcnn, "PIECE", piece)
+        assert np.allclose(model.scores(made), whole, atol=1e-6)
+
+
+def test_thresholds_are_set_on_rows_that_trained_nothing():
+    apart = [i for i in range(6000) if textcnn.is_calibration(i)]
+    assert 800 < len(apart) < 1200
