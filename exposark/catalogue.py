@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from exposark.functions import tables
 from exposark.functions import text as T
-from exposark.operators import advice, classify, detect, score
+from exposark.operators import advice, classify, detect, doctype, score
 from exposark.plans import history, sessions
 from exposark.sources import corpus as C
 
@@ -70,12 +70,17 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.exploded(C.corpus(spark, sf_dir), detect.document_findings(F.col("text")))
 
 
+def in_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and findings of each document, an array in the row, so that what is asked of a document needs no shuffle."""
+    return C.corpus(spark, sf_dir).select("doc_id", detect.document_findings(F.col("text")).alias("findings"))
+
+
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.type_counts(found(spark, sf_dir))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.document_scores(C.corpus(spark, sf_dir), found(spark, sf_dir))
+    return score.with_row_score(in_rows(spark, sf_dir), "findings").select("doc_id", "score", "risk")
 
 
 # --- documents ------------------------------------------------------------------------------------------------------------
@@ -168,8 +173,9 @@ def doc_masked_text(spark, sf_dir):
 
 @query(f"""WITH {FINDINGS_SQL} SELECT doc_id, count(*) FILTER (WHERE type = 'email') AS email, count(*) FILTER (WHERE type = 'credit_card') AS credit_card, count(*) FILTER (WHERE type = 'password') AS password FROM findings GROUP BY doc_id""")
 def doc_type_pivot(spark, sf_dir):
-    n = lambda t: F.count_if(F.col("type") == t).alias(t)
-    return found(spark, sf_dir).groupBy("doc_id").agg(n("email"), n("credit_card"), n("password"))
+    n = lambda t: F.size(F.filter("findings", lambda f: f["type"] == t)).cast("long").alias(t)
+    rows = in_rows(spark, sf_dir).select("doc_id", n("email"), n("credit_card"), n("password"), F.size("findings").alias("n"))
+    return rows.where("n > 0").drop("n")
 
 
 @query(f"""WITH {SCORES_SQL}, ranked AS (SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM leveled JOIN documents USING (doc_id)) SELECT * FROM ranked WHERE rank <= 3""")
@@ -181,18 +187,17 @@ def doc_top_exposed_per_source(spark, sf_dir):
 
 @query(f"WITH {FINDINGS_SQL} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM findings)")
 def doc_without_findings(spark, sf_dir):
-    return C.corpus(spark, sf_dir).select("doc_id").join(found(spark, sf_dir).select("doc_id"), "doc_id", "left_anti")
+    return in_rows(spark, sf_dir).where(F.size("findings") == 0).select("doc_id")
 
 
 @query(f"WITH {FINDINGS_SQL} SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM findings)")
 def doc_with_findings(spark, sf_dir):
-    return C.corpus(spark, sf_dir).select("doc_id").join(found(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
+    return in_rows(spark, sf_dir).where(F.size("findings") > 0).select("doc_id")
 
 
 @query(f"WITH {FINDINGS_SQL} SELECT d.doc_id, count(f.value) AS n FROM documents d LEFT JOIN findings f USING (doc_id) GROUP BY d.doc_id")
 def docs_left_finding_counts(spark, sf_dir):
-    n = found(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))
-    return C.corpus(spark, sf_dir).select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
+    return in_rows(spark, sf_dir).select("doc_id", F.size("findings").cast("long").alias("n"))
 
 
 @query(f"WITH {FINDINGS_SQL} SELECT DISTINCT value FROM (SELECT value FROM findings WHERE type = 'email' UNION ALL SELECT value FROM findings WHERE type = 'credit_card')")
@@ -244,15 +249,17 @@ fired AS (SELECT doc_id, scenario, severity, len(list_intersect(every, types))::
 
 @query(f"WITH {_scenario_sql()} SELECT doc_id, scenario, severity, CASE WHEN share >= 0.8 THEN 'Very High' WHEN share >= 0.5 THEN 'High' WHEN share >= 0.3 THEN 'Medium' ELSE 'Low' END AS likelihood FROM fired")
 def scenario_division(spark, sf_dir):
-    return advice.scenarios(found(spark, sf_dir))
+    types = in_rows(spark, sf_dir).select("doc_id", doctype.types_of(F.col("findings")).alias("types"))
+    rows = types.select("doc_id", F.explode_outer(advice.fired(F.col("types"))).alias("s")).where(F.col("s").isNotNull())
+    return rows.select("doc_id", "s.*")
 
 
 @query(f"""WITH {_scenario_sql().replace(COUNTS_SQL, SCORES_SQL.replace("counts AS", "typed AS").replace("FROM counts", "FROM typed") + ", counts AS (SELECT doc_id, type, count(*) AS n FROM findings GROUP BY doc_id, type)")},
 points AS (SELECT doc_id, sum({_case("severity", tables.SEVERITY_POINTS, "0")}) AS p FROM fired GROUP BY doc_id)
 SELECT doc_id, round(CASE WHEN p IS NULL THEN score * 0.5 ELSE least(score + p, 100.0) END, 1) AS threat FROM scores LEFT JOIN points USING (doc_id)""")
 def threat_score(spark, sf_dir):
-    f = found(spark, sf_dir)
-    return advice.threat_scores(scored(spark, sf_dir), advice.scenarios(f))
+    rows = score.with_row_score(in_rows(spark, sf_dir), "findings").withColumn("fired", advice.fired(doctype.types_of(F.col("findings"))))
+    return rows.select("doc_id", advice.threat(F.col("score"), F.col("fired")).alias("threat"))
 
 
 @query()

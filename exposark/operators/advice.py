@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exposark.functions import tables
+from exposark.functions import text as T
 from exposark.operators.score import lookup
 
 
@@ -26,28 +27,79 @@ def remediation_summary(plans: DataFrame, key: str = "doc_id") -> DataFrame:
     return plans.groupBy(key).agg(F.count("*").alias("n_types"), F.count_if(F.col("urgency") == "IMMEDIATE").alias("n_immediate"))
 
 
-def scenarios(types: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, scenario, severity and confidence of each scenario whose required types are all there. types: key, type.
+def fired(types: Column) -> Column:
+    """The scenarios that an array of types fires, as an array of (scenario, severity, likelihood): those whose required types are all there.
 
-    Relational division by an equi-join: each type meets the scenarios that ask for it, and those with all their types are kept.
+    Types go by their aliases. The likelihood follows the share of a scenario's types, optional ones too, that are there. Dynamic scenarios stand back where another tells as much.
     """
-    spark = types.sparkSession
-    rules = [(s, sev, len(need), len(need) + len(opt), list(need)) for s, sev, need, opt in tables.SCENARIOS] + [(s, sev, len(need), len(need), list(need)) for s, sev, need, _ in tables.COMBINED_SCENARIOS]
-    wants = [(s, sev, n, total, t, True) for s, sev, n, total, need in rules for t in need]
-    wants += [(s, sev, len(need), len(need) + len(opt), t, False) for s, sev, need, opt in tables.SCENARIOS for t in opt]
-    table = spark.createDataFrame(wants, "scenario string, severity string, n_required int, n_all int, type string, required boolean")
-    present = types.select(key, F.coalesce(lookup(F.col("type"), tables.ALIASES), F.col("type")).alias("type")).distinct()
-    met = present.join(F.broadcast(table), "type").groupBy(key, "scenario", "severity", "n_required", "n_all").agg(F.count_if("required").alias("met"), F.count("*").alias("n_present"))
-    whole = met.where(F.col("met") == F.col("n_required"))
-    excluded = [(s, t) for s, _, _, absent in tables.COMBINED_SCENARIOS for t in absent]
-    barred = spark.createDataFrame(excluded, "scenario string, type string")
-    whole = whole.join(present.join(F.broadcast(barred), "type").select(key, "scenario"), [key, "scenario"], "left_anti")
-    share = F.col("n_present") / F.col("n_all")
-    return whole.select(key, "scenario", "severity", F.when(share >= 0.8, "Very High").when(share >= 0.5, "High").when(share >= 0.3, "Medium").otherwise("Low").alias("likelihood"))
+
+    def rules(own: Column) -> Column:
+        has = lambda kinds: F.size(F.array_intersect(own, F.array(*map(F.lit, kinds)))) == len(kinds)
+        needs = {s: need for s, _, need, _ in tables.SCENARIOS}
+
+        def rule(name: str, severity: str, need: tuple[str, ...], more: tuple[str, ...], test: Column) -> Column:
+            share = F.size(F.array_intersect(own, F.array(*map(F.lit, need + more)))) / len(need + more)
+            likely = F.when(share >= 0.8, "Very High").when(share >= 0.5, "High").when(share >= 0.3, "Medium").otherwise("Low")
+            return F.when(test, F.struct(F.lit(name).alias("scenario"), F.lit(severity).alias("severity"), likely.alias("likelihood")))
+
+        every = [rule(s, sev, need, opt, has(need)) for s, sev, need, opt in tables.SCENARIOS]
+        every += [rule(s, sev, need, (), has(need) & (~F.arrays_overlap(own, F.array(*map(F.lit, absent))) if absent else F.lit(True))) for s, sev, need, absent in tables.COMBINED_SCENARIOS]
+        for s, sev, need, others in tables.DYNAMIC_SCENARIOS:
+            test = has(need)
+            for other in others:
+                test = test & ~has(needs[other])
+            every.append(rule(s, sev, need, (), test))
+        return F.array_compact(F.array(*every))
+
+    return T.let(F.array_distinct(F.transform(types, lambda t: F.coalesce(lookup(t, tables.ALIASES), t))), rules)
+
+
+def scenarios(types: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, scenario, severity and likelihood of each scenario that a key's types fire. types: key, type; few types a key, so they are gathered in one row."""
+    rows = types.groupBy(key).agg(F.collect_set("type").alias("types"))
+    return rows.select(key, F.explode(fired(F.col("types"))).alias("s")).select(key, "s.*")
+
+
+def threat(score: Column, found: Column) -> Column:
+    """A score and points for each scenario of an array, up to 100; half the score where there is none."""
+    points = F.aggregate(found, F.lit(0), lambda a, s: a + lookup(s["severity"], tables.SEVERITY_POINTS, 0))
+    return F.round(F.when(F.size(found) == 0, score * 0.5).otherwise(F.least(score + points, F.lit(100.0))), 1)
 
 
 def threat_scores(base: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key and threat: the score and points for each scenario, up to 100; half the score where there is none."""
-    points = found.groupBy(key).agg(F.sum(lookup(F.col("severity"), tables.SEVERITY_POINTS, 0)).alias("points"))
-    threat = F.when(F.col("points").isNull(), F.col("score") * 0.5).otherwise(F.least(F.col("score") + F.col("points"), F.lit(100.0)))
-    return base.join(points, key, "left").select(key, F.round(threat, 1).alias("threat"))
+    """key and threat of rows with a score, by scenarios in rows of their own."""
+    rows = found.groupBy(key).agg(F.collect_list(F.struct("severity")).alias("found"))
+    return base.join(rows, key, "left").select(key, threat(F.col("score"), F.coalesce("found", F.array().cast("array<struct<severity:string>>"))).alias("threat"))
+
+
+def catalogue(spark: SparkSession) -> DataFrame:
+    """scenario, severity, required and optional types of every static scenario, in order."""
+    rows = [(i, s, sev, list(need), list(more)) for i, (s, sev, need, more) in enumerate(tables.SCENARIOS)]
+    return spark.createDataFrame(rows, "seq int, scenario string, severity string, required array<string>, optional array<string>")
+
+
+def attacks(types: Column) -> Column:
+    """The attacks that an array of types makes possible, one a type, in the order in which the types come, as an array of (type, attack, severity)."""
+    known = F.filter(F.array_distinct(types), lambda t: t.isin(*(k for k, _, _ in tables.ATTACKS)))
+    names, levels = {k: n for k, n, _ in tables.ATTACKS}, {k: v for k, _, v in tables.ATTACKS}
+    return F.transform(known, lambda t: F.struct(t.alias("type"), lookup(t, names).alias("attack"), lookup(t, levels).alias("severity")))
+
+
+def metadata_advice(fields: DataFrame, key: str = "file_id") -> DataFrame:
+    """key, title and severity of the advice for a file's metadata: strip it if a field is sensitive, turn off location tags if there is a place."""
+    from exposark.operators.score import metadata_fields
+
+    rows = metadata_fields(fields, key).where(F.col("risk").isNotNull())
+    flags = rows.groupBy(key).agg(F.count("*").alias("n"), F.max(F.col("field") == "gps_full").alias("gps"))
+    advice = F.array_compact(F.array(F.struct(F.lit("Strip Metadata Before Sharing").alias("title"), F.lit("HIGH").alias("severity")), F.when(F.col("gps"), F.struct(F.lit("Disable Camera GPS").alias("title"), F.lit("CRITICAL").alias("severity")))))
+    return flags.select(key, F.explode(advice).alias("a")).select(key, "a.*")
+
+
+def worth_an_alert(level: Column) -> Column:
+    """Whether a level is told to the user at once."""
+    return level.isin("MEDIUM", "HIGH", "CRITICAL")
+
+
+def general_advice(level: Column) -> Column:
+    """Severity of the one advice that every scan gets, by its level."""
+    return F.when(level.isin("CRITICAL", "HIGH"), "HIGH").when(level == "MEDIUM", "MEDIUM").otherwise("LOW")

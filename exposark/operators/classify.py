@@ -10,16 +10,33 @@ from pyspark.sql import functions as F
 from exposark.functions import tables
 
 
-def keyword_class(text: Column) -> Column:
-    """struct(doc_type, confidence): of the rules with enough keywords the one with most (three count at most), the first on a tie."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    candidates = []
-    for i, (doc_type, least, words) in enumerate(tables.KEYWORD_RULES):
-        hits = sum((low.rlike(rf"\b{re.escape(w)}\b").cast("int") for w in words), F.lit(0))
-        sure = F.least(F.lit(0.55) + F.least(hits, F.lit(3)) / 3.0 * 0.35, F.lit(0.89))
-        candidates.append(F.when(hits >= least, F.struct(F.round(sure, 4).alias("confidence"), F.lit(-i).alias("order"), F.lit(doc_type).alias("doc_type"))))
-    best = F.array_max(F.array_compact(F.array(*candidates)))
-    return F.struct(F.coalesce(best["doc_type"], F.lit("generic")).alias("doc_type"), F.coalesce(best["confidence"], F.lit(0.0)).alias("confidence"))
+def keyword_class(text: Column, filename: Column | None = None) -> Column:
+    """struct(confidence, order, doc_type) by the words of a text and its file name: of the rules with enough keywords the one with most (three count at most), the first on a tie.
+
+    The lower-cased text and each rule's count are bound once, and a keyword's pattern is tried only where the keyword occurs at all.
+    """
+    both = F.concat_ws(" ", text, filename) if filename is not None else F.coalesce(text, F.lit(""))
+    rules = tables.KEYWORD_RULES
+    least, names = F.array(*(F.lit(n) for _, n, _ in rules)), F.array(*(F.lit(k) for k, _, _ in rules))
+
+    def hits(low: Column, words: tuple[str, ...]) -> Column:
+        return sum((F.when(F.contains(low, F.lit(w)), low.rlike(rf"\b{re.escape(w)}\b").cast("int")).otherwise(0) for w in words), F.lit(0))
+
+    def fit(n: Column, i: Column) -> Column:
+        sure = F.least(F.lit(0.55) + F.least(n, F.lit(3)) / 3.0 * 0.35, F.lit(0.89))
+        return F.when(n >= F.get(least, i), F.struct(F.round(sure, 4).alias("confidence"), (-i).alias("order"), F.get(names, i).alias("doc_type")))
+
+    found = F.transform(F.array(F.lower(both)), lambda low: F.array_max(F.filter(F.transform(F.array(*(hits(low, w) for _, _, w in rules)), fit), lambda x: x.isNotNull())))
+    nothing = F.struct(F.lit(0.0).alias("confidence"), F.lit(0).alias("order"), F.lit("generic").alias("doc_type"))
+    return F.coalesce(F.get(found, F.lit(0)), nothing)
+
+
+def is_academic(low: Column, doc_type: Column) -> Column:
+    """Whether a text, lower-cased, is a paper, a certificate or a program."""
+    found = F.lit(False)
+    for word in tables.ACADEMIC_WORDS:
+        found = found | F.contains(low, F.lit(word))
+    return doc_type.isin(*tables.CALM_TYPES) | found
 
 
 def with_evidence(doc_type: Column, types: Column) -> Column:
@@ -36,7 +53,22 @@ def boost(doc_type: Column) -> Column:
     return lookup(doc_type, tables.TYPE_BOOST, 0)
 
 
-def exposure_class(bio: Column) -> Column:
-    """How a public profile presents itself: business, personal, anonymous or professional."""
-    low = F.lower(F.coalesce(bio, F.lit("")))
-    return F.when(low.rlike(r"\b(official|company|business|store|shop|support)\b"), "business").when(low.rlike(r"\b(my life|family|mom|dad|birthday|student)\b"), "personal").when(F.length(low) < 10, "anonymous").otherwise("professional")
+def exposure_class(platform: Column, fields: Column, findings: Column) -> Column:
+    """How a public profile exposes its owner: public_business, personal_exposure, anonymous or professional_public. fields: a map; findings: an array of (type, value)."""
+    field = lambda *names: F.lower(F.coalesce(*(F.nullif(F.try_element_at(fields, F.lit(n)), F.lit("")) for n in names), F.lit("")))
+    bio, user, shown, place = field("bio", "headline"), field("username", "handle"), field("display_name"), field("location")
+    business = (F.lower(platform) == "linkedin") | bio.rlike("company|ceo|founder|official|business|corp|inc|director")
+    own_mail = F.exists(findings, lambda f: (f["type"] == "email") & F.lower(f["value"]).rlike(r"gmail\.com|yahoo\.com|hotmail\.com|outlook\.com|protonmail\.com"))
+    phone = F.exists(findings, lambda f: f["type"] == "phone")
+    contact = F.exists(findings, lambda f: f["type"].isin("email", "phone"))
+    nobody = ((shown == "") | (shown == user)) & (F.length(F.trim(bio)) < 5) & ~contact & (user.rlike("bot|anon|user|guest|temp") | (F.length(user) < 3))
+    return F.when(business, "public_business").when(own_mail & phone & (F.length(place) > 2), "personal_exposure").when(nobody, "anonymous").otherwise("professional_public")
+
+
+def snippet(text: Column, filename: Column, most: int = 600) -> Column:
+    """What a model reads of a text: without runs of signs, long hex and what is not printable ASCII, behind the file's name."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"([^a-zA-Z0-9\s])\1{3,}", " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"\b[0-9a-fA-F]{10,}\b", " "), r"[^\x20-\x7E\n\t]", " ")
+    out = F.trim(F.regexp_replace(out, r"\s+", " "))
+    named = F.when(F.coalesce(filename, F.lit("")) != "", F.concat(F.lit("Document: "), filename, F.lit("\n\n"), out)).otherwise(out)
+    return F.substring(named, 1, most)

@@ -23,9 +23,9 @@ def cards(text: Column) -> Column:
 
 def credentials(text: Column) -> Column:
     """Values after a label, without quotes and closing punctuation, of 4 characters or more, that are in no address."""
-    values = F.transform(T.all_matches(text, T.CREDENTIAL, 1), lambda v: F.regexp_replace(v, "^[\"']+|[\"'.,;:!?]+$", ""))
-    found = emails(text)
-    return F.array_distinct(F.filter(values, lambda v: (F.length(v) >= 4) & ~F.exists(found, lambda e: F.contains(e, v) | F.contains(v, e))))
+    values = F.filter(F.transform(T.all_matches(text, T.CREDENTIAL, 1), lambda v: F.regexp_replace(v, "^[\"']+|[\"'.,;:!?]+$", "")), lambda v: F.length(v) >= 4)
+    apart = lambda kept: T.let(emails(text), lambda found: F.array_distinct(F.filter(kept, lambda v: ~F.exists(found, lambda e: F.contains(e, v) | F.contains(v, e)))))
+    return T.let(values, lambda kept: F.when(F.size(kept) == 0, kept).otherwise(apart(kept)))
 
 
 def phones(text: Column) -> Column:
@@ -34,7 +34,7 @@ def phones(text: Column) -> Column:
 
 def otps(text: Column) -> Column:
     hidden = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), T.AADHAAR, "XXXX"), T.PHONE, "XXXX")
-    return F.array_except(T.matches(hidden, T.OTP, 1), phones(text))
+    return T.let(T.matches(hidden, T.OTP, 1), lambda codes: F.when(F.size(codes) > 0, F.array_except(codes, phones(text))).otherwise(codes))
 
 
 def birth_dates(text: Column) -> Column:
@@ -47,28 +47,82 @@ def birth_dates(text: Column) -> Column:
 
 def labelled_names(text: Column) -> Column:
     values = F.transform(T.all_matches(text, T.NAME, 1), T.stripped)
-    return F.array_distinct(F.filter(values, lambda v: F.size(F.split(v, r"\s+")) <= 4))
+    return F.array_distinct(F.filter(values, lambda v: (F.size(F.split(v, r"\s+")) <= 4) & ~F.lower(v).isin(*T.NO_NAMES)))
 
 
 def labelled_ids(text: Column) -> Column:
     return F.array_distinct(F.filter(T.all_matches(text, T.ID_NUMBER, 1), lambda v: ~v.rlike("^[0-9]+$")))
 
 
-def document_findings(text: Column) -> Column:
-    """The document profile: an array of (type, value)."""
-    return F.concat(
-        typed("email", emails(text)),
-        typed("phone", phones(text)),
-        typed("password", credentials(text)),
-        typed("aadhaar", T.matches(text, T.AADHAAR)),
-        typed("pan_card", T.matches(text, T.PAN)),
-        typed("credit_card", cards(text)),
-        typed("cvv", T.all_matches(text, T.CVV, 1)),
-        typed("dob", birth_dates(text)),
-        typed("otp", otps(text)),
-        typed("person_name", labelled_names(text)),
-        typed("id_number", labelled_ids(text)),
-    )
+def heuristic_passwords(text: Column, academic: Column) -> Column:
+    """Tokens that look like passwords without a label: mixed and random ones anywhere, plainer ones up to 120 characters after a word such as password. None in academic texts."""
+    hidden = F.regexp_replace(F.coalesce(text, F.lit("")), T.EMAIL, "EMAIL_MASKED")
+
+    def plausible(token: Column) -> Column:
+        shape = token.rlike(r"[0-9@#$!%^&*_\-]") & ~token.rlike(T.NO_PASSWORD)
+        return shape & ~is_garbage(token)
+
+    strict = lambda t: t.rlike("[A-Z]") & t.rlike("[a-z]") & (F.length(t) >= 8) & ~(F.contains(t, F.lit("@")) & ~F.contains(F.substring_index(t, "@", -1), F.lit("."))) & plausible(t) & (T.entropy(t) >= 3.2)
+    relaxed = lambda t: t.rlike("[a-zA-Z]") & plausible(t) & (T.entropy(t) >= 2.2)
+
+    def tokens(masked: Column) -> Column:
+        anywhere = F.filter(F.array_distinct(F.regexp_extract_all(masked, F.lit(T.MIXED_TOKEN), F.lit(0))), strict)
+        # what follows a label, without the rest of the word that the label is in; a token counts if it begins within the reach
+        after = F.transform(F.regexp_extract_all(masked, F.lit(T.PASSWORD_LABEL), F.lit(1)), lambda w: F.regexp_replace(w, r"^[A-Za-z0-9@#$!%^&*_\-]+", ""))
+        near_label = F.flatten(F.transform(after, lambda w: F.filter(F.regexp_extract_all(w, F.lit(T.TOKEN), F.lit(0)), lambda t: relaxed(t) & (F.instr(w, t) <= 112))))
+        return F.array_distinct(F.concat(anywhere, near_label))
+
+    def checked(found: Column) -> Column:  # what is dear is asked only of texts that have such tokens
+        outside = T.let(emails(text), lambda mails: F.filter(found, lambda t: ~F.exists(mails, lambda e: F.contains(e, t))))
+        return F.when(F.size(found) == 0, found).when(academic, F.array().cast("array<string>")).otherwise(outside)
+
+    return T.let(T.let(hidden, tokens), checked)
+
+
+def academic_by_words(text: Column) -> Column:
+    """Whether a text is academic by its words and by the keyword classifier."""
+    from exposark.operators import classify
+
+    return T.let(F.lower(F.coalesce(text, F.lit(""))), lambda low: classify.is_academic(low, classify.keyword_class(low)["doc_type"]))
+
+
+def _has(low: Column, *words: str) -> Column:
+    out = F.contains(low, F.lit(words[0]))
+    for w in words[1:]:
+        out = out | F.contains(low, F.lit(w))
+    return out
+
+
+def document_findings(text: Column, academic: Column | None = None) -> Column:
+    """The document profile: an array of (type, value).
+
+    The text is bound once, and a pattern is tried only where a sign or word that it cannot do without occurs.
+    """
+    none = F.array().cast("array<string>")
+    gated = lambda test, values: F.when(test, values).otherwise(none)
+
+    def found(row: Column) -> Column:
+        t, low, digits = row["text"], row["low"], row["digits"]
+        papers = academic_by_words(t) if academic is None else academic
+        labelled = gated(_has(low, ":", "=") & _has(low, "pass", "pwd", "secret", "token", "apikey", "api_key", "auth"), credentials(t))
+        tokens = gated(digits | _has(low, "@", "#", "$", "!", "%", "^", "&", "*", "_", "-"), heuristic_passwords(t, papers))
+        secrets = T.let(labelled, lambda own: F.concat(own, F.filter(tokens, lambda x: ~F.exists(own, lambda v: F.lower(v) == F.lower(x)))))
+        return F.concat(
+            typed("email", gated(F.contains(t, F.lit("@")), emails(t))),
+            typed("phone", gated(digits, phones(t))),
+            typed("password", secrets),
+            typed("aadhaar", gated(digits, T.matches(t, T.AADHAAR))),
+            typed("pan_card", gated(digits, T.matches(t, T.PAN))),
+            typed("credit_card", gated(digits, cards(t))),
+            typed("cvv", gated(digits & _has(low, "cvv"), T.all_matches(t, T.CVV, 1))),
+            typed("dob", gated(_has(low, "dob", "d.o.b", "do.b", "d.ob", "birth", "born"), birth_dates(t))),
+            typed("otp", gated(digits & _has(low, "otp", "code", "pass", "pin", "token"), otps(t))),
+            typed("person_name", gated(_has(low, "name"), labelled_names(t))),
+            typed("id_number", gated(_has(low, " no", " num", "id doc"), labelled_ids(t))),
+        )
+
+    whole = F.coalesce(text, F.lit(""))
+    return T.let(F.struct(whole.alias("text"), F.lower(whole).alias("low"), whole.rlike(r"\d{3}").alias("digits")), found)
 
 
 CONTACT = r"contact|reach\s+us|email\s+us|write\s+to|mail\s+us|enquir|inquiry|admissions?|registrar|helpdesk|helpline|principal|director|dean|office|department|institute|college|university|school|faculty|placement|for\s+more\s+info|get\s+in\s+touch|send\s+us|feel\s+free\s+to"
@@ -116,46 +170,69 @@ def phone_class(phone: Column, text: Column, url: Column) -> Column:
     return F.when(url_host(url).rlike(r"\.edu|\.gov|\.ac\.in|\.nic\.in|jssmca|college|university") | near(text, phone, PHONE_CONTACT, 120), "public_phone").otherwise("phone")
 
 
+def noise(text: Column) -> Column:
+    """Years, fiscal years and dates by month name in a text: never personal data."""
+    return F.array_distinct(F.concat(*(T.all_matches(text, p) for p in (T.YEAR, T.FISCAL_YEAR, T.NOISE_DATE))))
+
+
+def false_positive(kind: Column, value: Column, noise: Column) -> Column:
+    """Whether a finding is empty, noise, a fiscal year, a date for a password or code, or a label for a password."""
+    v = F.trim(value)
+    label = v.rlike(r"^[A-Za-z]+-[A-Za-z]+$") | v.rlike(T.ACADEMIC_LABEL)
+    return (v == "") | F.array_contains(noise, v) | v.rlike("^(?:" + T.FISCAL_YEAR + ")$") | (kind.isin("password", "otp") & v.rlike(T.NOISE_DATE)) | ((kind == "password") & label)
+
+
 def url_findings(text: Column, url: Column) -> Column:
     """The web profile: cards need Luhn, 12-digit ids need Verhoeff, plain http is a finding; addresses and phones are typed by class;
-    PANs in technical text need a label; one of each (type, value in any case), the first."""
-    ids = F.array_distinct(F.filter(F.transform(T.all_matches(text, r"\b[2-9]\d{3}[ -]?\d{4}[ -]?\d{4}\b"), T.digits), T.verhoeff))
-    numbers = F.array_distinct(F.filter(F.transform(T.all_matches(text, r"\b(?:\d[ -]?){12,15}\d\b"), T.digits), T.luhn))
-    literals = ("true", "false", "null", "none", "undefined")
-    secrets = F.filter(T.matches(text, r"(?i)\b(?:password|passwd|pwd)\s*[=:]\s*([^\s<>\"']{4,30})", 1), lambda v: ~F.lower(v).isin(*literals))
+    PANs in technical text need a label; years and dates are no findings; one of each (type, value in any case), the first."""
+    return T.let(noise(text), lambda never: _url_findings(text, url, never))
+
+
+def _url_findings(text: Column, url: Column, never: Column) -> Column:
+    ids = F.filter(T.matches(text, T.WEB_AADHAAR), lambda v: T.verhoeff(v) & ~F.array_contains(never, T.digits(v)))
+    secrets = F.transform(T.matches(text, T.WEB_CREDENTIAL, 1), lambda v: F.regexp_replace(v, "^[\"'`]+|[\"'`]+$", ""))
+    secrets = F.array_distinct(F.filter(secrets, lambda v: (F.length(v) >= 4) & ~F.lower(v).isin("true", "false", "null", "none", "undefined", "yes", "no")))
     classed = lambda values, kind: F.transform(values, lambda v: F.struct(kind(v, text, url).alias("type"), v.alias("value")))
     technical = (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?i)\b(RFC|HTTP|HTML|JSON|XML|API|URL|SQL|CSS|TCP|UDP|IP)\b")) > 5) & ~F.coalesce(text, F.lit("")).rlike(r"(?i)\b(pan\s*card|pan\s*number|permanent\s*account)\b")
+    none = F.array().cast("array<string>")
+
+    def numbers(found: Column) -> Column:
+        ids_, calls = found["ids"], found["calls"]
+        calls = F.filter(calls, lambda p: ~F.exists(ids_, lambda a: T.digits(a) == p))
+        cards_ = F.array_distinct(F.filter(F.transform(T.all_matches(text, T.WEB_CARD), T.digits), lambda d: F.length(d).between(13, 16) & T.luhn(d) & ~F.array_contains(found["calls"], d) & ~F.array_contains(never, d)))
+        return F.concat(classed(calls, phone_class), typed("aadhaar", ids_), typed("credit_card", cards_))
+
     every = F.concat(
-        classed(T.matches(text, r"\b[A-Za-z0-9._%+\-]{2,}@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"), email_class),
-        classed(T.matches(text, r"(?<!\d)[6-9][0-9]{9}(?!\d)"), phone_class),
-        typed("aadhaar", ids),
-        typed("credit_card", numbers),
-        typed("pan", F.filter(T.matches(text, T.PAN), lambda _: ~technical)),
+        classed(T.matches(text, T.WEB_EMAIL), email_class),
+        T.let(F.struct(ids.alias("ids"), T.matches(text, T.WEB_PHONE).alias("calls")), numbers),
+        typed("pan", T.let(T.matches(text, T.PAN), lambda pans: F.when((F.size(pans) > 0) & technical, none).otherwise(pans))),
         typed("password", secrets),
-        typed("otp", T.matches(text, T.OTP, 1)),
-        typed("cvv", T.matches(text, r"(?i)\b(?:CVV|CVC|CVV2|security\s+code)\b\D{0,20}(\d{3,4})", 1)),
+        typed("otp", T.matches(text, T.WEB_OTP, 1)),
+        typed("cvv", T.matches(text, T.WEB_CVV, 1)),
         typed("dob", T.matches(text, T.DOB, 1)),
         F.when(F.startswith(F.lower(url), F.lit("http://")), typed("http_only", F.array(url))).otherwise(F.array().cast("array<struct<type:string,value:string>>")),
     )
-    keys = F.transform(every, lambda f: F.concat(f["type"], F.lit(" "), F.lower(F.trim(f["value"]))))
-    return F.filter(every, lambda f, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    good = F.filter(every, lambda f: ~false_positive(f["type"], f["value"], never))
+    return T.let(good, lambda a: F.filter(a, lambda f, i: (i == 0) | ~F.exists(F.slice(a, F.lit(1), F.greatest(i, F.lit(1))), lambda g: (g["type"] == f["type"]) & (F.lower(F.trim(g["value"])) == F.lower(F.trim(f["value"]))))))
 
 
 def screen_findings(text: Column) -> Column:
-    """The screen profile. A label at the start of a value is cut, values end after 80 characters, a phone inside a 12-digit id is dropped."""
-    short = lambda values: F.transform(values, lambda v: F.substring(F.regexp_replace(v, r"^[A-Za-z ]+[:=-]\s*", ""), 1, 80))
-    ids = T.matches(text, r"(?i)(?:aadhaar|uid)[^0-9]{0,20}\d{4}[ -]\d{4}[ -]\d{4}|(?<![\d-])[236789]\d{3}[ -]\d{4}[ -]\d{4}(?![ -]?\d)")
-    numbers = T.matches(text, r"(?<!\d)\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?!\d)")
-    calls = F.filter(T.matches(text, r"(?<!\d)[6-9]\d{9}(?!\d)"), lambda p: ~F.exists(ids, lambda a: F.contains(T.digits(a), p)))
+    """The screen profile. A label at the start of a value is cut, values end after 80 characters, a phone inside a 12-digit id is dropped, and so is an id that begins a card."""
+    cut = lambda v: F.regexp_replace(v, r"^[A-Za-z]\w*\s*[:=\-]\s*|^:\s*", "")
+    short = lambda values: F.transform(values, lambda v: F.substring(F.coalesce(F.nullif(T.stripped(cut(T.stripped(v))), F.lit("")), T.stripped(v)), 1, 80))
+
+    def numbers(cards_: Column) -> Column:
+        ids = F.filter(F.array_distinct(short(T.all_matches(text, T.SCREEN_AADHAAR))), lambda a: ~F.exists(cards_, lambda c: F.substring(T.digits(c), 1, 12) == T.digits(a)))
+        calls = T.matches(text, r"(?<!\d)[6-9]\d{9}(?!\d)")
+        return T.let(ids, lambda found: F.concat(typed("aadhaar", found), typed("credit_card", cards_), typed("phone", F.filter(calls, lambda p: ~F.exists(found, lambda a: F.contains(T.digits(a), p))))))
+
     return F.concat(
-        typed("aadhaar", short(ids)),
-        typed("pan", T.matches(text, r"(?<![A-Za-z])[A-Z]{5}[0-9]{4}[A-Z](?![A-Za-z])")),
-        typed("credit_card", numbers),
-        typed("email", T.matches(text, r"(?<!\w)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?!\w)")),
-        typed("phone", calls),
-        typed("password", short(T.matches(text, r"(?i)(?:password|passwd|pwd)\s*[:=-]\s*\S{4,}"))),
-        typed("otp", short(T.matches(text, r"(?i)\botp\b.{0,30}?\d{4,8}"))),
-        typed("dob", T.matches(text, r"\b\d{1,2}/\d{1,2}/(?:19\d{2}|200\d)\b")),
+        T.let(T.matches(text, T.SCREEN_CARD), numbers),
+        typed("pan", T.matches(text, r"(?<![A-Z])[A-Z]{5}\d{4}[A-Z](?![A-Z])")),
+        typed("email", T.matches(text, r"(?<!\w)[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}(?!\w)")),
+        typed("password", F.array_distinct(short(T.all_matches(text, T.SCREEN_PASSWORD)))),
+        typed("otp", F.array_distinct(short(T.all_matches(text, T.SCREEN_OTP)))),
+        typed("dob", T.matches(text, T.SCREEN_DOB)),
     )
 
 
@@ -167,16 +244,94 @@ def social_findings(texts: Column) -> Column:
     return F.concat(typed("email", cut(T.matches(text, T.EMAIL))), typed("phone", cut(T.matches(text, r"(?<!\d)(?:[6-9]\d{9}|\+?\d{1,3}[ -]\d{3}[ -]\d{3}[ -]\d{4})(?!\d)"))), typed("website", cut(sites)))
 
 
+def profile_findings(fields: Column, website_found: Column) -> Column:
+    """What a profile's fields expose, as (type, value). fields: a map by field name."""
+    field = lambda *names: F.coalesce(*(F.nullif(F.try_element_at(fields, F.lit(n)), F.lit("")) for n in names), F.lit(""))
+    user, shown, place, site, bio, firm = field("username"), field("display_name"), field("location"), field("website"), field("bio", "headline"), field("company")
+    found = lambda test, kind, value: F.when(test, F.struct(F.lit(kind).alias("type"), value.alias("value")))
+    return F.array_compact(
+        F.array(
+            found((user != "") & (user != "unknown"), "username", user),
+            found((shown != "") & (F.lower(F.trim(shown)) != F.lower(F.trim(user))), "display_name", F.substring(shown, 1, 100)),
+            found(F.length(place) > 2, "location", F.substring(place, 1, 100)),
+            found((site != "") & ~website_found, "website", F.substring(site, 1, 200)),
+            found(F.length(F.trim(bio)) > 10, "bio", F.substring(bio, 1, 150)),
+            found(F.length(firm) > 1, "company", F.substring(firm, 1, 100)),
+        )
+    )
+
+
+def profile_text(text: Column) -> Column:
+    """The lines of a scraped profile that are no boilerplate of its platform and have 4 characters or more."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), T.stripped)
+    return F.array_join(F.filter(lines, lambda x: (F.length(x) >= 4) & ~x.rlike(T.PROFILE_NOISE)), "\n")
+
+
+def meaningful(value: Column) -> Column:
+    """A metadata value without the white space around it, null where it is a placeholder."""
+    v = T.stripped(value)
+    return F.when((v != "") & ~F.lower(v).isin(*T.PLACEHOLDERS), v)
+
+
 def metadata_findings(value: Column) -> Column:
     """What leaks in a metadata value: a local path, an address or a phone number; the first that is there."""
-    return F.when(value.rlike(r"(?i)[a-z]:\\|/home/|/users/"), "local_path").when(value.rlike(T.EMAIL), "embedded_email").when(value.rlike(T.PHONE), "embedded_phone")
+    return F.when(value.rlike(r"[a-zA-Z]:\\[^/:\"*?<>|]+\\|^/home/"), "local_path").when(value.rlike(r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"), "embedded_email").when(F.replace(value, F.lit(" "), F.lit("")).rlike(r"[6-9]\d{9}"), "embedded_phone")
+
+
+def redacted(text: Column, values: Column) -> Column:
+    """Words of a text as (word, hide): a word goes if it is in a finding, holds one, or has the form of personal data."""
+    found = F.filter(F.transform(values, lambda v: F.lower(T.stripped(v))), lambda v: v != "")
+    parts = F.array_distinct(F.filter(F.flatten(F.transform(found, lambda v: F.split(v, r"[^a-zA-Z0-9@#$!%^&*_\-]"))), lambda w: F.length(w) >= 3))
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: F.length(w) >= 2)
+
+    def hide(word: Column) -> Column:
+        low = F.lower(word)
+        return F.array_contains(parts, low) | ((F.length(low) >= 3) & F.exists(found, lambda v: F.contains(v, low) | F.contains(low, v))) | word.rlike("|".join((T.EMAIL, T.PHONE, T.AADHAAR, T.PAN, T.CARD)))
+
+    return F.transform(words, lambda w: F.struct(w.alias("word"), hide(w).alias("hide")))
+
+
+def mentions_secrets(text: Column) -> Column:
+    """Whether a text has a word of credentials or documents at all."""
+    return F.lower(F.coalesce(text, F.lit(""))).rlike("password|otp|login|username|bank|account|aadhaar|pan|credit|debit|cvv")
 
 
 def exploded(docs: DataFrame, findings: Column, key: str = "doc_id") -> DataFrame:
     """(key, type, value), a row for each finding."""
-    return docs.select(key, F.explode(findings).alias("f")).select(key, "f.type", "f.value")
+    # an outer explode, so that no filter on the array's size makes Spark compute the findings twice
+    return docs.select(key, F.explode_outer(findings).alias("f")).where(F.col("f").isNotNull()).select(key, "f.type", "f.value")
 
 
 def is_garbage(token: Column) -> Column:
-    """Short, mostly symbols, four equal characters in a row, or a symbol or control character at the start."""
-    return (F.length(token) < 3) | (T.letter_digit_ratio(token) < 0.5) | token.rlike(r"(.)\1{3,}") | token.rlike(r"^[^\p{L}\p{N}]") | token.rlike(r"\p{Cntrl}")
+    """Whether a token is what is read off noise: short, mostly signs, four equal characters in a row, three rare letters or signs at the start, or a control character."""
+    t = T.stripped(token)
+    return (F.length(t) < 3) | (T.letter_digit_ratio(t) < 0.5) | t.rlike(r"(.)\1{3,}") | t.rlike(r"^[xzqjXZQJ]{3,}") | t.rlike(r"^[^a-zA-Z0-9]{3,}") | t.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
+
+
+def is_entity_garbage(value: Column) -> Column:
+    """Whether a named entity is noise: signs, repetitions, lower case first, digits that are no year, short fragments, capitals, cut words, titles of browser tabs, and words of screens."""
+    v = T.stripped(value)
+    words = F.regexp_extract_all(v, F.lit("[a-zA-Z]+"), F.lit(0))
+    first, last = F.lower(F.coalesce(F.get(words, F.lit(0)), F.lit(""))), F.lower(F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")))
+    cut = (F.size(words) >= 2) & last.rlike("(?:" + T.CUT_ENDINGS + ")$") & ~last.rlike("(?:" + T.SURNAME_ENDINGS + ")$")
+    return (
+        (F.length(v) < 2) | (T.letter_digit_ratio(v) < 0.4) | v.rlike(r"(.)\1{3,}") | v.rlike(r"^[\W_]{2,}$") | v.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]") | v.rlike(r"[|:\\{}\[\]<>@#$%^*+=`~]") | v.rlike(r"^\p{Ll}")
+        | (v.rlike(r"\d") & ~v.rlike(r"(19|20)\d{2}")) | ((F.size(words) > 0) & F.forall(words, lambda w: F.length(w) <= 3)) | v.rlike(r"^[A-Z]{1,4}(\s+[A-Z]{1,4})+$")
+        | first.isin(*T.CUT_NAMES) | cut | F.lower(v).rlike("(?m)[-–] (?:" + T.TAB_TITLES + r")\s*$") | F.lower(v).isin(*T.SCREEN_WORDS)
+    )
+
+
+def is_date_like(token: Column) -> Column:
+    """Whether a token is a date by month name, a fiscal year, or two words with a hyphen."""
+    return token.rlike(r"(?i)^\d{1,2}[-/](?:" + T.MONTHS + r")[-/]\d{2,4}\b|^(?:19|20)\d{2}-\d{2,4}\b|^[A-Za-z]+-[A-Za-z]+$")
+
+
+def entity_confidence(value: Column, label: Column, stop_words: tuple[str, ...] = (), least: int = 3) -> Column:
+    """Confidence of a named entity: by its length, with a bonus for several words; none for stop words and short ones."""
+    v = T.stripped(value)
+    words = F.filter(F.split(v, r"\s+"), lambda w: F.length(w) >= 2)
+    bonus = F.when((label == "PERSON") & (F.size(words) >= 2), 0.3).when(F.size(words) >= 2, 0.22).otherwise(0.0)
+    nothing = (F.length(v) < least) | ((F.size(F.split(v, r"\s+")) == 1) & (F.length(v) < 5))
+    if stop_words:
+        nothing = nothing | F.lower(v).isin(*stop_words)
+    return F.when(nothing, 0.0).otherwise(F.round(F.least(F.least(F.length(v) / 22.0, F.lit(0.8)) + bonus, F.lit(1.0)), 2))

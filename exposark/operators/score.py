@@ -40,8 +40,24 @@ def type_counts(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     return findings.groupBy(key, "type").agg(F.count("*").alias("n"))
 
 
+def with_row_score(docs: DataFrame, findings: str, doc_type: str | None = None) -> DataFrame:
+    """docs with score and risk of an array of findings in the row: all within the row, without a shuffle. Soft types count SOFT_CAP at most in calm documents, which those of no stated type are."""
+    kinds = F.array_distinct(F.transform(F.col(findings), lambda f: f["type"]))
+    count = lambda k: F.size(F.filter(F.col(findings), lambda f: f["type"] == k))
+    weighed = F.transform(kinds, lambda k: F.struct(k.alias("type"), lookup(k, tables.DOCUMENT_WEIGHTS, tables.DOCUMENT_DEFAULT).cast("double").alias("weight"), count(k).alias("n")))
+    rows = docs.withColumn("__points", F.transform(weighed, lambda x: F.struct(x["type"].alias("type"), ladder(x["weight"], x["n"]).alias("points"))))
+    total = lambda keep: F.aggregate(F.filter("__points", keep), F.lit(0.0), lambda a, x: a + x["points"])
+    rows = rows.withColumn("__soft", total(lambda x: x["type"].isin(*tables.SOFT_TYPES))).withColumn("__firm", total(lambda x: ~x["type"].isin(*tables.SOFT_TYPES)))
+    rows = rows.withColumn("__hard", F.exists("__points", lambda x: x["type"].isin(*tables.HARD_TYPES)))
+    cap = F.least("__soft", F.lit(float(tables.SOFT_CAP)))
+    capped = cap if doc_type is None else F.when(F.col(doc_type).isin(*tables.CALM_DOCUMENTS), cap).otherwise(F.col("__soft"))
+    raw = F.least(F.round(capped + F.col("__firm"), 1), F.lit(100.0))
+    rows = rows.withColumn("score", F.when(F.col("__hard"), F.greatest(raw, F.lit(40.0))).otherwise(raw))
+    return rows.withColumn("risk", risk(F.col("score"), "document", F.col("__hard"))).drop("__points", "__soft", "__firm", "__hard")
+
+
 def document_scores(docs: DataFrame, findings: DataFrame, key: str = "doc_id", doc_type: str = "generic") -> DataFrame:
-    """key, score and risk of every document; those without findings score 0. Counting by (key, type) is combined before the shuffle, and the second grouping reuses the partitioning by key."""
+    """key, score and risk of every document by findings in rows of their own; those without findings score 0. Both groupings share one shuffle by key."""
     points = ladder(lookup(F.col("type"), tables.DOCUMENT_WEIGHTS, tables.DOCUMENT_DEFAULT), F.col("n"))
     typed = type_counts(findings.repartition(key), key).withColumn("points", points)
     soft, hard = F.col("type").isin(*tables.SOFT_TYPES), F.col("type").isin(*tables.HARD_TYPES)
@@ -67,14 +83,27 @@ def screen_score(types: Column) -> Column:
     return F.least(F.aggregate(types, F.lit(0), lambda a, t: a + lookup(t, tables.SCREEN_WEIGHTS, 5)), F.lit(100))
 
 
-def metadata_scores(fields: DataFrame, key: str = "file_id") -> DataFrame:
-    """fields: key, field, value. Each field's weight, raised by what leaks in its value, summed up to 100."""
-    from exposark.operators.detect import metadata_findings
+def metadata_fields(fields: DataFrame, key: str = "file_id") -> DataFrame:
+    """key, field, label, value, weight and risk of each field that says something: its weight, raised by what leaks in its value. Informational fields have no risk.
+
+    fields: key, field, value. Placeholders count as nothing, and fields of the picture's form are left out.
+    """
+    from exposark.operators.detect import metadata_findings, meaningful
 
-    leak = metadata_findings(F.col("value"))
+    known = fields.withColumn("value", meaningful(F.col("value"))).where(F.col("value").isNotNull() & ~F.col("field").isin("image_format", "image_size", "image_mode", "gps_maps_link", "sheets"))
+    known = known.withColumn("leak", metadata_findings(F.col("value")))
     weight = lookup(F.col("field"), tables.METADATA_WEIGHTS, 0)
-    raised = F.when(leak == "local_path", F.greatest(weight, F.lit(25))).when(leak.isNotNull(), F.greatest(weight, F.lit(20))).when(F.col("field") == "tracked_changes", F.lit(20)).otherwise(weight)
-    sums = fields.withColumn("points", raised).groupBy(key).agg(F.least(F.sum("points"), F.lit(100)).cast("double").alias("score"), F.count_if(F.col("points") > 0).alias("n_sensitive"))
+    raised = F.when(F.col("field") == "tracked_changes", F.lit(20)).when(F.col("leak") == "local_path", F.greatest(weight, F.lit(25))).when(F.col("leak").isNotNull(), F.greatest(weight, F.lit(20))).otherwise(weight)
+    known = known.withColumn("weight", raised)
+    label = F.when(F.col("leak") == "local_path", "Local File Location").otherwise(F.coalesce(lookup(F.col("field"), tables.FIELD_LABELS), F.initcap(F.replace("field", F.lit("_"), F.lit(" ")))))
+    level = F.when((F.col("weight") > 0) | F.col("leak").isNotNull(), F.when(F.col("weight") >= 25, "CRITICAL").when(F.col("weight") >= 15, "HIGH").otherwise("MEDIUM"))
+    name = F.when(F.col("leak") == "local_path", "local_path").otherwise(F.col("field"))
+    return known.select(key, name.alias("field"), label.alias("label"), F.substring("value", 1, 200).alias("value"), "weight", level.alias("risk"))
+
+
+def metadata_scores(fields: DataFrame, key: str = "file_id") -> DataFrame:
+    """key, score, n_sensitive and risk of each file by its metadata fields."""
+    sums = metadata_fields(fields, key).groupBy(key).agg(F.least(F.sum("weight"), F.lit(100)).cast("double").alias("score"), F.count("risk").alias("n_sensitive"))
     return sums.withColumn("risk", risk(F.col("score"), "metadata"))
 
 
