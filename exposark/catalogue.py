@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +9,9 @@ from exposark.functions import tables
 from exposark.functions import text as T
 from exposark.operators import advice, classify, detect, doctype, score
 from exposark.plans import history, sessions
+from exposark.registry import ORACLES, QUERIES, query
 from exposark.sources import corpus as C
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- SQL that several queries share ---------------------------------------------------------------------------------------
 
 
@@ -415,3 +397,14 @@ def conversation_findings(spark, sf_dir):
     """The profile-page patterns over the turns of each conversation."""
     texts = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", detect.social_findings(F.array(F.coalesce("text", F.lit("")))).alias("f"))
     return texts.select("conv_id", "turn", F.explode("f").alias("f")).select("conv_id", "turn", "f.type", "f.value")
+
+
+ADVICE_ORDER = "CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END"
+CREDIT_SQL = f"""WITH {SCORES_SQL}, advice(type, up_to, low, high) AS (VALUES ('email', 2, 'MEDIUM', 'HIGH'), ('password', 0, 'HIGH', 'HIGH'), ('aadhaar', 0, 'HIGH', 'HIGH'), ('pan_card', 0, 'HIGH', 'HIGH'), ('credit_card', 0, 'HIGH', 'HIGH')),
+own AS (SELECT doc_id, type, CASE WHEN n > up_to THEN high ELSE low END AS severity FROM counts JOIN advice USING (type)
+  UNION ALL SELECT doc_id, 'general', CASE WHEN risk IN ('CRITICAL', 'HIGH') THEN 'HIGH' WHEN risk = 'MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END FROM leveled)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY {ADVICE_ORDER}, type) AS place, type, severity FROM own"""
+
+from exposark import catalogue_more  # noqa: E402  registers further queries
+
+__all__ = ["ORACLES", "QUERIES", "catalogue_more"]

@@ -100,6 +100,15 @@ def worth_an_alert(level: Column) -> Column:
     return level.isin("MEDIUM", "HIGH", "CRITICAL")
 
 
+def severity(kind: Column, n: Column) -> Column:
+    """Severity of the advice for n findings of a type; null for types without advice."""
+    out = None
+    for name, up_to, low, high in tables.ADVICE:
+        value = F.when(n > up_to, high).otherwise(low)
+        out = F.when(kind == name, value) if out is None else out.when(kind == name, value)
+    return out
+
+
 def general_advice(level: Column) -> Column:
     """Severity of the one advice that every scan gets, by its level."""
     return F.when(level.isin("CRITICAL", "HIGH"), "HIGH").when(level == "MEDIUM", "MEDIUM").otherwise("LOW")

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from exposark.functions import tables
+from exposark.functions.text import let
 
 
 def keyword_class(text: Column, filename: Column | None = None) -> Column:
@@ -16,27 +17,24 @@ def keyword_class(text: Column, filename: Column | None = None) -> Column:
     The lower-cased text and each rule's count are bound once, and a keyword's pattern is tried only where the keyword occurs at all.
     """
     both = F.concat_ws(" ", text, filename) if filename is not None else F.coalesce(text, F.lit(""))
-    rules = tables.KEYWORD_RULES
-    least, names = F.array(*(F.lit(n) for _, n, _ in rules)), F.array(*(F.lit(k) for k, _, _ in rules))
+    rules = F.array(*(F.struct(F.lit(-i).alias("order"), F.lit(name).alias("doc_type"), F.lit(least).alias("least"), F.array(*map(F.lit, words)).alias("words")) for i, (name, least, words) in enumerate(tables.KEYWORD_RULES)))
 
-    def hits(low: Column, words: tuple[str, ...]) -> Column:
-        return sum((F.when(F.contains(low, F.lit(w)), low.rlike(rf"\b{re.escape(w)}\b").cast("int")).otherwise(0) for w in words), F.lit(0))
+    def fit(found: Column) -> Column:
+        sure = F.least(F.lit(0.55) + F.least(found["n"], F.lit(3)) / 3.0 * 0.35, F.lit(0.89))
+        return F.struct(F.round(sure, 4).alias("confidence"), found["order"].alias("order"), found["doc_type"].alias("doc_type"))
 
-    def fit(n: Column, i: Column) -> Column:
-        sure = F.least(F.lit(0.55) + F.least(n, F.lit(3)) / 3.0 * 0.35, F.lit(0.89))
-        return F.when(n >= F.get(least, i), F.struct(F.round(sure, 4).alias("confidence"), (-i).alias("order"), F.get(names, i).alias("doc_type")))
+    def best(low: Column) -> Column:
+        hits = lambda words: F.size(F.filter(words, lambda w: F.contains(low, w) & F.rlike(low, F.concat(F.lit(r"\b"), w, F.lit(r"\b")))))
+        counted = F.transform(rules, lambda r: F.struct(r["order"].alias("order"), r["doc_type"].alias("doc_type"), r["least"].alias("least"), hits(r["words"]).alias("n")))
+        return F.array_max(F.transform(F.filter(counted, lambda x: x["n"] >= x["least"]), fit))
 
-    found = F.transform(F.array(F.lower(both)), lambda low: F.array_max(F.filter(F.transform(F.array(*(hits(low, w) for _, _, w in rules)), fit), lambda x: x.isNotNull())))
     nothing = F.struct(F.lit(0.0).alias("confidence"), F.lit(0).alias("order"), F.lit("generic").alias("doc_type"))
-    return F.coalesce(F.get(found, F.lit(0)), nothing)
+    return F.coalesce(let(F.lower(both), best), nothing)
 
 
 def is_academic(low: Column, doc_type: Column) -> Column:
     """Whether a text, lower-cased, is a paper, a certificate or a program."""
-    found = F.lit(False)
-    for word in tables.ACADEMIC_WORDS:
-        found = found | F.contains(low, F.lit(word))
-    return doc_type.isin(*tables.CALM_TYPES) | found
+    return doc_type.isin(*tables.CALM_TYPES) | F.exists(F.array(*map(F.lit, tables.ACADEMIC_WORDS)), lambda w: F.contains(low, w))
 
 
 def with_evidence(doc_type: Column, types: Column) -> Column:

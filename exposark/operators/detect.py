@@ -105,7 +105,7 @@ def document_findings(text: Column, academic: Column | None = None) -> Column:
         t, low, digits = row["text"], row["low"], row["digits"]
         papers = academic_by_words(t) if academic is None else academic
         labelled = gated(_has(low, ":", "=") & _has(low, "pass", "pwd", "secret", "token", "apikey", "api_key", "auth"), credentials(t))
-        tokens = gated(digits | _has(low, "@", "#", "$", "!", "%", "^", "&", "*", "_", "-"), heuristic_passwords(t, papers))
+        tokens = gated(t.rlike(r"[0-9@#$!%^&*_\-]"), heuristic_passwords(t, papers))
         secrets = T.let(labelled, lambda own: F.concat(own, F.filter(tokens, lambda x: ~F.exists(own, lambda v: F.lower(v) == F.lower(x)))))
         return F.concat(
             typed("email", gated(F.contains(t, F.lit("@")), emails(t))),
@@ -293,7 +293,7 @@ def redacted(text: Column, values: Column) -> Column:
 
 def mentions_secrets(text: Column) -> Column:
     """Whether a text has a word of credentials or documents at all."""
-    return F.lower(F.coalesce(text, F.lit(""))).rlike("password|otp|login|username|bank|account|aadhaar|pan|credit|debit|cvv")
+    return F.lower(F.coalesce(text, F.lit(""))).rlike("password|login|account|bank|otp|email|phone|upi|card|username|security")
 
 
 def exploded(docs: DataFrame, findings: Column, key: str = "doc_id") -> DataFrame:

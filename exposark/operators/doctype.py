@@ -11,22 +11,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exposark.functions import tables
+from exposark.functions import text as T
 from exposark.operators import classify, detect, score
 
 EDGE = r"[^\p{L}\p{N}_]"
 
 
-def has_word(low: Column, word: str) -> Column:
-    """Whether a lower-cased text has a keyword: short ones and phrases between word ends, longer single words anywhere."""
-    found = F.contains(low, F.lit(word))
+def pattern_of(word: str) -> str | None:
+    """The pattern that a keyword needs beside being in the text: short ones and phrases stand between word ends, longer single words anywhere."""
     if len(word) > 4 and word.isalnum():
-        return found
+        return None
     after = rf"(?:{EDGE}|$)" if word[-1].isalnum() else r"[\p{L}\p{N}_]"  # the end of a word after a full stop is where a word begins
-    return F.when(found, low.rlike(rf"(?:^|{EDGE}){re.escape(word)}{after}")).otherwise(F.lit(False))
+    return rf"(?:^|{EDGE}){re.escape(word)}{after}"
 
 
-def count_words(low: Column, words: tuple[str, ...]) -> Column:
-    return sum((has_word(low, w).cast("int") for w in words), F.lit(0))
+def keywords(words: tuple[str, ...]) -> Column:
+    """Keywords and their patterns as a constant."""
+    if not words:
+        return F.array().cast("array<struct<word:string,pattern:string>>")
+    return F.array(*(F.struct(F.lit(w).alias("word"), F.lit(pattern_of(w)).cast("string").alias("pattern")) for w in words))
+
+
+def count_words(low: Column, words: Column) -> Column:
+    """How many of the keywords a lower-cased text has; a pattern is tried only where its word occurs."""
+    return F.size(F.filter(words, lambda w: F.contains(low, w["word"]) & (w["pattern"].isNull() | F.coalesce(F.rlike(low, w["pattern"]), F.lit(False)))))
 
 
 def types_of(findings: Column) -> Column:
@@ -38,31 +46,29 @@ def with_inferred(docs: DataFrame, text: str = "text", types: str = "types") ->
 
     An identity document without its number is a project paper if two words say so, else generic; a screen of credentials without any is an authentication screen.
     """
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    rules = tables.TYPE_RULES
-    rows = docs.withColumn("__low", low)
-    rows = rows.withColumn("__counts", F.array(*(F.when(_any(F.col("__low"), need), count_words(F.col("__low"), need + more)).otherwise(0) for _, _, need, more, _ in rules), count_words(F.col("__low"), tables.PAPER_WORDS)))
-    fits = [F.when(F.get("__counts", F.lit(i)) >= least, F.struct(F.get("__counts", F.lit(i)).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("doc_type"), F.lit(boost).alias("boost"), F.when(F.get("__counts", F.lit(i)) >= 2 * least, "HIGH").otherwise("MEDIUM").alias("confidence"))) for i, (name, boost, _, _, least) in enumerate(rules)]
-    rows = rows.withColumn("__best", F.array_max(F.array_compact(F.array(*fits))))
+    whole = F.lower(F.coalesce(F.col(text), F.lit("")))
+    rules = F.array(*(F.struct(F.lit(-i).alias("order"), F.lit(name).alias("doc_type"), F.lit(boost).alias("boost"), F.lit(least).alias("least"), keywords(need).alias("need"), keywords(need + more).alias("words")) for i, (name, boost, need, more, least) in enumerate(tables.TYPE_RULES)))
+
+    def counts(low: Column) -> Column:
+        n = lambda r: F.when((F.size(r["need"]) == 0) | (count_words(low, r["need"]) > 0), count_words(low, r["words"])).otherwise(0)
+        own = F.transform(rules, lambda r: F.struct(n(r).alias("n"), r["order"].alias("order"), r["doc_type"].alias("doc_type"), r["boost"].alias("boost"), r["least"].alias("least")))
+        sure = lambda x: F.struct(x["n"].alias("n"), x["order"].alias("order"), x["doc_type"].alias("doc_type"), x["boost"].alias("boost"), F.when(x["n"] >= 2 * x["least"], "HIGH").otherwise("MEDIUM").alias("confidence"))
+        fit = F.array_max(F.transform(F.filter(own, lambda x: x["n"] >= x["least"]), sure))
+        return F.struct(fit.alias("best"), count_words(low, keywords(tables.PAPER_WORDS)).alias("papers"))
+
+    rows = docs.withColumn("__counts", T.let(whole, counts)).withColumn("__best", F.col("__counts.best"))
     best = F.col("__best.doc_type")
     has = lambda *kinds: F.arrays_overlap(F.col(types), F.array(*map(F.lit, kinds)))
     kind = lambda name, boost, sure: F.struct(F.lit(name).alias("doc_type"), F.lit(boost).alias("boost"), F.lit(sure).alias("confidence"))
     bare = ((best == "aadhaar_card") & ~has("aadhaar")) | ((best == "pan_card_doc") & ~has("pan_card"))
     inferred = (
         F.when(best.isNull(), kind("generic", 0, "LOW"))
-        .when(bare & (F.get("__counts", F.lit(len(rules))) >= 2), kind("project_synopsis", 0, "HIGH"))
+        .when(bare & (F.col("__counts.papers") >= 2), kind("project_synopsis", 0, "HIGH"))
         .when(bare, kind("generic", 0, "LOW"))
         .when((best == "screenshot_credential") & ~has(*tables.CREDENTIAL_TYPES), kind("screenshot_auth", 0, "HIGH"))
         .otherwise(F.struct(best.alias("doc_type"), F.col("__best.boost").alias("boost"), F.col("__best.confidence").alias("confidence")))
     )
-    return rows.withColumn("inferred", inferred).drop("__low", "__counts", "__best")
-
-
-def _any(low: Column, words: tuple[str, ...]) -> Column:
-    out = F.lit(not words)
-    for w in words:
-        out = out | has_word(low, w)
-    return out
+    return rows.withColumn("inferred", inferred).drop("__counts", "__best")
 
 
 def resolved(keyword: Column, inferred: Column, types: Column) -> Column:
@@ -95,14 +101,14 @@ def vision_points(seen: Column) -> Column:
 
 
 def vision_findings(seen: Column) -> Column:
-    """Findings (type, weight, confidence) of what detectors saw, a struct(faces, face_confidence, id_document, id_confidence, signature, codes); an id document needs a confidence of 0.6."""
+    """Findings (type, weight, confidence) of what detectors saw, a struct(faces, face_confidence, id_document, id_confidence, signature, signature_confidence, codes, code_confidence); an id document needs a confidence of 0.6."""
     kind = lambda test, name, weight, sure: F.when(test, F.struct(F.lit(name).alias("type"), F.lit(weight).alias("weight"), sure.cast("double").alias("confidence")))
     return F.array_compact(
         F.array(
             kind(seen["faces"] > 0, "face_detected", 22, seen["face_confidence"]),
             kind(seen["id_document"] & (seen["id_confidence"] >= 0.6), "id_card_visible", 30, seen["id_confidence"]),
-            kind(seen["signature"], "signature_visible", 12, F.lit(0.6)),
-            kind(seen["codes"] > 0, "qr_barcode", 15, F.lit(0.9)),
+            kind(seen["signature"], "signature_visible", 12, seen["signature_confidence"]),
+            kind(seen["codes"] > 0, "qr_barcode", 15, seen["code_confidence"]),
         )
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exposark.functions import tables
-from exposark.functions.text import stripped
+from exposark.functions.text import let, stripped
 
 SCANNABLE = (".pdf", ".png", ".jpg", ".jpeg", ".txt", ".docx", ".doc", ".html", ".csv")
 AS_OF = "2024-01-31"
@@ -88,15 +88,30 @@ def resolved_link(url: Column) -> Column:
     )
 
 
+def with_scheme(url: Column) -> Column:
+    """A URL without the white space around it; https where it names no web scheme."""
+    u = stripped(url)
+    return F.when(u.rlike("^https?://"), u).otherwise(F.concat(F.lit("https://"), u))
+
+
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[a-z]+://([^/:?#]+)", 1))
+    return F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
+
+
+def is_private(host: Column) -> Column:
+    """Whether a host is an IPv4 address of a private, local or link-local net, by its numbers."""
+    part = lambda k: F.try_element_at(F.split(host, r"\."), F.lit(k)).try_cast("int")
+    a, b = part(1), part(2)
+    literal = host.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$")
+    return F.coalesce(literal & (a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))), F.lit(False))
 
 
 def is_allowed(url: Column) -> Column:
-    """http or https, no blocked host, and no literal private address."""
-    h = host(url)
-    private = h.rlike(r"^(10\.|127\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)")
-    return url.rlike("^https?://") & (h != "") & ~h.isin(*tables.BLOCKED_HOSTS) & ~private
+    """Whether a page may be fetched: no blocked host, no path of machine metadata, and no private address."""
+    u = with_scheme(url)
+    h = host(u)
+    path = F.regexp_extract(u, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
+    return (h != "") & ~h.isin(*tables.BLOCKED_HOSTS) & ~path.rlike(r"(?i)/(metadata|computeMetadata|latest/meta-data)") & ~is_private(h)
 
 
 def platform(url: Column) -> Column:
@@ -109,16 +124,83 @@ def platform(url: Column) -> Column:
     return out.otherwise("unsupported")
 
 
+def page_title(html: Column) -> Column:
+    title = stripped(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
+    return F.when(title == "", "Untitled Page").otherwise(title)
+
+
 def html_text(html: Column) -> Column:
-    """The text of a page: without scripts, styles, navigation and tags; blank runs are squeezed."""
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|noscript|nav|footer|header|svg|iframe)\b.*?</\1\s*>|<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr)>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
-    for entity, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    """The text of a page: without the tags that hold no content, line by line without navigation and without short lines that were there before."""
+    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", "")
+    for tag in tables.NOISE_TAGS:
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
+    out = F.regexp_replace(out, r"(?is)<(?:select|option|button|form|svg|figure|banner|cookie|dialog|template)\b[^>]*>", "\n")
+    out = F.regexp_replace(out, r"<[^>]*>", "\n")
+    for entity, c in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(c))
-    return stripped(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    lines = F.filter(F.transform(F.split(out, r"\r\n|\r|\n"), stripped), lambda x: (x != "") & ~x.rlike(f"(?i)^(?:{tables.NAVIGATION})$"))
+    placed = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("i"), x.alias("line"))))
+    kept = let(placed, lambda a: F.filter(a, lambda x, j: (j == 0) | (F.length(x["line"]) >= 25) | (F.get(a, j - 1)["key"] != x["key"])))
+    back = F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line")))), lambda x: x["line"])
+    return stripped(F.regexp_replace(F.array_join(back, "\n"), r"[ \t]{2,}", " "))
 
 
 def decimal_degrees(degrees: Column, minutes: Column, seconds: Column, side: Column) -> Column:
     value = degrees + minutes / 60 + seconds / 3600
     return F.round(F.when(side.isin("S", "W"), -value).otherwise(value), 6)
+
+
+#: Extensions by who reads files, and kinds of office files.
+ALLOWED = {
+    "metadata": (".jpg", ".jpeg", ".png", ".tiff", ".tif", ".webp", ".bmp", ".pdf", ".docx", ".doc", ".xlsx", ".xls", ".pptx", ".ppt"),
+    "batch": (".jpg", ".jpeg", ".png", ".bmp", ".webp"),
+    "agent": (".pdf", ".docx", ".doc", ".txt", ".png", ".jpg", ".jpeg", ".bmp", ".tiff"),
+    "blur": (".png", ".jpg", ".jpeg"),
+}
+OFFICE_CORE = (("dc:creator", "author"), ("cp:lastModifiedBy", "last_modified_by"), ("cp:revision", "revision"), ("dcterms:created", "creation_date"), ("dcterms:modified", "modification_date"), ("dc:title", "doc_title"), ("dc:subject", "subject"), ("cp:keywords", "keywords"))
+OFFICE_APP = (("Company", "company", ".*?"), ("Application", "software", ".*?"), ("Words", "word_count", r"\d+"), ("Sheets", "sheet_count", r"\d+"))
+
+
+def is_readable(path: Column, length: Column, reader: str, most: int = 25 * 1024 * 1024) -> Column:
+    """Whether a reader takes a file, by its extension and size."""
+    return extension(path).isin(*ALLOWED[reader]) & (length <= most)
+
+
+def office_parts(files: DataFrame) -> DataFrame:
+    """path, core, app and settings of zipped office files: the texts of the parts that hold properties, null where there are none or the file is no such file.
+
+    Only opening the zip is left to Python, an Arrow batch at a time; what the parts say is told by column expressions.
+    """
+    import io
+    import zipfile
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    names = ("docProps/core.xml", "docProps/app.xml", "word/settings.xml")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for data in batch.column(1).to_pylist():
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
+                        there = set(z.namelist())
+                        rows.append([z.read(n).decode("utf-8", "ignore") if n in there else None for n in names])
+                except (zipfile.BadZipFile, OSError, RuntimeError):
+                    rows.append([None] * 3)
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns)], ["path", "core", "app", "settings"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, core string, app string, settings string")
+
+
+def office_fields(parts: DataFrame) -> DataFrame:
+    """path, field and value of the properties in office files; placeholders are left out."""
+    from exposark.operators.detect import meaningful
+
+    found = [(key, F.regexp_extract("core", rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)) for tag, key in OFFICE_CORE]
+    found += [(key, F.regexp_extract("app", rf"(?s)<{tag}>({form})</{tag}>", 1)) for tag, key, form in OFFICE_APP]
+    found.append(("tracked_changes", F.when(F.contains("settings", F.lit("<w:trackRevisions")), "ACTIVE (Privacy Risk: Edit history is visible)")))
+    pairs = F.array(*(F.struct(F.lit(k).alias("field"), meaningful(v).alias("value")) for k, v in found))
+    return parts.select("path", F.explode(pairs).alias("f")).where(F.col("f.value").isNotNull()).select("path", "f.*")
