@@ -104,7 +104,7 @@ def doc_risk_distribution(spark, sf_dir):
     return scored(spark, sf_dir).groupBy("risk").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {FINDINGS_SQL} SELECT doc_id, type, value FROM findings")
 def doc_all_findings(spark, sf_dir):
     """Every type of the document profile."""
     return detect.exploded(C.corpus(spark, sf_dir), detect.document_findings(F.col("text")))
@@ -244,13 +244,20 @@ def threat_score(spark, sf_dir):
     return rows.select("doc_id", advice.threat(F.col("score"), F.col("fired")).alias("threat"))
 
 
-@query()
+CONFIDENCE_SQL = rf"""{FINDINGS_SQL}, letters AS (SELECT doc_id, value, length(value) AS len, unnest(string_split(value, '')) AS c FROM findings WHERE type = 'password'),
+parts AS (SELECT doc_id, value, c, count(*)::DOUBLE / any_value(len) AS p FROM letters GROUP BY doc_id, value, c), bits AS (SELECT doc_id, value, -sum(p * log2(p)) AS h FROM parts GROUP BY doc_id, value),
+sure AS (SELECT doc_id, type, round(CASE type WHEN 'email' THEN CASE WHEN regexp_full_match(value, '[^@]+@[^@]+\.[A-Za-z]{{2,}}') THEN 0.85 + 0.10 ELSE 0.85 - 0.15 END WHEN 'credit_card' THEN 0.78
+    WHEN 'aadhaar' THEN CASE WHEN regexp_full_match(regexp_replace(value, '[^0-9]', '', 'g'), '[2-9][0-9]{{11}}') THEN 1.0 ELSE 0.75 END WHEN 'pan_card' THEN CASE WHEN regexp_full_match(value, '[A-Z]{{5}}[0-9]{{4}}[A-Z]') THEN 1.0 ELSE 0.75 END
+    ELSE 0.55 + 0.15 * least(h / 4, 1.0) END::DOUBLE, 3) AS confidence FROM findings LEFT JOIN bits USING (doc_id, value))"""
+
+
+@query(f"WITH {CONFIDENCE_SQL} SELECT doc_id, type, confidence, CASE WHEN confidence >= 0.75 THEN 'HIGH' WHEN confidence >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS label FROM sure")
 def regex_confidence_labels(spark, sf_dir):
     f = found(spark, sf_dir).withColumn("confidence", score.confidence(F.col("type"), F.col("value")))
     return f.select("doc_id", "type", "confidence", score.confidence_label(F.col("confidence")).alias("label"))
 
 
-@query()
+@query(f"WITH {CONFIDENCE_SQL} SELECT type, round(avg(confidence), 4) AS avg_confidence FROM sure GROUP BY type")
 def avg_confidence_by_type(spark, sf_dir):
     return regex_confidence_labels(spark, sf_dir).groupBy("type").agg(F.round(F.avg("confidence"), 4).alias("avg_confidence"))
 
@@ -355,7 +362,10 @@ def alert_recent_100(spark, sf_dir):
     return sessions.alerts(sessions.frames(C.scans(spark, sf_dir))).orderBy(F.desc("ts"), F.desc("frame_id")).limit(100).select("frame_id", "score")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCANS_SQL}, alerts AS (SELECT owner_id AS session_id, scan_id AS frame_id, epoch(upload_date) AS t, row_number() OVER (PARTITION BY owner_id ORDER BY upload_date, scan_id) AS k FROM scans WHERE score >= 20 AND upload_date IS NOT NULL),
+walked AS (SELECT session_id, frame_id, k, t AS last, true AS passed FROM alerts WHERE k = 1
+  UNION ALL SELECT a.session_id, a.frame_id, a.k, CASE WHEN a.t - w.last >= 30 THEN a.t ELSE w.last END, a.t - w.last >= 30 FROM walked w JOIN alerts a ON a.session_id = w.session_id AND a.k = w.k + 1)
+SELECT session_id, frame_id FROM walked WHERE passed""")
 def alert_cooldown(spark, sf_dir):
     return sessions.with_cooldown(sessions.alerts(sessions.frames(C.scans(spark, sf_dir))))
 
