@@ -38,14 +38,29 @@ def most_common_risk(scans: DataFrame) -> DataFrame:
 
 
 def trend(scans: DataFrame) -> DataFrame:
-    """By owner the mean of the later half less that of the earlier half, in order of time; a middle row counts for neither."""
+    """By owner the mean of the later half less that of the earlier half, in order of time; a middle row counts for neither.
+
+    Hours are summed first, and an owner's hours tell in which of them its halves end; only the scans of those hours are put in order, so that no owner's scans are one task.
+    """
+    rows = scans.select("owner_id", "score", "upload_date", "scan_id", F.date_trunc("hour", "upload_date").alias("hour"))
+    hours = rows.groupBy("owner_id", "hour").agg(F.count("*").alias("m"), F.sum("score").alias("sum"))
     w = Window.partitionBy("owner_id")
-    rows = scans.select("owner_id", "score", F.row_number().over(w.orderBy("upload_date", "scan_id")).alias("k"), F.count("*").over(w).alias("n"))
-    half = F.greatest(F.floor(F.col("n") / 2), F.lit(1))
-    sums = rows.groupBy("owner_id").agg(F.max("n").alias("n"), F.avg(F.when(F.col("k") <= half, F.col("score"))).alias("early"), F.avg(F.when(F.col("k") > F.col("n") - half, F.col("score"))).alias("late"))
-    change = F.round(F.col("late") - F.col("early"), 1)
-    label = F.when(F.col("n") < 2, "neutral").when(F.col("late") - F.col("early") > 5, "worsening").when(F.col("late") - F.col("early") < -5, "improving").otherwise("stable")
-    return sums.select("owner_id", F.when(F.col("n") < 2, 0.0).otherwise(change).alias("change"), label.alias("trend"))
+    hours = hours.withColumn("before", F.coalesce(F.sum("m").over(w.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("m").over(w))
+    hours = hours.withColumn("half", F.greatest(F.floor(F.col("n") / 2), F.lit(1)))
+    after = F.col("before") + F.col("m")
+    early, late = after <= F.col("half"), F.col("before") >= F.col("n") - F.col("half")
+    ends = ((F.col("before") < F.col("half")) & (after > F.col("half"))) | ((F.col("before") < F.col("n") - F.col("half")) & (after > F.col("n") - F.col("half")))
+    part = lambda test, value, name: F.sum(F.when(test, F.col(value))).alias(name)
+    whole = hours.groupBy("owner_id").agg(F.max("n").alias("n"), F.max("half").alias("half"), part(early & ~ends, "sum", "early"), part(late & ~ends, "sum", "late"))
+    at_end = hours.where(ends).select(F.col("owner_id").alias("o"), F.col("hour").alias("h"), "before", "n", "half")
+    near = rows.join(at_end, F.col("owner_id").eqNullSafe(F.col("o")) & F.col("hour").eqNullSafe(F.col("h")))
+    near = near.withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("owner_id", "hour").orderBy("upload_date", "scan_id")))
+    single = near.groupBy(F.col("owner_id").alias("o")).agg(part(F.col("k") <= F.col("half"), "score", "more_early"), part(F.col("k") > F.col("n") - F.col("half"), "score", "more_late"))
+    sums = whole.join(single, F.col("owner_id").eqNullSafe(F.col("o")), "left")
+    mean = lambda x: (F.coalesce(x, F.lit(0.0)) + F.coalesce(f"more_{x}", F.lit(0.0))) / F.col("half")
+    sums = sums.withColumn("moved", mean("late") - mean("early"))
+    label = F.when(F.col("n") < 2, "neutral").when(F.col("moved") > 5, "worsening").when(F.col("moved") < -5, "improving").otherwise("stable")
+    return sums.select("owner_id", F.when(F.col("n") < 2, 0.0).otherwise(F.round("moved", 1)).alias("change"), label.alias("trend"))
 
 
 def by_source(scans: DataFrame) -> DataFrame:
