@@ -26,6 +26,8 @@ END = "</w>"
 MARK = ""
 #: Words that a worker remembers, in each of two generations.
 REMEMBERED = 400_000
+#: Longer words are not remembered.
+LONGEST_REMEMBERED = 64
 LATIN = 0x180
 
 # Letters and numbers that Unicode has from version 17 on. The regex library knows them, the tokenizers library does not yet.
@@ -190,6 +192,8 @@ class WordBpe:
                     continue
                 start = at - length
                 if start:
+                    if last[start] < 0:
+                        continue
                     pair = last[start] << 20 | r
                     holds = compatible.get(pair)
                     if holds is None:
@@ -198,6 +202,8 @@ class WordBpe:
                         continue
                 last[at], before[at] = r, start
                 break
+        if n and last[n] < 0:
+            raise ValueError("a symbol of the text is no token of the vocabulary")
         out = []
         while n > 0:
             out.append(self.id_by_rank[last[n]])
@@ -237,9 +243,10 @@ class WordBpe:
         if found is None:
             ids = self.encode_word(word)
             found = (" ".join(map(str, ids)), self.decode(ids))
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young[word] = found
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self.young) >= REMEMBERED:
+                self.old, self.young = self.young, {}
+            self.young[word] = found
         return found
 
     def encode(self, text: str) -> list[int]:
