@@ -171,5 +171,6 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
     table, small = plan(stored(sized(docs, salt), "mix-sizes"), weights, share, most)
     text = F.col("text").cast("string")
     own = packed(docs, "doc_id", "source", "text").select("own", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), uniform(F.col("doc_id").cast("long"), text, salt).alias("u"))
-    taken = with_source(own, table, small).where("size > 0").withColumn("copies", copies(F.col("size"), F.col("u")).cast("int")).where("copies > 0")
+    # words are counted once: a filter on size alone would be moved below the join and count them again
+    taken = with_source(own, table, small).withColumn("copies", F.when(F.col("size") > 0, copies(F.col("size"), F.col("u"))).otherwise(0).cast("int")).where("copies > 0")
     return unpacked(taken.select("own", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")), docs)
