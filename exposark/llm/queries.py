@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposark.llm import bpe, importance, lines, mixture, phrases, pii, quality, secrets, simhash, textcnn, tokenfiles, webp
+from exposark.llm import bpe, importance, lines, mixture, pagetext, phrases, pii, quality, secrets, simhash, textcnn, tokenfiles, webp
 from exposark.llm.common import documents
 
 
@@ -57,6 +57,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("n_words")
 
@@ -65,7 +69,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_quality, op4_pii, op5_webp, op6_toxicity, op7_token_files, op8_line_dedup, op9_mixture, op10_simhash, op12_importance, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_quality, op4_pii, op5_webp, op6_toxicity, op7_token_files, op8_line_dedup, op9_mixture, op10_simhash, op11_main_text, op12_importance, op13_phrases)}
 
 ORACLES = {
     "op8_line_dedup": """
