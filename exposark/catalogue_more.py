@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from exposark.catalogue import CREDIT_SQL, FINDINGS_SQL, SCANS_SQL, SCORES_SQL, found, in_rows
 from exposark.doctype_sql import ACADEMIC_SQL, TYPE_SQL
 from exposark.functions import tables
-from exposark.operators import advice, classify, detect, doctype, score
+from exposark.operators import advice, classify, detect, doctype, keywords, score
 from exposark.plans import history, reports, sessions, store
 from exposark.registry import ORACLES, query
 from exposark.sources import corpus as C
@@ -21,14 +21,16 @@ from exposark.sources import corpus as C
 
 @query(f"WITH {FINDINGS_SQL}, {TYPE_SQL} SELECT doc_id, doc_type, boost, confidence FROM typed")
 def doc_type_inference(spark, sf_dir):
-    rows = C.corpus(spark, sf_dir).select("doc_id", "text").withColumn("types", doctype.types_of(detect.document_findings(F.col("text"))))
-    return doctype.with_inferred(rows).select("doc_id", "inferred.*")
+    rows = C.corpus(spark, sf_dir).select("doc_id", "text", keywords.found(F.col("text")).alias("found"))
+    calm = classify.is_academic(F.col("found"), classify.keyword_class_of(F.col("found"))["doc_type"])
+    rows = rows.withColumn("types", doctype.types_of(detect.document_findings(F.col("text"), calm)))
+    return doctype.with_inferred(rows, found=F.col("found")).select("doc_id", "inferred.*")
 
 
 @query(ACADEMIC_SQL)
 def doc_academic(spark, sf_dir):
-    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    return C.corpus(spark, sf_dir).select("doc_id", low.alias("low")).select("doc_id", classify.is_academic(F.col("low"), F.lit("generic")).alias("academic"))
+    rows = C.corpus(spark, sf_dir).select("doc_id", keywords.found(F.col("text")).alias("found"))
+    return rows.select("doc_id", classify.is_academic(F.col("found"), F.lit("generic")).alias("academic"))
 
 
 @query(f"""WITH keyword AS ({ORACLES["doc_keyword_class"]}), {SCORES_SQL}, {TYPE_SQL},

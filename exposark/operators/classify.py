@@ -8,33 +8,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from exposark.functions import tables
-from exposark.functions.text import let
+from exposark.operators import keywords
 
 
 def keyword_class(text: Column, filename: Column | None = None) -> Column:
-    """struct(confidence, order, doc_type) by the words of a text and its file name: of the rules with enough keywords the one with most (three count at most), the first on a tie.
+    """struct(confidence, order, doc_type) by the words of a text and its file name: of the rules with enough keywords the one with most (three count at most), the first on a tie."""
+    return keyword_class_of(keywords.found(F.concat_ws(" ", text, filename) if filename is not None else text))
 
-    The lower-cased text and each rule's count are bound once, and a keyword's pattern is tried only where the keyword occurs at all.
-    """
-    both = F.concat_ws(" ", text, filename) if filename is not None else F.coalesce(text, F.lit(""))
-    rules = F.array(*(F.struct(F.lit(-i).alias("order"), F.lit(name).alias("doc_type"), F.lit(least).alias("least"), F.array(*map(F.lit, words)).alias("words")) for i, (name, least, words) in enumerate(tables.KEYWORD_RULES)))
 
-    def fit(found: Column) -> Column:
-        sure = F.least(F.lit(0.55) + F.least(found["n"], F.lit(3)) / 3.0 * 0.35, F.lit(0.89))
-        return F.struct(F.round(sure, 4).alias("confidence"), found["order"].alias("order"), found["doc_type"].alias("doc_type"))
+def keyword_class_of(found: Column) -> Column:
+    """The same from the keywords found."""
 
-    def best(low: Column) -> Column:
-        hits = lambda words: F.size(F.filter(words, lambda w: F.contains(low, w) & F.rlike(low, F.concat(F.lit(r"\b"), w, F.lit(r"\b")))))
-        counted = F.transform(rules, lambda r: F.struct(r["order"].alias("order"), r["doc_type"].alias("doc_type"), r["least"].alias("least"), hits(r["words"]).alias("n")))
-        return F.array_max(F.transform(F.filter(counted, lambda x: x["n"] >= x["least"]), fit))
+    def fit(i: int, name: str, least: int, words: tuple) -> Column:
+        n = keywords.count(found, keywords.ids(words, keywords.CHANGES))
+        sure = F.least(F.lit(0.55) + F.least(n, F.lit(3)) / 3.0 * 0.35, F.lit(0.89))
+        return F.when(n >= least, F.struct(F.round(sure, 4).alias("confidence"), F.lit(-i).alias("order"), F.lit(name).alias("doc_type")))
 
     nothing = F.struct(F.lit(0.0).alias("confidence"), F.lit(0).alias("order"), F.lit("generic").alias("doc_type"))
-    return F.coalesce(let(F.lower(both), best), nothing)
+    return F.coalesce(F.array_max(F.array(*(fit(i, *rule) for i, rule in enumerate(tables.KEYWORD_RULES)))), nothing)
 
 
-def is_academic(low: Column, doc_type: Column) -> Column:
-    """Whether a text, lower-cased, is a paper, a certificate or a program."""
-    return doc_type.isin(*tables.CALM_TYPES) | F.exists(F.array(*map(F.lit, tables.ACADEMIC_WORDS)), lambda w: F.contains(low, w))
+def is_academic(found: Column, doc_type: Column) -> Column:
+    """Whether a text is a paper, a certificate or a program, by the keywords found."""
+    return doc_type.isin(*tables.CALM_TYPES) | keywords.any_of(found, keywords.ids(tables.ACADEMIC_WORDS, keywords.ANYWHERE))
+
+
+def calm_in_row(low: Column) -> Column:
+    """Whether a lower-cased text is academic, as an expression that may stand in a branch: detectors ask it of the few texts with tokens that look like passwords, so those alone pay for it."""
+    hits = lambda words: F.size(F.filter(words, lambda w: F.contains(low, w) & F.rlike(low, F.concat(F.lit(r"\b"), w, F.lit(r"\b")))))
+    counted = [(name, least, hits(F.array(*map(F.lit, words)))) for name, least, words in tables.KEYWORD_RULES]
+    first = F.array_max(F.array(*(F.when(n >= least, F.struct(F.least(n, F.lit(3)).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("doc_type"))) for i, (name, least, n) in enumerate(counted))))
+    return F.exists(F.array(*map(F.lit, tables.ACADEMIC_WORDS)), lambda w: F.contains(low, w)) | F.coalesce(first["doc_type"].isin(*tables.CALM_TYPES), F.lit(False))
 
 
 def with_evidence(doc_type: Column, types: Column) -> Column:

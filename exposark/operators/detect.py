@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exposark.functions import text as T
+from exposark.operators import keywords
 
 
 def typed(kind: str, values: Column) -> Column:
@@ -83,7 +84,7 @@ def academic_by_words(text: Column) -> Column:
     """Whether a text is academic by its words and by the keyword classifier."""
     from exposark.operators import classify
 
-    return T.let(F.lower(F.coalesce(text, F.lit(""))), lambda low: classify.is_academic(low, classify.keyword_class(low)["doc_type"]))
+    return T.let(F.lower(F.coalesce(text, F.lit(""))), classify.calm_in_row)
 
 
 def _has(low: Column, *words: str) -> Column:
@@ -293,7 +294,11 @@ def redacted(text: Column, values: Column) -> Column:
 
 def mentions_secrets(text: Column) -> Column:
     """Whether a text has a word of credentials or documents at all."""
-    return F.lower(F.coalesce(text, F.lit(""))).rlike("password|login|account|bank|otp|email|phone|upi|card|username|security")
+    return mentions_secrets_of(keywords.found(text))
+
+
+def mentions_secrets_of(found: Column) -> Column:
+    return keywords.any_of(found, keywords.ids(keywords.SECRET_WORDS, keywords.ANYWHERE))
 
 
 def exploded(docs: DataFrame, findings: Column, key: str = "doc_id") -> DataFrame:

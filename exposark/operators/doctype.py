@@ -1,74 +1,47 @@
 """What kind of document a text is, by its words and findings, and the final score of a file.
 
-All of it is column expressions on the row: no shuffle, and each keyword is looked for once, by a plain search before any pattern.
+All of it is told in the row, without a shuffle: keywords come from one pass over the text for all rules (keywords.py), the rest are column expressions.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exposark.functions import tables
-from exposark.functions import text as T
-from exposark.operators import classify, detect, score
-
-EDGE = r"[^\p{L}\p{N}_]"
-
-
-def pattern_of(word: str) -> str | None:
-    """The pattern that a keyword needs beside being in the text: short ones and phrases stand between word ends, longer single words anywhere."""
-    if len(word) > 4 and word.isalnum():
-        return None
-    after = rf"(?:{EDGE}|$)" if word[-1].isalnum() else r"[\p{L}\p{N}_]"  # the end of a word after a full stop is where a word begins
-    return rf"(?:^|{EDGE}){re.escape(word)}{after}"
-
-
-def keywords(words: tuple[str, ...]) -> Column:
-    """Keywords and their patterns as a constant."""
-    if not words:
-        return F.array().cast("array<struct<word:string,pattern:string>>")
-    return F.array(*(F.struct(F.lit(w).alias("word"), F.lit(pattern_of(w)).cast("string").alias("pattern")) for w in words))
-
-
-def count_words(low: Column, words: Column) -> Column:
-    """How many of the keywords a lower-cased text has; a pattern is tried only where its word occurs."""
-    return F.size(F.filter(words, lambda w: F.contains(low, w["word"]) & (w["pattern"].isNull() | F.coalesce(F.rlike(low, w["pattern"]), F.lit(False)))))
-
+from exposark.operators import classify, detect, keywords, score
 
 def types_of(findings: Column) -> Column:
     return F.array_distinct(F.transform(findings, lambda f: f["type"]))
 
 
-def with_inferred(docs: DataFrame, text: str = "text", types: str = "types") -> DataFrame:
-    """docs with inferred, a struct(doc_type, boost, confidence): the rule with most keywords, the first of equals.
+def with_inferred(docs: DataFrame, text: str = "text", types: str = "types", found: Column | None = None) -> DataFrame:
+    """docs with inferred, a struct(doc_type, boost, confidence): the rule with most keywords, the first of equals. found: the text's keywords where they are known.
 
     An identity document without its number is a project paper if two words say so, else generic; a screen of credentials without any is an authentication screen.
     """
-    whole = F.lower(F.coalesce(F.col(text), F.lit("")))
-    rules = F.array(*(F.struct(F.lit(-i).alias("order"), F.lit(name).alias("doc_type"), F.lit(boost).alias("boost"), F.lit(least).alias("least"), keywords(need).alias("need"), keywords(need + more).alias("words")) for i, (name, boost, need, more, least) in enumerate(tables.TYPE_RULES)))
-
-    def counts(low: Column) -> Column:
-        n = lambda r: F.when((F.size(r["need"]) == 0) | (count_words(low, r["need"]) > 0), count_words(low, r["words"])).otherwise(0)
-        own = F.transform(rules, lambda r: F.struct(n(r).alias("n"), r["order"].alias("order"), r["doc_type"].alias("doc_type"), r["boost"].alias("boost"), r["least"].alias("least")))
-        sure = lambda x: F.struct(x["n"].alias("n"), x["order"].alias("order"), x["doc_type"].alias("doc_type"), x["boost"].alias("boost"), F.when(x["n"] >= 2 * x["least"], "HIGH").otherwise("MEDIUM").alias("confidence"))
-        fit = F.array_max(F.transform(F.filter(own, lambda x: x["n"] >= x["least"]), sure))
-        return F.struct(fit.alias("best"), count_words(low, keywords(tables.PAPER_WORDS)).alias("papers"))
-
-    rows = docs.withColumn("__counts", T.let(whole, counts)).withColumn("__best", F.col("__counts.best"))
+    def fit(i: int, name: str, boost: int, need: tuple, more: tuple, least: int) -> Column:
+        n = keywords.count(F.col("__words"), keywords.ids(need + more))
+        sure = F.when(n >= 2 * least, "HIGH").otherwise("MEDIUM")
+        test = (n >= least) & keywords.any_of(F.col("__words"), keywords.ids(need)) if need else n >= least
+        return F.when(test, F.struct(n.alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("doc_type"), F.lit(boost).alias("boost"), sure.alias("confidence")))
+
+    rows = docs.withColumn("__words", found if found is not None else keywords.found(F.col(text)))
+    fits = F.array_max(F.array(*(fit(i, *rule) for i, rule in enumerate(tables.TYPE_RULES))))
+    papers = keywords.count(F.col("__words"), keywords.ids(tables.PAPER_WORDS))
+    rows = rows.withColumn("__best", fits)
     best = F.col("__best.doc_type")
     has = lambda *kinds: F.arrays_overlap(F.col(types), F.array(*map(F.lit, kinds)))
     kind = lambda name, boost, sure: F.struct(F.lit(name).alias("doc_type"), F.lit(boost).alias("boost"), F.lit(sure).alias("confidence"))
     bare = ((best == "aadhaar_card") & ~has("aadhaar")) | ((best == "pan_card_doc") & ~has("pan_card"))
     inferred = (
         F.when(best.isNull(), kind("generic", 0, "LOW"))
-        .when(bare & (F.col("__counts.papers") >= 2), kind("project_synopsis", 0, "HIGH"))
+        .when(bare & (papers >= 2), kind("project_synopsis", 0, "HIGH"))
         .when(bare, kind("generic", 0, "LOW"))
         .when((best == "screenshot_credential") & ~has(*tables.CREDENTIAL_TYPES), kind("screenshot_auth", 0, "HIGH"))
         .otherwise(F.struct(best.alias("doc_type"), F.col("__best.boost").alias("boost"), F.col("__best.confidence").alias("confidence")))
     )
-    return rows.withColumn("inferred", inferred).drop("__counts", "__best")
+    return rows.withColumn("inferred", inferred).drop("__words", "__best")
 
 
 def resolved(keyword: Column, inferred: Column, types: Column) -> Column:
@@ -121,10 +94,11 @@ def agent_score(document: Column, boost: Column, risk: Column) -> Column:
 
 def with_final(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with types, doc_type, boost, score and risk of each file, by text alone: findings, the resolved type, its boost, and damping of calm papers."""
-    rows = docs.withColumn("__first", classify.keyword_class(F.col(text)))
-    rows = rows.withColumn("__academic", classify.is_academic(F.lower(F.coalesce(F.col(text), F.lit(""))), F.col("__first.doc_type")))
+    rows = docs.withColumn("__found", keywords.found(F.col(text)))
+    rows = rows.withColumn("__first", classify.keyword_class_of(F.col("__found")))
+    rows = rows.withColumn("__academic", classify.is_academic(F.col("__found"), F.col("__first.doc_type")))
     rows = rows.withColumn("findings", detect.document_findings(F.col(text), F.col("__academic"))).withColumn("types", types_of(F.col("findings")))
-    rows = with_inferred(rows, text).withColumn("__kind", resolved(F.col("__first"), F.col("inferred"), F.col("types")))
+    rows = with_inferred(rows, text, found=F.col("__found")).withColumn("__kind", resolved(F.col("__first"), F.col("inferred"), F.col("types")))
     rows = rows.withColumn("doc_type", F.col("__kind.doc_type")).withColumn("boost", F.col("__kind.boost"))
     rows = score.with_row_score(rows, "findings", "doc_type")
     hard = F.arrays_overlap("types", F.array(*map(F.lit, tables.HARD_TYPES)))
@@ -132,4 +106,4 @@ def with_final(docs: DataFrame, text: str = "text") -> DataFrame:
     final = F.round(F.when(F.col("doc_type").isin(*tables.CALM_TYPES) & ~hard, F.least(total * 0.1, F.lit(12.0))).otherwise(total), 2)
     rows = rows.withColumn("__final", final)
     level = F.when((F.col("__final") >= 80) & hard, "CRITICAL").when(F.col("__final") >= 35, "HIGH").when(F.col("__final") >= 15, "MEDIUM").when((F.col("__final") > 0) | (F.size("findings") > 0), "LOW").otherwise("SAFE")
-    return rows.withColumn("risk", level).withColumn("score", F.col("__final")).drop("__first", "__academic", "__kind", "__final", "inferred")
+    return rows.withColumn("risk", level).withColumn("score", F.col("__final")).drop("__found", "__first", "__academic", "__kind", "__final", "inferred")
