@@ -41,6 +41,8 @@ CHARS_A_CELL = 8
 BLOCKS = 2048
 #: Bytes of text that are hashed or counted together, or one text where that has more.
 PIECE_BYTES = 6 << 20
+#: Cells of a row of the sketch that a task holds before it passes them on.
+PENDING = 8 << 20
 #: The first phrases of a language are found in so many shares of its phrases before they are found among those.
 SHARES = 16
 
@@ -68,7 +70,6 @@ class Piece:
         word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         end = pc.index(self.vocabulary, "\n").as_py()
         self.word = np.where(word == end, -1, word)
-        self.n_words = int((self.word >= 0).sum())
         lang = langs.dictionary_encode()
         self.langs = lang.dictionary.to_pylist()
         self.lang = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)[parent.filter(some).to_numpy()]
@@ -122,31 +123,47 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(planes[:4].T).view("<u4").ravel().astype(np.int64)), planes[4]
 
 
-_CELLS = pa.schema([("key", pa.int32()), ("counts", pa.binary()), ("lang", pa.string()), ("n", pa.int64())])
+_CELLS = pa.schema([("key", pa.int32()), ("counts", pa.binary())])
+
+
+def _added(parts: list[np.ndarray]) -> np.ndarray:
+    """Numbers of cells and counts (cell * 16 + count, up to MIN_COUNT), ascending, from several such arrays."""
+    every = np.concatenate(parts)
+    every.sort()
+    cell = every >> np.uint32(4)
+    first = np.flatnonzero(np.diff(cell, prepend=np.uint32(0xFFFFFFFF)))
+    counts = np.minimum(np.add.reduceat(every & np.uint32(15), first), MIN_COUNT) if len(first) else np.zeros(0, np.uint32)
+    return cell[first] << np.uint32(4) | counts.astype(np.uint32)
 
 
 def sketched(rows: DataFrame, cells: int) -> DataFrame:
-    """Partial sketches of rows (lang, text): key (row of the sketch times BLOCKS plus block) and counts; beside them lang and n, the words of a language in the task, without a key."""
+    """Partial sketches of rows (lang, text), each of PENDING cells or a task: key (row of the sketch times BLOCKS plus block) and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_words: dict[str, int] = {}
-        width = cells // BLOCKS
-        for piece in _pieces(batches):
-            for lang, n in zip(piece.langs, np.bincount(piece.lang[piece.word >= 0], minlength=len(piece.langs)).tolist(), strict=True):
-                n_words[lang] = n_words.get(lang, 0) + n
-            h = np.concatenate([x for _, _, x in piece.hashes()])
+        width = np.uint32(cells // BLOCKS)
+        pending: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
+
+        def flush() -> Iterator[pa.RecordBatch]:
             for row in range(ROWS):
-                found, counts = np.unique(cells_of(h, row, cells), return_counts=True)
-                counts = np.minimum(counts, MIN_COUNT).astype(np.uint8)
-                block, offset = (found // width).astype(np.int32), found % width
-                edges = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(block)]
+                every = _added(pending[row])
+                pending[row].clear()
+                found, counts = every >> np.uint32(4), (every & np.uint32(15)).astype(np.uint8)
+                block, offset = found // width, found % width
+                edges = [*np.flatnonzero(np.diff(block, prepend=np.uint32(0xFFFFFFFF))).tolist(), len(block)]
                 made = [_packed(offset[a:b], counts[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-                keys = pa.array(block[edges[:-1]] + np.int32(row * BLOCKS), pa.int32())
-                yield pa.RecordBatch.from_arrays([keys, pa.array(made, pa.binary()), pa.nulls(len(made), pa.string()), pa.nulls(len(made), pa.int64())], schema=_CELLS)
-        k = len(n_words)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(list(n_words), pa.string()), pa.array(list(n_words.values()), pa.int64())], schema=_CELLS)
+                keys = pa.array(block[edges[:-1]].astype(np.int32) + np.int32(row * BLOCKS), pa.int32())
+                yield pa.RecordBatch.from_arrays([keys, pa.array(made, pa.binary())], schema=_CELLS)
+
+        for piece in _pieces(batches):
+            for _, _, h in piece.hashes():
+                for row in range(ROWS):
+                    pending[row].append(_added([cells_of(h, row, cells).astype(np.uint32) << np.uint32(4) | np.uint32(1)]))
+            if sum(map(len, pending[0])) > PENDING:
+                yield from flush()
+        if pending[0]:
+            yield from flush()
 
-    return map_batches(rows, run, "key int, counts binary, lang string, n long")
+    return map_batches(rows, run, "key int, counts binary")
 
 
 def merged(parts: DataFrame, cells: int) -> DataFrame:
@@ -167,11 +184,11 @@ def merged(parts: DataFrame, cells: int) -> DataFrame:
         if key is not None:
             yield done()
 
-    return map_batches(parts.select("key", "counts").repartition("key").sortWithinPartitions("key"), run, "key int, bits binary")
+    return map_batches(parts.repartition("key").sortWithinPartitions("key"), run, "key int, bits binary")
 
 
 def survivors(rows: DataFrame, bits: np.ndarray, cells: int) -> DataFrame:
-    """lang, phrase, words and n of those runs of rows (lang, text) whose cells all reach MIN_COUNT, added up by task."""
+    """lang, phrase, words and n of those runs of rows (lang, text) whose cells all reach MIN_COUNT, added up by piece; and n of all words of a language, with an empty phrase and words 0."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)  # ROWS * MOST_CELLS / 8 bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +196,8 @@ def survivors(rows: DataFrame, bits: np.ndarray, cells: int) -> DataFrame:
         for piece in _pieces(batches):
             langs = pa.array(piece.langs, pa.string())
             size = np.int64(max(1, len(piece.vocabulary)))
+            every = np.bincount(piece.lang[piece.word >= 0], minlength=len(piece.langs)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"lang": langs, "phrase": pa.array([""] * len(langs), pa.string()), "words": pa.array(np.zeros(len(langs), np.int32)), "n": pa.array(every)})
             for n, at, h in piece.hashes():
                 for row in range(ROWS):
                     cell = cells_of(h, row, cells)
@@ -205,15 +224,14 @@ def frequent_runs(docs: DataFrame, cells: int | None = None) -> tuple[DataFrame,
     """(lang, phrase, words, f) of all runs of one to three words that occur MIN_COUNT times or more, and (lang, n) of all words, both stored."""
     rows = needed(docs, "lang", "text").select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cells = cells or cells_for(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    parts = stored(sketched(rows, cells), "phrase-sketches")
-    n_words = stored(parts.where("key IS NULL").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-words")
     bits = np.zeros((ROWS, cells // 8), np.uint8)
     wide = cells // BLOCKS // 8
-    for row in merged(parts.where("key IS NOT NULL"), cells).toLocalIterator():  # one bit a cell, whatever the corpus
+    for row in stored(merged(sketched(rows, cells), cells), "phrase-bits").toLocalIterator():  # one bit a cell, whatever the corpus
         r, block = divmod(row["key"], BLOCKS)
         bits[r, block * wide : (block + 1) * wide] = np.frombuffer(row["bits"], np.uint8)
-    counts = survivors(rows, bits, cells).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= MIN_COUNT)
-    return stored(counts, "phrase-counts"), n_words
+    counts = survivors(rows, bits, cells).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where((F.col("f") >= MIN_COUNT) | (F.col("words") == 0))
+    counts = stored(counts, "phrase-counts")
+    return counts.where("words > 0"), counts.where("words = 0").select("lang", F.col("f").alias("n"))
 
 
 def part(words: Column, first: int, n: int | Column) -> Column:

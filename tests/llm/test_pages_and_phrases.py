@@ -195,10 +195,28 @@ def test_a_full_sketch_lets_all_pass_and_loses_nothing(talk, monkeypatch):
 @settings(max_examples=100, deadline=None)
 def test_cells_pack_and_unpack(offsets):
     counts = np.array([1 + k % 10 for k in range(len(offsets))], np.uint8)
-    back, n = phrases._unpacked(phrases._packed(np.array(offsets, np.uint64), counts))
+    back, n = phrases._unpacked(phrases._packed(np.array(offsets, np.uint32), counts))
     assert back.tolist() == offsets and n.tolist() == counts.tolist()
 
 
+def test_many_small_partial_sketches_add_up(talk, monkeypatch):
+    rows, table = talk
+    monkeypatch.setattr(phrases, "PENDING", 100)
+    monkeypatch.setattr(phrases, "PIECE_BYTES", 500)
+    assert sorted(tuple(r) for r in phrases.collocations(table).collect()) == plain_phrases(rows)
+
+
+@given(st.lists(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 10)), max_size=20), min_size=1, max_size=4))
+@settings(max_examples=100, deadline=None)
+def test_cells_are_added_up(parts):
+    want = Counter()
+    for part in parts:
+        for cell, n in part:
+            want[cell] += n
+    made = phrases._added([np.array([c * 16 + n for c, n in part], np.uint32) for part in parts])
+    assert [(int(x) >> 4, int(x) & 15) for x in made] == sorted((c, min(n, 10)) for c, n in want.items())
+
+
 def test_counts_are_exact_beyond_64_bits(spark):
     counts = spark.createDataFrame([("en", "a", 1, 9 * 10**15), ("en", "b", 1, 8 * 10**15), ("en", "a b", 2, 7 * 10**15)], "lang string, phrase string, words int, f long")
     row = phrases.scored(phrases.unsubsumed(counts), counts).first()
