@@ -10,7 +10,9 @@ from exposark.functions import text as T
 from exposark.operators import advice, classify, detect, doctype, score
 from exposark.plans import history, sessions
 from exposark.registry import ORACLES, QUERIES, query
+from exposark.pages_sql import PAGES_SQL, URL_FINDINGS_SQL, URL_SCORES_SQL
 from exposark.sources import corpus as C
+from exposark.sources import pages
 
 # --- SQL that several queries share ---------------------------------------------------------------------------------------
 
@@ -391,15 +393,25 @@ def url_http_only(spark, sf_dir):
     return C.table(spark, sf_dir, "pages").where(F.startswith(F.lower("url"), F.lit("http://"))).select("page_id", "url")
 
 
-@query()
+def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, page (what one pass over the page found) and text (its lines)."""
+    rows = C.table(spark, sf_dir, "pages").select("page_id", "url", pages.page(F.col("html")).alias("page"))
+    return rows.withColumn("text", pages.lines(F.col("page.text")))
+
+
+@query(f"WITH {PAGES_SQL} SELECT page_id, title, text FROM page_texts")
+def page_texts(spark, sf_dir):
+    return read_pages(spark, sf_dir).select("page_id", pages.title(F.col("page")).alias("title"), "text")
+
+
+@query(f"WITH {URL_FINDINGS_SQL} SELECT page_id, type, value FROM url_found")
 def url_findings(spark, sf_dir):
-    pages = C.table(spark, sf_dir, "pages").withColumn("text", C.html_text(F.col("html")))
-    return detect.exploded(pages, detect.url_findings(F.col("text"), F.col("url")), "page_id")
+    return detect.exploded(detect.with_url_findings(read_pages(spark, sf_dir)), F.col("findings"), "page_id")
 
 
-@query()
+@query(f"WITH {URL_SCORES_SQL} SELECT page_id, score, risk FROM url_scored")
 def url_score(spark, sf_dir):
-    return score.url_scores(C.table(spark, sf_dir, "pages"), url_findings(spark, sf_dir))
+    return score.with_url_score(detect.with_url_findings(read_pages(spark, sf_dir))).select("page_id", "score", "risk")
 
 
 @query()
@@ -415,6 +427,6 @@ own AS (SELECT doc_id, type, CASE WHEN n > up_to THEN high ELSE low END AS sever
   UNION ALL SELECT doc_id, 'general', CASE WHEN risk IN ('CRITICAL', 'HIGH') THEN 'HIGH' WHEN risk = 'MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END FROM leveled)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY {ADVICE_ORDER}, type) AS place, type, severity FROM own"""
 
-from exposark import catalogue_more  # noqa: E402  registers further queries
+from exposark import catalogue_more, catalogue_web  # noqa: E402  register further queries
 
-__all__ = ["ORACLES", "QUERIES", "catalogue_more"]
+__all__ = ["ORACLES", "QUERIES", "catalogue_more", "catalogue_web"]

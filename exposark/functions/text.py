@@ -63,6 +63,13 @@ def letter_digit_ratio(c: Column) -> Column:
     return F.when(F.length(c) == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", "")) / F.length(c))
 
 
+def first_of_each(values: Column, key: Callable[[Column], Column]) -> Column:
+    """The first of the values of each key, in their order; by sorting, so that long arrays take no quadratic time."""
+    placed = F.array_sort(F.transform(values, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"), x.alias("value"))))
+    kept = let(placed, lambda a: F.filter(a, lambda x, j: (j == 0) | (F.get(a, j - 1)["key"] != x["key"])))
+    return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["value"].alias("value")))), lambda x: x["value"])
+
+
 def clean_lines(text: Column) -> Column:
     """Lines without the white space at their ends, of 3 characters or more and 35 % letters or digits, the first of equal ones (in any case) only."""
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), stripped), lambda x: (F.length(x) >= 3) & (letter_digit_ratio(x) >= 0.35))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from exposark.functions import text as T
 from exposark.operators import keywords
+from exposark.sources.pages import near_words
 
 
 def typed(kind: str, values: Column) -> Column:
@@ -134,21 +135,11 @@ PUBLIC_PREFIXES = (
 )
 
 
-def near(text: Column, value: Column, words: str, reach: int) -> Column:
-    """Whether a word of a pattern begins up to so many characters before a value, is in it, or ends up to so many after it."""
-    text = F.coalesce(text, F.lit(""))
-    literal = F.concat(F.lit(r"\Q"), value, F.lit(r"\E"))
-    before = F.rlike(text, F.concat(F.lit(rf"(?is)\b(?=(?:{words})\b)(?=.{{0,{reach}}}"), literal, F.lit(")")))
-    after = F.regexp_extract_all(text, F.concat(F.lit("(?is)"), literal, F.lit(rf"(?=(.{{0,{reach}}}))")), F.lit(1))
-    word = rf"(?is)\b(?:{words})\b"
-    return before | value.rlike(word) | F.exists(after, lambda w: w.rlike(word))
-
-
 def url_host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def email_class(email: Column, text: Column, url: Column) -> Column:
+def email_class(email: Column, near: Column, url: Column) -> Column:
     """public_contact or personal_email: addresses of the site or named like it, of offices, of institutions, or near contact words are public."""
     full = url_host(url)
     host = F.regexp_replace(full, r"^www\.", "")
@@ -160,15 +151,15 @@ def email_class(email: Column, text: Column, url: Column) -> Column:
         | ((F.length(root) >= 4) & F.contains(local, root))
         | local.isin(*PUBLIC_PREFIXES)
         | domain.rlike(r"\.(edu|gov|ac\.in|edu\.in|nic\.in|mil|int)$")
-        | near(text, email, CONTACT, 200)
+        | near
         | (low.rlike(r"@(gmail|yahoo|hotmail|outlook|protonmail|icloud|rediffmail|ymail)\.\w+") & full.rlike(r"\.(ac\.in|edu\.in|edu|gov|nic\.in|org)$"))
     )
     return F.when(public, "public_contact").otherwise("personal_email")
 
 
-def phone_class(phone: Column, text: Column, url: Column) -> Column:
+def phone_class(near: Column, url: Column) -> Column:
     """public_phone on the site of an institution or near contact words, else phone."""
-    return F.when(url_host(url).rlike(r"\.edu|\.gov|\.ac\.in|\.nic\.in|jssmca|college|university") | near(text, phone, PHONE_CONTACT, 120), "public_phone").otherwise("phone")
+    return F.when(url_host(url).rlike(r"\.edu|\.gov|\.ac\.in|\.nic\.in|jssmca|college|university") | near, "public_phone").otherwise("phone")
 
 
 def noise(text: Column) -> Column:
@@ -183,29 +174,34 @@ def false_positive(kind: Column, value: Column, noise: Column) -> Column:
     return (v == "") | F.array_contains(noise, v) | v.rlike("^(?:" + T.FISCAL_YEAR + ")$") | (kind.isin("password", "otp") & v.rlike(T.NOISE_DATE)) | ((kind == "password") & label)
 
 
-def url_findings(text: Column, url: Column) -> Column:
-    """The web profile: cards need Luhn, 12-digit ids need Verhoeff, plain http is a finding; addresses and phones are typed by class;
+def with_url_findings(pages: DataFrame, text: str = "text", url: str = "url") -> DataFrame:
+    """pages with findings by the web profile: cards need Luhn, 12-digit ids need Verhoeff, plain http is a finding; addresses and phones are typed by class;
     PANs in technical text need a label; years and dates are no findings; one of each (type, value in any case), the first."""
-    return T.let(noise(text), lambda never: _url_findings(text, url, never))
+    rows = pages.withColumn("__mails", T.matches(F.col(text), T.WEB_EMAIL)).withColumn("__calls", T.matches(F.col(text), T.WEB_PHONE))
+    rows = rows.withColumn("__near_mails", near_words(F.col(text), F.col("__mails"), CONTACT, 200)).withColumn("__near_calls", near_words(F.col(text), F.col("__calls"), PHONE_CONTACT, 120))
+    # what a Python pass gave stays an argument of the functions below: it could not be computed within their lambdas
+    classed = lambda values, near: F.transform(F.arrays_zip(F.col(values).alias("value"), F.col(near).alias("near")), lambda z: F.struct(z["value"].alias("value"), F.coalesce(z["near"], F.lit(False)).alias("near")))
+    parts = F.struct(F.col(text).alias("text"), noise(F.col(text)).alias("never"), classed("__mails", "__near_mails").alias("mails"), classed("__calls", "__near_calls").alias("calls"))
+    found = T.let(parts, lambda x: _url_findings(x["text"], F.col(url), x["never"], x["mails"], x["calls"]))
+    return rows.withColumn("findings", found).drop("__mails", "__calls", "__near_mails", "__near_calls")
 
 
-def _url_findings(text: Column, url: Column, never: Column) -> Column:
+def _url_findings(text: Column, url: Column, never: Column, mails: Column, every_call: Column) -> Column:
     ids = F.filter(T.matches(text, T.WEB_AADHAAR), lambda v: T.verhoeff(v) & ~F.array_contains(never, T.digits(v)))
     secrets = F.transform(T.matches(text, T.WEB_CREDENTIAL, 1), lambda v: F.regexp_replace(v, "^[\"'`]+|[\"'`]+$", ""))
     secrets = F.array_distinct(F.filter(secrets, lambda v: (F.length(v) >= 4) & ~F.lower(v).isin("true", "false", "null", "none", "undefined", "yes", "no")))
-    classed = lambda values, kind: F.transform(values, lambda v: F.struct(kind(v, text, url).alias("type"), v.alias("value")))
+    classed = lambda values, kind: F.transform(values, lambda v: F.struct(kind(v).alias("type"), v["value"].alias("value")))
     technical = (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?i)\b(RFC|HTTP|HTML|JSON|XML|API|URL|SQL|CSS|TCP|UDP|IP)\b")) > 5) & ~F.coalesce(text, F.lit("")).rlike(r"(?i)\b(pan\s*card|pan\s*number|permanent\s*account)\b")
     none = F.array().cast("array<string>")
 
-    def numbers(found: Column) -> Column:
-        ids_, calls = found["ids"], found["calls"]
-        calls = F.filter(calls, lambda p: ~F.exists(ids_, lambda a: T.digits(a) == p))
-        cards_ = F.array_distinct(F.filter(F.transform(T.all_matches(text, T.WEB_CARD), T.digits), lambda d: F.length(d).between(13, 16) & T.luhn(d) & ~F.array_contains(found["calls"], d) & ~F.array_contains(never, d)))
-        return F.concat(classed(calls, phone_class), typed("aadhaar", ids_), typed("credit_card", cards_))
+    def numbers(ids_: Column) -> Column:
+        calls = T.let(F.transform(ids_, T.digits), lambda taken: F.filter(every_call, lambda p: ~F.array_contains(taken, p["value"])))
+        cards_ = F.array_distinct(F.filter(F.transform(T.all_matches(text, T.WEB_CARD), T.digits), lambda d: F.length(d).between(13, 16) & T.luhn(d) & ~F.array_contains(never, d)))
+        return F.concat(classed(calls, lambda p: phone_class(p["near"], url)), typed("aadhaar", ids_), typed("credit_card", cards_))
 
     every = F.concat(
-        classed(T.matches(text, T.WEB_EMAIL), email_class),
-        T.let(F.struct(ids.alias("ids"), T.matches(text, T.WEB_PHONE).alias("calls")), numbers),
+        classed(mails, lambda m: email_class(m["value"], m["near"], url)),
+        T.let(ids, numbers),
         typed("pan", T.let(T.matches(text, T.PAN), lambda pans: F.when((F.size(pans) > 0) & technical, none).otherwise(pans))),
         typed("password", secrets),
         typed("otp", T.matches(text, T.WEB_OTP, 1)),
@@ -214,7 +210,7 @@ def _url_findings(text: Column, url: Column, never: Column) -> Column:
         F.when(F.startswith(F.lower(url), F.lit("http://")), typed("http_only", F.array(url))).otherwise(F.array().cast("array<struct<type:string,value:string>>")),
     )
     good = F.filter(every, lambda f: ~false_positive(f["type"], f["value"], never))
-    return T.let(good, lambda a: F.filter(a, lambda f, i: (i == 0) | ~F.exists(F.slice(a, F.lit(1), F.greatest(i, F.lit(1))), lambda g: (g["type"] == f["type"]) & (F.lower(F.trim(g["value"])) == F.lower(F.trim(f["value"]))))))
+    return T.first_of_each(good, lambda f: F.struct(f["type"].alias("type"), F.lower(F.trim(f["value"])).alias("value")))
 
 
 def screen_findings(text: Column) -> Column:

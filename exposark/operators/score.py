@@ -78,6 +78,14 @@ def url_scores(pages: DataFrame, findings: DataFrame, key: str = "page_id") -> D
     return pages.select(key).join(sums, key, "left").select(key, score.alias("score"), risk(score, "url").alias("risk"))
 
 
+def with_url_score(pages: DataFrame, findings: str = "findings") -> DataFrame:
+    """pages with score and risk by the findings in their rows; types without a weight do not count."""
+    kinds = F.array_distinct(F.transform(F.col(findings), lambda f: f["type"]))
+    points = lambda t: ladder(lookup(t, tables.URL_WEIGHTS, 0), F.size(F.filter(F.col(findings), lambda f: f["type"] == t)), 0.5, 0.3)
+    rows = pages.withColumn("score", F.least(F.round(F.aggregate(kinds, F.lit(0.0), lambda a, t: a + points(t)), 1), F.lit(100.0)))
+    return rows.withColumn("risk", risk(F.col("score"), "url"))
+
+
 def screen_score(types: Column) -> Column:
     """Sum of the weights of an array of types, at most 100."""
     return F.least(F.aggregate(types, F.lit(0), lambda a, t: a + lookup(t, tables.SCREEN_WEIGHTS, 5)), F.lit(100))

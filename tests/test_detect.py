@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,7 +28,12 @@ def test_birth_dates(found):
     assert found(lambda t, u: detect.birth_dates(t), [(t, "") for t, _ in cases]) == [want for _, want in cases]
 
 
-def test_web_classes(found):
+def web(spark, rows):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, text string, url string")
+    return [[tuple(f) for f in r["findings"]] for r in detect.with_url_findings(df).orderBy("i").collect()]
+
+
+def test_web_classes(spark):
     far = " x" * 150
     cases = [
         ("ann.lee@gmail.com", "https://shop.com/", {("personal_email", "ann.lee@gmail.com")}),
@@ -47,6 +54,15 @@ def test_web_classes(found):
         ("ABCDE1234F HTTP HTML JSON XML API URL", "https://a.com", set()),
         ("pan card ABCDE1234F HTTP HTML JSON XML API URL", "https://a.com", {("pan", "ABCDE1234F")}),
     ]
-    got = found(detect.url_findings, [(t, u) for t, u, _ in cases])
+    got = web(spark, [(t, u) for t, u, _ in cases])
     assert [set(x) for x in got] == [want for *_, want in cases]
-    assert found(detect.url_findings, [("Ann.lee@gmail.com ann.lee@gmail.com", "https://a.com")]) == [[("personal_email", "Ann.lee@gmail.com")]]
+    assert web(spark, [("Ann.lee@gmail.com ann.lee@gmail.com", "https://a.com")]) == [[("personal_email", "Ann.lee@gmail.com")]]
+
+
+def test_many_values_take_time_in_proportion(spark):
+    """A page of 20000 addresses: words and values are placed once each, and equal ones found by sorting."""
+    text = " ".join(f"a{i}.b@mail{i}.com" for i in range(20_000)) + " contact"
+    began = time.time()
+    (found,) = web(spark, [(text + " " + text.upper(), "https://x.com")])
+    assert len(found) == 20_000 and time.time() - began < 30
+    assert [t for t, _ in found].count("public_contact") < 30

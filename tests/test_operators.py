@@ -7,6 +7,7 @@ from exposark.functions import tables
 from exposark.functions import text as T
 from exposark.operators import advice, classify, detect, score
 from exposark.sources import corpus as C
+from exposark.sources import pages as P
 
 
 def one(spark, value, expression, kind="string"):
@@ -103,7 +104,7 @@ def test_links_and_kinds(spark):
     assert one(spark, "https://max.com/a", C.platform) == "unsupported"
     assert not one(spark, "http://192.168.1.1/", C.is_allowed)
     assert one(spark, bytearray(b"%PDF-1.7"), C.sniffed, "binary") == ".pdf"
-    assert one(spark, "<p>a<script>x</script></p><p>b&amp;c</p>", C.html_text) == "a\nb&c"
+    assert one(spark, "<p>a<script>x</script></p><p>b&amp;c</p>", lambda h: P.lines(P.page(h)["text"])) == "a\nb&c"
 
 
 def test_garbage(spark):
