@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from exposark.functions import tables
 from exposark.functions import text as T
 from exposark.operators import advice, classify, detect, doctype, score
-from exposark.plans import history, sessions
+from exposark.plans import history, sessions, store
 from exposark.registry import ORACLES, QUERIES, query
 from exposark.pages_sql import PAGES_SQL, URL_FINDINGS_SQL, URL_SCORES_SQL
 from exposark.sources import corpus as C
@@ -117,7 +117,7 @@ def doc_screen_findings(spark, sf_dir):
     return detect.exploded(C.corpus(spark, sf_dir), detect.screen_findings(F.col("text")))
 
 
-@query(r"""WITH lines AS (SELECT doc_id, ls, i, regexp_replace(ls[i], '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), (SELECT unnest(range(1, 4000)) AS i) WHERE i <= len(ls)),
+@query(r"""WITH lines AS (SELECT doc_id, ls, i, regexp_replace(ls[i], '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), (SELECT unnest(range(1, (SELECT max(len(string_split(coalesce(text, ''), chr(10)))) + 1 FROM documents))) AS i) WHERE i <= len(ls)),
 good AS (SELECT doc_id, i, line FROM lines WHERE length(line) >= 3 AND length(regexp_replace(line, '[^\p{L}\p{N}]', '', 'g'))::DOUBLE / length(line) >= 0.35),
 first AS (SELECT doc_id, min(i) AS i FROM good GROUP BY doc_id, lower(line)),
 kept AS (SELECT g.doc_id, string_agg(line, chr(10) ORDER BY g.i) AS t FROM good g JOIN first f ON g.doc_id = f.doc_id AND g.i = f.i GROUP BY g.doc_id)
@@ -341,7 +341,8 @@ def cross_job_aggregate(spark, sf_dir):
 
 @query(f"WITH {SCANS_SQL} SELECT scan_id FROM scans WHERE NOT (source = 'click' AND score >= 75)")
 def purge_legacy_antijoin(spark, sf_dir):
-    return history.purged(C.scans(spark, sf_dir), "click")[0].select("scan_id")
+    scans = C.scans(spark, sf_dir)
+    return store.delete(scans, scans, (F.col("source") == "click") & (F.col("score") >= 75))[0].select("scan_id")
 
 
 # --- sessions -------------------------------------------------------------------------------------------------------------
@@ -427,6 +428,6 @@ own AS (SELECT doc_id, type, CASE WHEN n > up_to THEN high ELSE low END AS sever
   UNION ALL SELECT doc_id, 'general', CASE WHEN risk IN ('CRITICAL', 'HIGH') THEN 'HIGH' WHEN risk = 'MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END FROM leveled)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY {ADVICE_ORDER}, type) AS place, type, severity FROM own"""
 
-from exposark import catalogue_more, catalogue_web  # noqa: E402  register further queries
+from exposark import catalogue_more, catalogue_time, catalogue_web  # noqa: E402  register further queries
 
-__all__ = ["ORACLES", "QUERIES", "catalogue_more", "catalogue_web"]
+__all__ = ["ORACLES", "QUERIES", "catalogue_more", "catalogue_time", "catalogue_web"]

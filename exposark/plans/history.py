@@ -104,7 +104,15 @@ def across_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count("*").alias("n_jobs"), F.sum("n_files").alias("n_files"), F.sum("n_alerts").alias("n_alerts"), F.round(F.avg("avg_score"), 1).alias("avg_score"), F.max("max_score").alias("max_score"))
 
 
-def purged(scans: DataFrame, source: str, least: float = 75) -> tuple[DataFrame, DataFrame]:
-    """What stays, and what goes, when a source's scans of a score or more are deleted."""
-    gone = scans.where((F.col("source") == source) & (F.col("score") >= least))
-    return scans.join(gone.select("scan_id"), "scan_id", "left_anti"), gone
+def moving_averages(scans: DataFrame, spans: tuple[int, ...] = (7, 30)) -> DataFrame:
+    """By owner and day, from the owner's first scan to the last: scans, mean score (null on days without any), and means over the last 7 and 30 days, the day itself included.
+
+    Days are summed before anything is put in order, and the calendar of an owner has a row a day, so no task holds an owner's scans.
+    """
+    days = scans.where("upload_date IS NOT NULL").groupBy("owner_id", F.to_date("upload_date").alias("day")).agg(F.sum(F.col("score").cast("decimal(18,1)")).cast("double").alias("total"), F.count("score").alias("n"))
+    ends = days.groupBy(F.col("owner_id").alias("o")).agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("d"))
+    filled = ends.join(days, F.col("owner_id").eqNullSafe(F.col("o")) & (F.col("day") == F.col("d")), "left").select(F.col("o").alias("owner_id"), F.col("d").alias("day"), F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("n", F.lit(0)).alias("n"))
+    w = Window.partitionBy("owner_id").orderBy(F.unix_date("day"))
+    exact = F.col("total").cast("decimal(18,1)")  # tenths add up to the same in any order
+    moved = [(F.sum(exact).over(w.rangeBetween(1 - k, 0)).cast("double") / F.nullif(F.sum("n").over(w.rangeBetween(1 - k, 0)), F.lit(0))).alias(f"avg_{k}") for k in spans]
+    return filled.select("owner_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", (F.col("total") / F.nullif(F.col("n"), F.lit(0))).alias("avg_score"), *moved)

@@ -31,6 +31,34 @@ def alerts_of(alert_rows: DataFrame, sessions: DataFrame) -> DataFrame:
     return alert_rows.join(sessions, "session_id", "left_semi")
 
 
+def islands(rows: DataFrame, gap: float, key: str = "session_id", tie: str = "frame_id", width: float = 3600.0) -> DataFrame:
+    """rows (key, t in seconds, tie and others) with island: the time at which the run of rows began in which no two neighbours are so many seconds apart, by key.
+
+    Rows are put in order within stretches of time; the last time of the stretch before, and the last beginning of an island before, come from a table of a row a stretch. So no key's rows pass through one task.
+    """
+    rows = rows.withColumn("__at", F.floor(F.col("t") / width))
+    whole = Window.partitionBy("__k").orderBy("__s")
+    same = lambda other: rows_key.eqNullSafe(other["__k"]) & (F.col("__at") == other["__s"])
+    rows_key = F.col(key)
+    ends = rows.groupBy(F.col(key).alias("__k"), F.col("__at").alias("__s")).agg(F.max("t").alias("__last")).withColumn("__before", F.lag("__last").over(whole)).drop("__last")
+    inner = Window.partitionBy(key, "__at").orderBy("t", tie)
+    placed = rows.join(ends, same(ends)).drop("__k", "__s")
+    far = F.coalesce(F.col("t") - F.coalesce(F.lag("t").over(inner), F.col("__before")) >= gap, F.lit(True))
+    begun = placed.withColumn("__begin", F.when(far, F.col("t"))).drop("__before")
+    carried = begun.groupBy(F.col(key).alias("__k"), F.col("__at").alias("__s")).agg(F.max("__begin").alias("__latest"))
+    carried = carried.withColumn("__carry", F.max("__latest").over(whole.rowsBetween(Window.unboundedPreceding, -1))).drop("__latest")
+    own = F.max("__begin").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return begun.join(carried, same(carried)).withColumn("island", F.coalesce(own, F.col("__carry"))).drop("__k", "__s", "__at", "__begin", "__carry")
+
+
+def visits(f: DataFrame, gap: float, key: str = "session_id") -> DataFrame:
+    """Visits of each key, parted where nothing came for so many seconds or more: key, began, ended (times of the first and last frame), n_frames, n_alerts and max_score."""
+    rows = f.where(F.col("ts").isNotNull()).select(key, "frame_id", "ts", "score", F.col("ts").cast("double").alias("t"))
+    by = islands(rows, gap, key).groupBy(key, "island")
+    out = by.agg(F.min("ts").alias("began"), F.max("ts").alias("ended"), F.count("*").alias("n_frames"), F.count_if(F.col("score") >= ALERT_SCORE).alias("n_alerts"), F.max("score").alias("max_score"))
+    return out.drop("island")
+
+
 def with_cooldown(alert_rows: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str = "session_id") -> DataFrame:
     """Alerts at least so many seconds after the last one that passed, by key.
 
@@ -38,9 +66,7 @@ def with_cooldown(alert_rows: DataFrame, seconds: int = COOLDOWN_SECONDS, key: s
     islands is read as a stream in order of time, keeping only the last time that passed; no key's rows are held together.
     """
     rows = alert_rows.where(F.col("ts").isNotNull()).select(key, F.col("frame_id").cast("long").alias("frame_id"), F.col("ts").cast("double").alias("t"))
-    w = Window.partitionBy(key).orderBy("t", "frame_id")
-    far = rows.withColumn("far", (F.col("t") - F.lag("t").over(w) >= seconds).cast("long"))
-    islands = far.withColumn("island", F.sum(F.coalesce("far", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("far")
+    parted = islands(rows, seconds, key)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last = None, float("-inf")
@@ -54,5 +80,5 @@ def with_cooldown(alert_rows: DataFrame, seconds: int = COOLDOWN_SECONDS, key: s
                     last = t
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    ordered = islands.repartition(key, "island").sortWithinPartitions(key, "island", "t", "frame_id")
+    ordered = parted.select(key, "frame_id", "t", "island").repartition(key, "island").sortWithinPartitions(key, "island", "t", "frame_id")
     return ordered.mapInArrow(passed, StructType([rows.schema[key], rows.schema["frame_id"]]))

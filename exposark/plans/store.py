@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exposark.operators.advice import lookup
@@ -30,12 +30,6 @@ def stored_findings(scans: DataFrame, key: str = "scan_id") -> DataFrame:
     return rows.select(key, "position", "f.type", F.substring("f.value", 1, VALUE_KEPT).alias("value"))
 
 
-def insert(scans: DataFrame, path: str, key: str = "scan_id") -> None:
-    """Append scans (with findings) to the two tables under path. Each is written once as a whole; a task that is lost is done again without a trace."""
-    stored_scans(scans.drop("findings")).write.mode("append").parquet(f"{path}/scans")
-    stored_findings(scans, key).write.mode("append").parquet(f"{path}/findings")
-
-
 def delete(parents: DataFrame, children: DataFrame, gone: Column, key: str = "scan_id") -> tuple[DataFrame, DataFrame]:
     """What is left of parents and of their children once the parents for which gone holds are deleted. A test that is null keeps the row."""
     test = F.coalesce(gone, F.lit(False))
@@ -55,6 +49,25 @@ def without_prefix(scans: DataFrame) -> DataFrame:
     return scans.withColumn("label", F.coalesce(F.nullif(label, F.lit("")), named, label)).withColumn("extracted_text", F.regexp_replace(text, pattern, ""))
 
 
+def write_by_time(scans: DataFrame, path: str, rows_per_group: int = 100_000) -> None:
+    """scans in folders by day of upload_date, each file sorted by owner, with Bloom filters on scan_id: a tenant's days read few files, a look-up few row groups."""
+    days = scans.withColumn("day", F.to_date("upload_date"))
+    dealt = days.repartitionByRange("day", "owner_id").sortWithinPartitions("day", "owner_id", "upload_date")
+    writer = dealt.write.mode("overwrite").partitionBy("day").option("parquet.bloom.filter.enabled#scan_id", "true").option("parquet.bloom.filter.expected.ndv#scan_id", str(rows_per_group))
+    writer.option("parquet.block.row.count.limit", str(rows_per_group)).parquet(path)
+
+
+def of_owner(spark: SparkSession, path: str, owner: int, since: str, until: str) -> DataFrame:
+    """A tenant's scans of some days: folders are chosen by day, row groups by owner."""
+    return spark.read.parquet(path).where(F.col("day").between(F.to_date(F.lit(since)), F.to_date(F.lit(until))) & (F.col("owner_id") == owner))
+
+
+def by_ids(spark: SparkSession, path: str, wanted: list[tuple[int, int]]) -> DataFrame:
+    """The scans of a few (scan_id, owner_id), each by its own owner alone: the ids reach the Bloom filters."""
+    pair = F.struct("scan_id", "owner_id").isin([F.struct(F.lit(s).cast("long"), F.lit(o).cast("long")) for s, o in wanted])
+    return spark.read.parquet(path).where(F.col("scan_id").isin(*(s for s, _ in wanted)) & pair)
+
+
 def looked_up(scans: DataFrame, wanted: DataFrame) -> DataFrame:
     """The scans that are asked for, each by its own owner alone. wanted: scan_id, owner_id."""
     return scans.join(wanted.distinct(), ["scan_id", "owner_id"], "left_semi")

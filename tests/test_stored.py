@@ -8,7 +8,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from exposark.operators import detect, score
-from exposark.plans import store
+from exposark.plans import sink, store
 from exposark.sources import corpus as C
 from exposark.streaming import monitor
 
@@ -16,11 +16,12 @@ from exposark.streaming import monitor
 def test_scans_and_findings_are_stored(spark, tmp_path):
     rows = [(1, "batch", "x" * 3000, [("email", "e" * 600)] * 70), (2, "file", "y" * 3000, []), (3, "url", None, [("otp", "1234")])]
     scans = spark.createDataFrame(rows, "scan_id long, source string, extracted_text string, findings array<struct<type:string,value:string>>")
-    store.insert(scans, str(tmp_path))
-    store.insert(scans.where("scan_id = 3"), str(tmp_path))
-    kept = {r["scan_id"]: len(r["extracted_text"] or "") for r in spark.read.parquet(f"{tmp_path}/scans").collect()}
+    tables = sink.ScanSink(str(tmp_path))
+    tables.write(scans, 0)
+    tables.write(scans.where("scan_id = 3"), 1)
+    kept = {r["scan_id"]: len(r["extracted_text"] or "") for r in tables.scans(spark).collect()}
     assert kept == {1: 2000, 2: 3000, 3: 0}
-    found = spark.read.parquet(f"{tmp_path}/findings")
+    found = tables.findings(spark)
     assert found.where("scan_id = 1").count() == 60 and found.where("scan_id = 3").count() == 2
     assert found.agg(F.max(F.length("value"))).first()[0] == 500
 
@@ -75,3 +76,28 @@ def test_findings_are_found_once_a_row(spark):
     plan = score.with_row_score(docs.select("doc_id", detect.document_findings(F.col("text")).alias("findings")), "findings")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert [tuple(r) for r in rows.collect()] == [(1, "email", "a.b@example.org")]
+
+
+def test_stored_by_time_reads_little(spark, tmp_path):
+    rows = spark.range(200_000).select(F.col("id").alias("scan_id"), (F.xxhash64("id") % 500).alias("owner_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") % (20 * 86400)).alias("upload_date"), F.rand(1).alias("score"))
+    path = str(tmp_path / "scans")
+    store.write_by_time(rows, path, rows_per_group=1000)
+    plain = rows.withColumn("day", F.to_date("upload_date"))
+
+    def scanned(frame):
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan()
+        plan = plan.executedPlan() if hasattr(plan, "executedPlan") and "Adaptive" in plan.nodeName() else plan
+        while not plan.nodeName().startswith("Scan parquet"):
+            plan = plan.children().head()
+        return plan.metrics().apply("numOutputRows").value(), frame._jdf.queryExecution().executedPlan().toString()
+
+    mine = store.of_owner(spark, path, 7, "2024-01-03", "2024-01-04")
+    assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, plain.where("owner_id = 7 AND day BETWEEN '2024-01-03' AND '2024-01-04'").select(mine.columns).collect()))
+    read, plan = scanned(mine)
+    assert "PartitionFilters: [isnotnull(day" in plan and "EqualTo(owner_id,7)" in plan and read < 8_000
+    (owner,) = rows.where("scan_id = 1234").select("owner_id").first()
+    one = store.by_ids(spark, path, [(1234, owner), (99, -1)])
+    assert [r["scan_id"] for r in one.collect()] == [1234]
+    read, plan = scanned(one)
+    assert "In(scan_id, [1234,99])" in plan and read < 20_000
