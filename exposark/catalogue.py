@@ -165,7 +165,8 @@ def doc_type_pivot(spark, sf_dir):
 @query(f"""WITH {SCORES_SQL}, ranked AS (SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM leveled JOIN documents USING (doc_id)) SELECT * FROM ranked WHERE rank <= 3""")
 def doc_top_exposed_per_source(spark, sf_dir):
     w = Window.partitionBy("source").orderBy(F.desc("score"), "doc_id")
-    rows = scored(spark, sf_dir).join(C.corpus(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    rows = C.corpus(spark, sf_dir).select("source", "doc_id", detect.document_findings(F.col("text")).alias("findings"))
+    rows = score.with_row_score(rows, "findings").select("source", "doc_id", "score")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 3).select("source", "doc_id", "score", "rank")
 
 
@@ -184,22 +185,27 @@ def docs_left_finding_counts(spark, sf_dir):
     return in_rows(spark, sf_dir).select("doc_id", F.size("findings").cast("long").alias("n"))
 
 
+def _with_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and how many addresses and cards a document has: one scan, and no other type is looked for."""
+    text = F.col("text")
+    return C.corpus(spark, sf_dir).select("doc_id", F.size(detect.emails(text)).alias("mails"), F.size(detect.cards(text)).alias("cards"))
+
+
 @query(f"WITH {FINDINGS_SQL} SELECT DISTINCT value FROM (SELECT value FROM findings WHERE type = 'email' UNION ALL SELECT value FROM findings WHERE type = 'credit_card')")
 def findings_union_distinct(spark, sf_dir):
-    f = found(spark, sf_dir)
-    return f.where("type = 'email'").select("value").unionByName(f.where("type = 'credit_card'").select("value")).distinct()
+    """Values of either type once; only these two are looked for, both from the row."""
+    text = F.col("text")
+    return C.corpus(spark, sf_dir).select(F.explode(F.array_union(detect.emails(text), detect.cards(text))).alias("value")).distinct()
 
 
 @query(f"WITH {FINDINGS_SQL} SELECT doc_id FROM findings WHERE type = 'email' EXCEPT SELECT doc_id FROM findings WHERE type = 'credit_card'")
 def findings_except(spark, sf_dir):
-    f = found(spark, sf_dir)
-    return f.where("type = 'email'").select("doc_id").subtract(f.where("type = 'credit_card'").select("doc_id"))
+    return _with_types(spark, sf_dir).where("mails > 0 AND cards = 0").select("doc_id").distinct()
 
 
 @query(f"WITH {FINDINGS_SQL} SELECT doc_id FROM findings WHERE type = 'email' INTERSECT SELECT doc_id FROM findings WHERE type = 'credit_card'")
 def findings_intersect(spark, sf_dir):
-    f = found(spark, sf_dir)
-    return f.where("type = 'email'").select("doc_id").intersect(f.where("type = 'credit_card'").select("doc_id"))
+    return _with_types(spark, sf_dir).where("mails > 0 AND cards > 0").select("doc_id").distinct()
 
 
 # --- advice and scenarios -------------------------------------------------------------------------------------------------
@@ -428,6 +434,6 @@ own AS (SELECT doc_id, type, CASE WHEN n > up_to THEN high ELSE low END AS sever
   UNION ALL SELECT doc_id, 'general', CASE WHEN risk IN ('CRITICAL', 'HIGH') THEN 'HIGH' WHEN risk = 'MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END FROM leveled)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY {ADVICE_ORDER}, type) AS place, type, severity FROM own"""
 
-from exposark import catalogue_more, catalogue_time, catalogue_web  # noqa: E402  register further queries
+from exposark import catalogue_jobs, catalogue_more, catalogue_time, catalogue_web  # noqa: E402  register further queries
 
-__all__ = ["ORACLES", "QUERIES", "catalogue_more", "catalogue_time", "catalogue_web"]
+__all__ = ["ORACLES", "QUERIES", "catalogue_jobs", "catalogue_more", "catalogue_time", "catalogue_web"]

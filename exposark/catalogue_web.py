@@ -8,7 +8,7 @@ from exposark.catalogue import HOST_SQL, read_pages
 from exposark.functions import text as T
 from exposark.operators import classify, detect, score
 from exposark.pages_sql import PAGES_SQL
-from exposark.registry import query
+from exposark.registry import ORACLES, query
 from exposark.sources import corpus as C
 from exposark.sources import pages
 
@@ -49,18 +49,37 @@ def page_profile_findings(spark, sf_dir):
     return detect.exploded(rows, F.col("findings"), "page_id")
 
 
-@query(rf"""WITH {PROFILES_SQL}, contacts AS (SELECT page_id, regexp_extract_all(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}\b') AS mails,
+EXPOSURE_SQL = rf"""{PROFILES_SQL}, contacts AS (SELECT page_id, regexp_extract_all(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}\b') AS mails,
     list_filter(regexp_extract_all(text, '(?:[+]?\d[\d -]*\d)'), lambda v: regexp_full_match(v, '[6-9]\d{{9}}|[+]?\d{{1,3}}[ -]\d{{3}}[ -]\d{{3}}[ -]\d{{4}}')) AS calls FROM page_texts),
-facts AS (SELECT p.page_id, lower(coalesce(username, '')) AS u, lower(coalesce(display_name, '')) AS d, lower(coalesce(bio, '')) AS b, lower(coalesce(location, '')) AS l, mails, calls, {HOST_SQL} = 'linkedin.com' OR ends_with({HOST_SQL}, '.linkedin.com') AS linkedin FROM profiles p JOIN contacts USING (page_id))
-SELECT page_id, CASE WHEN linkedin OR regexp_matches(b, 'company|ceo|founder|official|business|corp|inc|director') THEN 'public_business'
+facts AS (SELECT p.page_id, lower(coalesce(username, '')) AS u, lower(coalesce(display_name, '')) AS d, lower(coalesce(bio, '')) AS b, lower(coalesce(location, '')) AS l, mails, calls, {HOST_SQL} = 'linkedin.com' OR ends_with({HOST_SQL}, '.linkedin.com') AS linkedin FROM profiles p JOIN contacts USING (page_id)),
+classed AS (SELECT page_id, CASE WHEN linkedin OR regexp_matches(b, 'company|ceo|founder|official|business|corp|inc|director') THEN 'public_business'
   WHEN len(list_filter(mails[1:3], lambda m: regexp_matches(lower(m), 'gmail\.com|yahoo\.com|hotmail\.com|outlook\.com|protonmail\.com'))) > 0 AND len(calls) > 0 AND length(l) > 2 THEN 'personal_exposure'
-  WHEN (d = '' OR d = u) AND length(trim(b)) < 5 AND len(mails) = 0 AND len(calls) = 0 AND (regexp_matches(u, 'bot|anon|user|guest|temp') OR length(u) < 3) THEN 'anonymous' ELSE 'professional_public' END AS exposure FROM facts""")
+  WHEN (d = '' OR d = u) AND length(trim(b)) < 5 AND len(mails) = 0 AND len(calls) = 0 AND (regexp_matches(u, 'bot|anon|user|guest|temp') OR length(u) < 3) THEN 'anonymous' ELSE 'professional_public' END AS exposure FROM facts)"""
+
+
+@query(f"WITH {EXPOSURE_SQL} SELECT page_id, exposure FROM classed")
 def page_exposure_class(spark, sf_dir):
     """How each page exposes its owner."""
     rows = shown(spark, sf_dir).withColumn("contacts", detect.social_findings(F.array("text")))
     return rows.select("page_id", classify.exposure_class(F.col("platform"), F.col("fields"), F.col("contacts")).alias("exposure"))
 
 
+@query(rf"""WITH {EXPOSURE_SQL}, told AS (SELECT page_id, least(25 * len(list_distinct(mails)[1:3]) + 28 * len(list_distinct(calls)[1:3]) + 8 * len(list_distinct(list_filter(regexp_extract_all(text, 'https?://[^\s"''<>]+'),
+    lambda v: NOT regexp_matches(v, '(?i)//([a-z0-9-]+\.)*(twitter|x|linkedin|reddit|instagram|github|facebook|youtube)\.com')))[1:3]), 100) AS said,
+    12.5 * len(list_distinct(mails)[1:3]) + 14 * len(list_distinct(calls)[1:3]) AS halves FROM contacts JOIN page_texts USING (page_id)),
+summed AS (SELECT p.page_id, exposure, halves, said + CASE WHEN coalesce(username, 'unknown') <> 'unknown' THEN 5 ELSE 0 END + CASE WHEN lower(trim(display_name)) <> lower(trim(coalesce(username, ''))) THEN 6 ELSE 0 END + CASE WHEN length(location) > 2 THEN 10 ELSE 0 END
+    + CASE WHEN website IS NOT NULL THEN 8 ELSE 0 END + CASE WHEN length(trim(bio)) > 10 THEN 7 ELSE 0 END AS total FROM profiles p JOIN told USING (page_id) JOIN classed USING (page_id)),
+moved AS (SELECT page_id, exposure, greatest(0.0, least(100.0, round(CASE exposure WHEN 'public_business' THEN total - halves WHEN 'personal_exposure' THEN total + 10 WHEN 'anonymous' THEN least(total, 11) ELSE total END, 1)))::DOUBLE AS score FROM summed)
+SELECT page_id, exposure, score, CASE WHEN score >= 45 THEN 'CRITICAL' WHEN score >= 25 THEN 'HIGH' WHEN score >= 12 THEN 'MEDIUM' WHEN score >= 5 THEN 'LOW' ELSE 'SAFE' END AS risk FROM moved""")
+def page_social_score(spark, sf_dir):
+    """Class, score and level of each page as somebody's profile."""
+    rows = shown(spark, sf_dir).withColumn("contacts", detect.social_findings(F.array("text")))
+    website = F.exists("contacts", lambda f: f["type"] == "website")
+    rows = rows.withColumn("findings", detect.profile_findings(F.col("fields"), website)).withColumn("exposure", classify.exposure_class(F.col("platform"), F.col("fields"), F.col("contacts")))
+    rows = rows.withColumn("score", score.social_score(F.col("contacts"), F.col("findings"), F.col("exposure")))
+    return rows.select("page_id", "exposure", "score", score.risk(F.col("score"), "social").alias("risk"))
+
+
 @query(rf"""WITH {PAGES_SQL}, ls AS (SELECT page_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM page_texts)
 SELECT p.page_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE length(line) >= 4 AND NOT regexp_matches(line,
   '(?i)\b(?:log\s*in|sign\s*in|sign\s*up|create\s*account|register)\b|\b(?:forgot\s*password|reset\s*password|change\s*password)\b|\b(?:cookie|privacy\s*policy|terms\s*of\s*service|terms\s*of\s*use)\b|\b(?:help\s*center|support\s*center|report\s*abuse|contact\s*us)\b')), '') AS text
@@ -87,3 +106,11 @@ def doc_metadata_fields(spark, sf_dir):
     pairs = F.array(*(F.struct(F.lit(k).alias("field"), F.col(c).cast("string").alias("value")) for k, c in (("author", "source"), ("keywords", "lang"), ("revision", "n_chars"))))
     fields = C.table(spark, sf_dir, "documents").select("doc_id", F.explode(pairs).alias("f")).select("doc_id", "f.*")
     return score.metadata_fields(fields, "doc_id").select("doc_id", "field", "value", "weight")
+
+
+@query(rf"""WITH sure AS ({ORACLES["conversation_entities"]}) SELECT conv_id, turn, value, confidence FROM sure WHERE confidence >= 0.7""")
+def conversation_sure_entities(spark, sf_dir):
+    """Entities of each turn that pass the confidence filter: findings of a model need 0.7, those of patterns none."""
+    rows = conversation_entities(spark, sf_dir).withColumn("f", F.array(F.struct(F.lit("person_name").alias("type"), "value", F.lit("ai").alias("method"), "confidence")))
+    kept = rows.select("conv_id", "turn", F.explode(detect.confident(F.col("f"))).alias("f"))
+    return kept.select("conv_id", "turn", "f.value", "f.confidence")

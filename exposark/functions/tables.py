@@ -10,6 +10,7 @@ CALM_DOCUMENTS = ("ml_notebook", "project_synopsis", "generic", "academic", "unk
 SOFT_CAP = 15
 
 URL_WEIGHTS = {"credit_card": 35, "cvv": 40, "aadhaar": 30, "password": 25, "pan": 20, "otp": 15, "dob": 8, "phone": 8, "http_only": 8, "email": 5, "personal_email": 5, "public_contact": 1, "public_phone": 1}
+SOCIAL_WEIGHTS = {"email": 25, "phone": 28, "website": 8, "username": 5, "display_name": 6, "location": 10, "bio": 7, "company": 6, "face_detected": 8, "id_card_visible": 40}
 SCREEN_WEIGHTS = {"aadhaar": 50, "pan": 45, "credit_card": 40, "password": 40, "otp": 35, "dob": 25, "face_detected": 20, "email": 18, "phone": 15}
 METADATA_WEIGHTS = {
     "gps_full": 30, "gps_latitude": 15, "gps_longitude": 15, "email_in_metadata": 20, "phone_in_metadata": 20, "author": 15, "creator": 15, "last_modified_by": 15, "company": 10, "local_path": 25,

@@ -322,6 +322,11 @@ def is_entity_garbage(value: Column) -> Column:
     )
 
 
+def confident(findings: Column, least: float = 0.7) -> Column:
+    """Findings (with method and confidence) but for those of a model below a confidence; one without a confidence stays."""
+    return F.filter(findings, lambda f: (F.coalesce(f["method"], F.lit("")) != "ai") | (F.coalesce(f["confidence"], F.lit(1.0)) >= least))
+
+
 def is_date_like(token: Column) -> Column:
     """Whether a token is a date by month name, a fiscal year, or two words with a hyphen."""
     return token.rlike(r"(?i)^\d{1,2}[-/](?:" + T.MONTHS + r")[-/]\d{2,4}\b|^(?:19|20)\d{2}-\d{2,4}\b|^[A-Za-z]+-[A-Za-z]+$")

@@ -56,16 +56,20 @@ def with_row_score(docs: DataFrame, findings: str, doc_type: str | None = None)
     return rows.withColumn("risk", risk(F.col("score"), "document", F.col("__hard"))).drop("__points", "__soft", "__firm", "__hard")
 
 
-def document_scores(docs: DataFrame, findings: DataFrame, key: str = "doc_id", doc_type: str = "generic") -> DataFrame:
-    """key, score and risk of every document by findings in rows of their own; those without findings score 0. Both groupings share one shuffle by key."""
+def scores_of(findings: DataFrame, key: str = "doc_id", doc_type: str = "generic") -> DataFrame:
+    """key, score, and whether there is a hard type, of every key that has findings (key, type). Both groupings share one shuffle by key and type after sums in each task."""
     points = ladder(lookup(F.col("type"), tables.DOCUMENT_WEIGHTS, tables.DOCUMENT_DEFAULT), F.col("n"))
-    typed = type_counts(findings.repartition(key), key).withColumn("points", points)
+    typed = type_counts(findings, key).withColumn("points", points)
     soft, hard = F.col("type").isin(*tables.SOFT_TYPES), F.col("type").isin(*tables.HARD_TYPES)
     sums = typed.groupBy(key).agg(F.sum(F.when(soft, F.col("points")).otherwise(0.0)).alias("soft"), F.sum(F.when(~soft, F.col("points")).otherwise(0.0)).alias("firm"), F.max(hard).alias("hard"))
     capped = F.least(F.col("soft"), F.lit(float(tables.SOFT_CAP))) if doc_type in tables.CALM_DOCUMENTS else F.col("soft")
     raw = F.least(F.round(capped + F.col("firm"), 1), F.lit(100.0))
-    scored = sums.select(key, F.when(F.col("hard"), F.greatest(raw, F.lit(40.0))).otherwise(raw).alias("score"), "hard")
-    out = docs.select(key).join(scored, key, "left")
+    return sums.select(key, F.when(F.col("hard"), F.greatest(raw, F.lit(40.0))).otherwise(raw).alias("score"), "hard")
+
+
+def document_scores(docs: DataFrame, findings: DataFrame, key: str = "doc_id", doc_type: str = "generic") -> DataFrame:
+    """key, score and risk of every document by findings in rows of their own; those without findings score 0."""
+    out = docs.select(key).join(scores_of(findings, key, doc_type), key, "left")
     score = F.coalesce("score", F.lit(0.0))
     return out.select(key, score.alias("score"), risk(score, "document", F.col("hard")).alias("risk"))
 
@@ -86,6 +90,18 @@ def with_url_score(pages: DataFrame, findings: str = "findings") -> DataFrame:
     return rows.withColumn("risk", risk(F.col("score"), "url"))
 
 
+def social_score(contacts: Column, fields: Column, exposure: Column) -> Column:
+    """Score of a public profile: what its text holds (contacts, 100 at most), what its fields expose, both arrays of (type, value), and how the profile exposes its owner.
+
+    Addresses and phones of businesses count half, a personal exposure adds 10, and a profile of nobody stays at 11 or below.
+    """
+    sum_of = lambda found: F.aggregate(found, F.lit(0.0), lambda a, f: a + lookup(f["type"], tables.SOCIAL_WEIGHTS, 3))
+    halves = F.aggregate(F.filter(contacts, lambda f: f["type"].isin("email", "phone")), F.lit(0.0), lambda a, f: a + lookup(f["type"], tables.SOCIAL_WEIGHTS, 0) * 0.5)
+    total = F.least(F.round(sum_of(contacts), 1), F.lit(100.0)) + sum_of(fields)
+    moved = F.when(exposure == "public_business", total - halves).when(exposure == "personal_exposure", total + 10).when(exposure == "anonymous", F.least(total, F.lit(11.0))).otherwise(total)
+    return F.greatest(F.lit(0.0), F.least(F.round(moved, 1), F.lit(100.0)))
+
+
 def screen_score(types: Column) -> Column:
     """Sum of the weights of an array of types, at most 100."""
     return F.least(F.aggregate(types, F.lit(0), lambda a, t: a + lookup(t, tables.SCREEN_WEIGHTS, 5)), F.lit(100))

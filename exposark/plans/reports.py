@@ -32,7 +32,8 @@ def sensitive_summary(findings: DataFrame, most: int = 10) -> DataFrame:
 
 def pooled_scores(findings: DataFrame, key: str) -> DataFrame:
     """key, combined_score and risk of all findings of a key taken together, as if of one document. findings: key, type."""
-    return score.document_scores(findings.select(key).distinct(), findings, key).select(key, F.col("score").alias("combined_score"), "risk")
+    rows = score.scores_of(findings, key)
+    return rows.select(key, F.col("score").alias("combined_score"), score.risk(F.col("score"), "document", F.col("hard")).alias("risk"))
 
 
 def friendly_types(types: Column, most: int = 3) -> Column:
