@@ -47,9 +47,10 @@ def birth_dates(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")).rlike(T.BIRTH), F.slice(good, 1, 1)).otherwise(F.array().cast("array<string>"))
 
 
-def labelled_names(text: Column) -> Column:
+def labelled_names(text: Column, no_names: tuple[str, ...] = T.NO_NAMES) -> Column:
+    """Names after a label. no_names: words that are no names there; the default is short, a deployment passes its own."""
     values = F.transform(T.all_matches(text, T.NAME, 1), T.stripped)
-    return F.array_distinct(F.filter(values, lambda v: (F.size(F.split(v, r"\s+")) <= 4) & ~F.lower(v).isin(*T.NO_NAMES)))
+    return F.array_distinct(F.filter(values, lambda v: (F.size(F.split(v, r"\s+")) <= 4) & ~F.lower(v).isin(*no_names)))
 
 
 def labelled_ids(text: Column) -> Column:
@@ -177,40 +178,47 @@ def false_positive(kind: Column, value: Column, noise: Column) -> Column:
 def with_url_findings(pages: DataFrame, text: str = "text", url: str = "url") -> DataFrame:
     """pages with findings by the web profile: cards need Luhn, 12-digit ids need Verhoeff, plain http is a finding; addresses and phones are typed by class;
     PANs in technical text need a label; years and dates are no findings; one of each (type, value in any case), the first."""
-    rows = pages.withColumn("__mails", T.matches(F.col(text), T.WEB_EMAIL)).withColumn("__calls", T.matches(F.col(text), T.WEB_PHONE))
+    none = F.array().cast("array<string>")
+    gated = lambda test, pattern: F.when(test, T.matches(F.col(text), pattern)).otherwise(none)
+    rows = pages.withColumn("__mails", gated(F.contains(F.col(text), F.lit("@")), T.WEB_EMAIL)).withColumn("__calls", gated(F.col(text).rlike("[0-9]{10}"), T.WEB_PHONE))
     rows = rows.withColumn("__near_mails", near_words(F.col(text), F.col("__mails"), CONTACT, 200)).withColumn("__near_calls", near_words(F.col(text), F.col("__calls"), PHONE_CONTACT, 120))
     # what a Python pass gave stays an argument of the functions below: it could not be computed within their lambdas
     classed = lambda values, near: F.transform(F.arrays_zip(F.col(values).alias("value"), F.col(near).alias("near")), lambda z: F.struct(z["value"].alias("value"), F.coalesce(z["near"], F.lit(False)).alias("near")))
-    parts = F.struct(F.col(text).alias("text"), noise(F.col(text)).alias("never"), classed("__mails", "__near_mails").alias("mails"), classed("__calls", "__near_calls").alias("calls"))
-    found = T.let(parts, lambda x: _url_findings(x["text"], F.col(url), x["never"], x["mails"], x["calls"]))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    parts = F.struct(whole.alias("text"), F.lower(whole).alias("low"), whole.rlike("[0-9]{3}").alias("digits"), classed("__mails", "__near_mails").alias("mails"), classed("__calls", "__near_calls").alias("calls"))
+    found = T.let(parts, lambda x: _url_findings(x, F.col(url)))
     return rows.withColumn("findings", found).drop("__mails", "__calls", "__near_mails", "__near_calls")
 
 
-def _url_findings(text: Column, url: Column, never: Column, mails: Column, every_call: Column) -> Column:
-    ids = F.filter(T.matches(text, T.WEB_AADHAAR), lambda v: T.verhoeff(v) & ~F.array_contains(never, T.digits(v)))
-    secrets = F.transform(T.matches(text, T.WEB_CREDENTIAL, 1), lambda v: F.regexp_replace(v, "^[\"'`]+|[\"'`]+$", ""))
+def _url_findings(row: Column, url: Column) -> Column:
+    """row: text, low (in small letters), digits (whether there are three in a row), mails and calls with whether words of contact are near. A pattern is tried only where what it needs occurs, and noise is looked for only where there is a finding."""
+    text, low, digits, mails, every_call = (row[k] for k in ("text", "low", "digits", "mails", "calls"))
+    none = F.array().cast("array<string>")
+    gated = lambda test, values: F.when(test, values).otherwise(none)
+    ids = F.filter(gated(digits, T.matches(text, T.WEB_AADHAAR)), T.verhoeff)
+    labelled = _has(low, ":", "=") & _has(low, "pass", "pwd", "secret", "token", "api", "auth")
+    secrets = F.transform(gated(labelled, T.matches(text, T.WEB_CREDENTIAL, 1)), lambda v: F.regexp_replace(v, "^[\"'`]+|[\"'`]+$", ""))
     secrets = F.array_distinct(F.filter(secrets, lambda v: (F.length(v) >= 4) & ~F.lower(v).isin("true", "false", "null", "none", "undefined", "yes", "no")))
     classed = lambda values, kind: F.transform(values, lambda v: F.struct(kind(v).alias("type"), v["value"].alias("value")))
     technical = (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?i)\b(RFC|HTTP|HTML|JSON|XML|API|URL|SQL|CSS|TCP|UDP|IP)\b")) > 5) & ~F.coalesce(text, F.lit("")).rlike(r"(?i)\b(pan\s*card|pan\s*number|permanent\s*account)\b")
-    none = F.array().cast("array<string>")
 
     def numbers(ids_: Column) -> Column:
         calls = T.let(F.transform(ids_, T.digits), lambda taken: F.filter(every_call, lambda p: ~F.array_contains(taken, p["value"])))
-        cards_ = F.array_distinct(F.filter(F.transform(T.all_matches(text, T.WEB_CARD), T.digits), lambda d: F.length(d).between(13, 16) & T.luhn(d) & ~F.array_contains(never, d)))
+        cards_ = F.array_distinct(F.filter(F.transform(gated(digits, T.all_matches(text, T.WEB_CARD)), T.digits), lambda d: F.length(d).between(13, 16) & T.luhn(d)))
         return F.concat(classed(calls, lambda p: phone_class(p["near"], url)), typed("aadhaar", ids_), typed("credit_card", cards_))
 
     every = F.concat(
         classed(mails, lambda m: email_class(m["value"], m["near"], url)),
         T.let(ids, numbers),
-        typed("pan", T.let(T.matches(text, T.PAN), lambda pans: F.when((F.size(pans) > 0) & technical, none).otherwise(pans))),
+        typed("pan", T.let(gated(digits, T.matches(text, T.PAN)), lambda pans: F.when((F.size(pans) > 0) & technical, none).otherwise(pans))),
         typed("password", secrets),
-        typed("otp", T.matches(text, T.WEB_OTP, 1)),
-        typed("cvv", T.matches(text, T.WEB_CVV, 1)),
-        typed("dob", T.matches(text, T.DOB, 1)),
-        F.when(F.startswith(F.lower(url), F.lit("http://")), typed("http_only", F.array(url))).otherwise(F.array().cast("array<struct<type:string,value:string>>")),
+        typed("otp", gated(digits & _has(low, "otp", "code", "one"), T.matches(text, T.WEB_OTP, 1))),
+        typed("cvv", gated(digits & _has(low, "cvv", "cvc", "code"), T.matches(text, T.WEB_CVV, 1))),
+        typed("dob", gated(_has(low, "dob", "birth", "born"), T.matches(text, T.DOB, 1))),
     )
-    good = F.filter(every, lambda f: ~false_positive(f["type"], f["value"], never))
-    return T.first_of_each(good, lambda f: F.struct(f["type"].alias("type"), F.lower(F.trim(f["value"])).alias("value")))
+    plain = F.when(F.startswith(F.lower(url), F.lit("http://")), typed("http_only", F.array(url))).otherwise(F.array().cast("array<struct<type:string,value:string>>"))
+    good = T.let(every, lambda a: F.when(F.size(a) == 0, a).otherwise(T.let(noise(text), lambda never: F.filter(a, lambda f: ~false_positive(f["type"], f["value"], never)))))
+    return F.concat(T.first_of_each(good, lambda f: F.struct(f["type"].alias("type"), F.lower(F.trim(f["value"])).alias("value"))), plain)
 
 
 def screen_findings(text: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from exposark.functions import tables
 from exposark.functions.text import let, stripped
 
+SPACES = " \t\n\x0b\f\r"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content ends at their own end tag alone.
 VERBATIM = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -130,11 +131,11 @@ def title(page: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a page's text without white space at their ends, navigation, and short lines that were there before, as one text."""
-    every = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), stripped), lambda x: (x != "") & ~x.rlike(f"(?i)^(?:{tables.NAVIGATION})$"))
+    every = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x, F.lit(SPACES))), lambda x: (x != "") & ((F.length(x) > 40) | ~x.rlike(f"(?i)^(?:{tables.NAVIGATION})$")))  # navigation is short
     placed = F.array_sort(F.transform(every, lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("i"), x.alias("line"))))
     kept = let(placed, lambda a: F.filter(a, lambda x, j: (j == 0) | (F.length(x["line"]) >= 25) | (F.get(a, j - 1)["key"] != x["key"])))
     back = F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line")))), lambda x: x["line"])
-    return stripped(F.regexp_replace(F.array_join(back, "\n"), r"[ \t]{2,}", " "))
+    return F.trim(F.regexp_replace(F.array_join(back, "\n"), r"[ \t]{2,}", " "), F.lit(SPACES))
 
 
 def meta(page: Column, name: str) -> Column:
