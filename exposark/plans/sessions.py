@@ -36,19 +36,18 @@ def islands(rows: DataFrame, gap: float, key: str = "session_id", tie: str = "fr
 
     Rows are put in order within stretches of time; the last time of the stretch before, and the last beginning of an island before, come from a table of a row a stretch. So no key's rows pass through one task.
     """
-    rows = rows.withColumn("__at", F.floor(F.col("t") / width))
-    whole = Window.partitionBy("__k").orderBy("__s")
-    same = lambda other: rows_key.eqNullSafe(other["__k"]) & (F.col("__at") == other["__s"])
-    rows_key = F.col(key)
-    ends = rows.groupBy(F.col(key).alias("__k"), F.col("__at").alias("__s")).agg(F.max("t").alias("__last")).withColumn("__before", F.lag("__last").over(whole)).drop("__last")
-    inner = Window.partitionBy(key, "__at").orderBy("t", tie)
-    placed = rows.join(ends, same(ends)).drop("__k", "__s")
+    # the key in a struct is equal to itself where it is null too, and one partitioning serves windows and joins
+    rows = rows.withColumn("__k", F.struct(key)).withColumn("__at", F.floor(F.col("t") / width))
+    whole = Window.partitionBy("__k").orderBy("__at")
+    ends = rows.groupBy("__k", "__at").agg(F.max("t").alias("__last")).withColumn("__before", F.lag("__last").over(whole)).drop("__last")
+    inner = Window.partitionBy("__k", "__at").orderBy("t", tie)
+    placed = rows.join(ends, ["__k", "__at"])
     far = F.coalesce(F.col("t") - F.coalesce(F.lag("t").over(inner), F.col("__before")) >= gap, F.lit(True))
     begun = placed.withColumn("__begin", F.when(far, F.col("t"))).drop("__before")
-    carried = begun.groupBy(F.col(key).alias("__k"), F.col("__at").alias("__s")).agg(F.max("__begin").alias("__latest"))
+    carried = begun.groupBy("__k", "__at").agg(F.max("__begin").alias("__latest"))
     carried = carried.withColumn("__carry", F.max("__latest").over(whole.rowsBetween(Window.unboundedPreceding, -1))).drop("__latest")
     own = F.max("__begin").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return begun.join(carried, same(carried)).withColumn("island", F.coalesce(own, F.col("__carry"))).drop("__k", "__s", "__at", "__begin", "__carry")
+    return begun.join(carried, ["__k", "__at"]).withColumn("island", F.coalesce(own, F.col("__carry"))).drop("__k", "__at", "__begin", "__carry")
 
 
 def visits(f: DataFrame, gap: float, key: str = "session_id") -> DataFrame:
