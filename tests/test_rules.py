@@ -31,9 +31,11 @@ def test_ten_thousand_rules(spark):
         for _, name, _, need, _, absent, unless in table:
             if need and own.issuperset(need) and not own.intersection(absent) and not any(own.issuperset(u) for u in unless):
                 want.add((i, name))
-    frame = rules.fired(spark.createDataFrame(sets, "doc_id long, types array<string>"), spark.createDataFrame(table, rules.SCHEMA))
-    got = [(r["doc_id"], r["scenario"]) for r in frame.collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+    own, every = spark.createDataFrame(sets, "doc_id long, types array<string>"), spark.createDataFrame(table, rules.SCHEMA)
+    for counts in (None, rules.type_counts(own)):
+        frame = rules.fired(own, every, counts=counts)
+        got = [(r["doc_id"], r["scenario"]) for r in frame.collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
     assert "Cartesian" not in frame._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in frame._jdf.queryExecution().executedPlan().toString()
 
 
