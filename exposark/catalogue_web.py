@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from exposark.catalogue import HOST_SQL, read_pages
 from exposark.functions import text as T
-from exposark.operators import classify, detect, score
+from exposark.operators import classify, detect, entities, score
 from exposark.pages_sql import PAGES_SQL
 from exposark.registry import ORACLES, query
 from exposark.sources import corpus as C
@@ -114,3 +114,13 @@ def conversation_sure_entities(spark, sf_dir):
     rows = conversation_entities(spark, sf_dir).withColumn("f", F.array(F.struct(F.lit("person_name").alias("type"), "value", F.lit("ai").alias("method"), "confidence")))
     kept = rows.select("conv_id", "turn", F.explode(detect.confident(F.col("f"))).alias("f"))
     return kept.select("conv_id", "turn", "f.value", "f.confidence")
+
+
+@query(rf"""WITH found AS ({ORACLES["conversation_entities"]}) SELECT conv_id, turn, value,
+  NOT (regexp_matches(value, '[a-z][A-Z]') OR len(list_filter(string_split(lower(value), ' '), lambda w: NOT (length(w) < 3 OR w IN ('the', 'this', 'that', 'hello', 'thanks')))) = 0
+    OR lower(value) IN ('the', 'this', 'that', 'hello', 'thanks') OR (NOT contains(value, ' ') AND length(value) < 4) OR regexp_matches(lower(value), '(^| )(python|java|sql|data|model|code)( |$)')) AS stands FROM found""")
+def conversation_valid_persons(spark, sf_dir):
+    """Whether the capitalised names of each turn would stand as persons."""
+    words = entities.Words(noise=("the", "this", "that", "hello", "thanks"), technical=("python", "java", "sql", "data", "model", "code"))
+    rows = conversation_entities(spark, sf_dir)
+    return rows.select("conv_id", "turn", "value", entities.stands(F.col("value"), F.lit("PERSON"), words=words).alias("stands"))
