@@ -242,11 +242,17 @@ def screen_findings(text: Column) -> Column:
 
 
 def social_findings(texts: Column) -> Column:
-    """The profile-page patterns: at most 3 of each type, values up to 200 characters."""
-    text = F.array_join(texts, "\n")
+    """The profile-page patterns: at most 3 of each type, values up to 200 characters. A pattern is tried only where what it needs occurs."""
+    none = F.array().cast("array<string>")
     cut = lambda values: F.transform(F.slice(values, 1, 3), lambda v: F.substring(v, 1, 200))
-    sites = F.filter(T.matches(text, r"https?://[^\s\"'<>]+"), lambda v: ~v.rlike(r"(?i)//([a-z0-9-]+\.)*(twitter|x|linkedin|reddit|instagram|github|facebook|youtube)\.com"))
-    return F.concat(typed("email", cut(T.matches(text, T.EMAIL))), typed("phone", cut(T.matches(text, r"(?<!\d)(?:[6-9]\d{9}|\+?\d{1,3}[ -]\d{3}[ -]\d{3}[ -]\d{4})(?!\d)"))), typed("website", cut(sites)))
+
+    def found(text: Column) -> Column:
+        gated = lambda test, values: F.when(test, values).otherwise(none)
+        sites = F.filter(gated(F.contains(text, F.lit("http")), T.matches(text, r"https?://[^\s\"'<>]+")), lambda v: ~v.rlike(r"(?i)//([a-z0-9-]+\.)*(twitter|x|linkedin|reddit|instagram|github|facebook|youtube)\.com"))
+        calls = gated(text.rlike("[0-9]{4}"), T.matches(text, r"(?<!\d)(?:[6-9]\d{9}|\+?\d{1,3}[ -]\d{3}[ -]\d{3}[ -]\d{4})(?!\d)"))
+        return F.concat(typed("email", cut(gated(F.contains(text, F.lit("@")), T.matches(text, T.EMAIL)))), typed("phone", cut(calls)), typed("website", cut(sites)))
+
+    return T.let(F.array_join(texts, "\n"), found)
 
 
 def profile_findings(fields: Column, website_found: Column) -> Column:
