@@ -2,13 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exposark.functions import tables
 from exposark.operators.score import lookup
 
 
+def tenths(score: Column) -> Column:
+    """A score as a decimal, so that sums are the same in any order; null where it is no tenth."""
+    exact = score.try_cast("decimal(18,1)")
+    return F.when(exact.cast("double") == score, exact)
+
+
+def rounded(x: Column) -> Column:
+    """A double to a tenth, halves away from zero; what is negative stays so, -0.0 too."""
+    return F.when(F.abs(x) < 1e15, F.signum(x) * F.floor(F.abs(x) * 10 + 0.5) / 10).otherwise(x)
+
+
+def half_tenth(total: Column, n: Column) -> Column:
+    """Whether total / n lies exactly between two tenths."""
+    return (F.abs(total) * 20) % (n * 2) == n
+
+
+def same(rows: DataFrame, few: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The rows whose keys, nulls included, are among few, with the columns of both."""
+    few = few.withColumnsRenamed({k: f"of_{k}" for k in keys})
+    test = F.lit(True)
+    for k in keys:
+        test = test & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    return rows.join(few, test).drop(*(f"of_{k}" for k in keys))
+
+
+def with_mean(rows: DataFrame, keys: tuple[str, ...], *more: Column) -> DataFrame:
+    """By keys: more aggregates, and avg_score, the mean score to a tenth.
+
+    Sums are exact. Only where a mean lies exactly between two tenths does the order decide in doubles; for such groups, of which one with n scans is one with a chance of about 1 / n,
+    the scores are added in the order of scan_id, as SQL adds them in one thread.
+    """
+    exact = tenths(F.col("score"))
+    groups = rows.groupBy(*keys).agg(*more, F.count("score").alias("_n"), F.sum(exact).alias("_total"), F.count(exact).alias("_exact"), F.min("score").alias("_least"))
+    in_order = (F.col("_exact") < F.col("_n")) | half_tenth(F.col("_total"), F.col("_n")) | ((F.col("_total") == 0) & (F.col("_least") < 0))
+    w = Window.partitionBy(*keys).orderBy("scan_id")
+    near = same(rows.where("score IS NOT NULL").select(*keys, "scan_id", "score"), groups.where(in_order).select(*keys, "_n"), keys)
+    near = near.withColumn("k", F.row_number().over(w)).withColumn("_added", F.sum("score").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    added = near.where(F.col("k") == F.col("_n")).select(*(F.col(k).alias(f"of_{k}") for k in keys), "_added")
+    test = F.lit(True)
+    for k in keys:
+        test = test & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    mean = F.coalesce("_added", F.col("_total").cast("double")) / F.nullif(F.col("_n"), F.lit(0))
+    return groups.join(added, test, "left").withColumn("avg_score", rounded(mean)).drop("_n", "_total", "_exact", "_least", "_added", *(f"of_{k}" for k in keys))
+
+
 def timeline(scans: DataFrame, owner: int) -> DataFrame:
     return scans.where(F.col("owner_id") == owner).select("scan_id", F.date_format("upload_date", "yyyy-MM-dd").alias("day"), "score", "risk", "n_findings")
 
@@ -20,9 +65,8 @@ def timelines(scans: DataFrame) -> DataFrame:
 
 def summary(scans: DataFrame) -> DataFrame:
     """By owner: scans, mean, highest and lowest score, findings."""
-    return scans.groupBy("owner_id").agg(
-        F.count("*").alias("n_scans"), F.round(F.avg("score"), 1).alias("avg_score"), F.max("score").alias("max_score"), F.min("score").alias("min_score"), F.sum("n_findings").alias("n_findings")
-    )
+    rows = with_mean(scans, ("owner_id",), F.count("*").alias("n_scans"), F.max("score").alias("max_score"), F.min("score").alias("min_score"), F.sum("n_findings").alias("n_findings"))
+    return rows.select("owner_id", "n_scans", "avg_score", "max_score", "min_score", "n_findings")
 
 
 def risk_distribution(scans: DataFrame) -> DataFrame:
@@ -65,7 +109,8 @@ def trend(scans: DataFrame) -> DataFrame:
 
 def by_source(scans: DataFrame) -> DataFrame:
     source = F.when(F.startswith("source", F.lit("metadata")), "metadata").otherwise(F.col("source"))
-    return scans.groupBy(source.alias("source")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 1).alias("avg_score"), F.max("score").alias("max_score"), F.min("score").alias("min_score"))
+    rows = with_mean(scans.select(source.alias("source"), "scan_id", "score"), ("source",), F.count("*").alias("n"), F.max("score").alias("max_score"), F.min("score").alias("min_score"))
+    return rows.select("source", "n", "avg_score", "max_score", "min_score")
 
 
 def recent(scans: DataFrame, k: int = 20) -> DataFrame:
@@ -78,7 +123,8 @@ def daily_average(scans: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     spark = scans.sparkSession
     calendar = spark.range(1).select(F.explode(F.sequence(F.date_sub(F.to_date(F.lit(as_of)), days - 1), F.to_date(F.lit(as_of)))).alias("day"))
     since = F.date_sub(F.to_date(F.lit(as_of)), days - 1)
-    means = scans.where((F.to_date("upload_date") >= since) & (F.to_date("upload_date") <= F.to_date(F.lit(as_of)))).groupBy(F.to_date("upload_date").alias("day")).agg(F.round(F.avg("score"), 1).alias("avg_score"), F.count("*").alias("n"))
+    recent = scans.where((F.to_date("upload_date") >= since) & (F.to_date("upload_date") <= F.to_date(F.lit(as_of))))
+    means = with_mean(recent.select(F.to_date("upload_date").alias("day"), "scan_id", "score"), ("day",), F.count("*").alias("n"))
     return F.broadcast(calendar).join(means, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "avg_score", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -97,7 +143,8 @@ def batch_jobs(scans: DataFrame, per_job: int = 10) -> DataFrame:
     """Scans gathered in jobs: files, alerts, highest score and level, mean score."""
     jobs = scans.withColumn("job_id", F.floor(F.col("scan_id") / per_job))
     worst = F.max(F.struct(lookup(F.col("risk"), tables.RISK_RANK, 0).alias("rank"), F.col("risk")))
-    return jobs.groupBy("job_id").agg(F.count("*").alias("n_files"), F.count_if(F.col("score") >= 75).alias("n_alerts"), F.max("score").alias("max_score"), F.round(F.avg("score"), 1).alias("avg_score"), worst.alias("w")).withColumn("highest_risk", F.col("w.risk")).drop("w")
+    rows = with_mean(jobs, ("job_id",), F.count("*").alias("n_files"), F.count_if(F.col("score") >= 75).alias("n_alerts"), F.max("score").alias("max_score"), worst.alias("w"))
+    return rows.select("job_id", "n_files", "n_alerts", "max_score", "avg_score", F.col("w.risk").alias("highest_risk"))
 
 
 def across_jobs(jobs: DataFrame) -> DataFrame:
