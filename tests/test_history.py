@@ -58,3 +58,13 @@ def test_means_between_two_tenths_do_not_hang_on_the_order_of_partitions(spark):
     rows = _at_ties()
     wanted = {o: _to_a_tenth(s / n) for o, (s, n) in _sums(rows).items()}
     assert {r["owner_id"]: r["avg_score"] for r in history.summary(_dealt(spark, rows)).collect()} == wanted
+
+
+def test_trends_between_two_tenths_are_those_of_scores_added_in_order(spark):
+    rows = _at_ties() + [(10**6 + k, 10**6, t) for k, t in enumerate((3, 6, 1, 8))] + [(10**6 + 9, None, 7)]
+    late, early = _sums(rows, 10), _sums(rows, 0, 10)
+    late[10**6], early[10**6] = (0.1 + 0.8, 2), (0.3 + 0.6, 2)
+    wanted = {o: repr(_to_a_tenth(late[o][0] / late[o][1] - early[o][0] / early[o][1])) for o in late if o is not None}
+    found = {r["owner_id"]: repr(r["change"]) for r in history.trend(_dealt(spark, rows)).collect()}
+    assert found.pop(None) == "0.0"
+    assert found == wanted
