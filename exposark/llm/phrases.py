@@ -40,9 +40,10 @@ CHARS_A_CELL = 8
 #: Each row of the sketch is added up in so many blocks, all equally full.
 BLOCKS = 2048
 #: Bytes of text that are hashed or counted together, or one text where that has more.
-PIECE_BYTES = 6 << 20
-#: Cells of a row of the sketch that a task holds before it passes them on.
+PIECE_BYTES = 2 << 20
+#: Cells of a row of the sketch that a task holds before it passes them on, and the shares of its blocks in which it adds them up, so that what is added takes little beside what is held.
 PENDING = 8 << 20
+SECTIONS = 16
 #: The first phrases of a language are found in so many shares of its phrases before they are found among those.
 SHARES = 16
 
@@ -144,15 +145,20 @@ def sketched(rows: DataFrame, cells: int) -> DataFrame:
         pending: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
 
         def flush() -> Iterator[pa.RecordBatch]:
+            bounds = np.arange(1, SECTIONS, dtype=np.uint64) * np.uint64((cells << 4) // SECTIONS)
             for row in range(ROWS):
-                every = _added(pending[row])
+                edges_of = [[0, *np.searchsorted(part, bounds.astype(np.uint32)).tolist(), len(part)] for part in pending[row]]
+                for k in range(SECTIONS):
+                    every = _added([part[e[k] : e[k + 1]] for part, e in zip(pending[row], edges_of, strict=True)])
+                    if not len(every):
+                        continue
+                    found, counts = every >> np.uint32(4), (every & np.uint32(15)).astype(np.uint8)
+                    block, offset = found // width, found % width
+                    edges = [*np.flatnonzero(np.diff(block, prepend=np.uint32(0xFFFFFFFF))).tolist(), len(block)]
+                    made = [_packed(offset[a:b], counts[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+                    keys = pa.array(block[edges[:-1]].astype(np.int32) + np.int32(row * BLOCKS), pa.int32())
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(made, pa.binary())], schema=_CELLS)
                 pending[row].clear()
-                found, counts = every >> np.uint32(4), (every & np.uint32(15)).astype(np.uint8)
-                block, offset = found // width, found % width
-                edges = [*np.flatnonzero(np.diff(block, prepend=np.uint32(0xFFFFFFFF))).tolist(), len(block)]
-                made = [_packed(offset[a:b], counts[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-                keys = pa.array(block[edges[:-1]].astype(np.int32) + np.int32(row * BLOCKS), pa.int32())
-                yield pa.RecordBatch.from_arrays([keys, pa.array(made, pa.binary())], schema=_CELLS)
 
         for piece in _pieces(batches):
             for _, _, h in piece.hashes():

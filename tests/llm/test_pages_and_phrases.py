@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -221,3 +222,18 @@ def test_counts_are_exact_beyond_64_bits(spark):
     counts = spark.createDataFrame([("en", "a", 1, 9 * 10**15), ("en", "b", 1, 8 * 10**15), ("en", "a b", 2, 7 * 10**15)], "lang string, phrase string, words int, f long")
     row = phrases.scored(phrases.unsubsumed(counts), counts).first()
     assert row["score"] == 1000000 * (7 * 10**15) ** 2 // (9 * 10**15 * 8 * 10**15)
+
+
+def test_adding_up_takes_little_beside_what_is_held(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(phrases, "map_batches", lambda rows, run, schema: run)
+    deal = np.random.default_rng(5)
+    texts = ["".join(f"{w:x} " for w in deal.integers(0, 1 << 20, 20_000).tolist()) for _ in range(30)]
+    batches = [pa.RecordBatch.from_pydict({"lang": pa.array(["en"]), "text": pa.array([t])}) for t in texts]
+    tracemalloc.start()
+    made = sum(b.num_rows for b in phrases.sketched(None, 1 << 24)(iter(batches)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == 2 * phrases.BLOCKS
+    assert most < 40e6  # two rows of 1.8 million cells are 14 MB
