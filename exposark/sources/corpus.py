@@ -10,9 +10,12 @@ from exposark.functions.text import stripped
 
 SCANNABLE = (".pdf", ".png", ".jpg", ".jpeg", ".txt", ".docx", ".doc", ".html", ".csv")
 AS_OF = "2024-01-31"
+#: Bytes of an Arrow batch at most, or one row where that has more: a worker holds a batch of whole texts, not 10 000 rows of any length.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

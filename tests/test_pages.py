@@ -44,3 +44,22 @@ def test_near_words_plainly(spark):
 @pytest.mark.parametrize(("url", "name"), [("https://x.com/ann?x=1", "ann"), ("https://www.linkedin.com/in/bo-lee/", "bo-lee"), ("https://reddit.com/u/carl", "carl"), ("https://a.org/", None), (None, None)])
 def test_names_in_addresses(spark, url, name):
     assert spark.createDataFrame([(url,)], "u string").select(P.username(F.col("u"))).first()[0] == name
+
+
+def test_workers_get_batches_bounded_by_bytes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from exposark.sources import corpus
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.range(0, 200, 1, 1).select(F.col("id").alias("page_id"), F.repeat(F.lit("word "), 20_000).alias("html")).write.parquet(str(tmp_path / "pages.parquet"))
+
+    @F.arrow_udf("int")
+    def size(pages):
+        import pyarrow as pa
+
+        return pa.array([len(pages)] * len(pages), pa.int32())
+
+    sizes = [r["n"] for r in corpus.table(spark, str(tmp_path), "pages").select(size("html").alias("n")).collect()]
+    assert len(sizes) == 200
+    assert max(sizes) <= 60  # of 100 000 bytes each, 42 fill 4 MB; all 200 came at once before
