@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import string
+import sys
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -60,6 +62,56 @@ def test_stretches_give_what_single_pixels_give(monkeypatch):
         monkeypatch.undo()
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 8, 9, 64, 1000])
+def test_followed_steps_are_those_of_a_walk(n):
+    rng = np.random.default_rng(n)
+    for most in (1, 2, 15, 127):
+        steps = rng.integers(1, most + 1, n)
+        for start in (0, min(5, n)):
+            at, walk = start, []
+            while at < n:
+                walk.append(at)
+                at += int(steps[at])
+            places, beyond = webp.followed(steps, start)
+            assert places.tolist() == walk and beyond == at
+
+
+@pytest.mark.parametrize("before", [0, 1, 63, 64, 65])
+def test_numbers_at_the_end_are_their_bits(before):
+    rng = np.random.default_rng(before)
+    sizes = rng.integers(0, 64, 300)
+    values = rng.integers(0, 1 << 62, 300) & (1 << sizes) - 1
+    one, two = webp.Writer(), webp.Writer()
+    for out in (one, two):
+        out.parts.append("1" * before)
+    one.end(values, sizes)
+    for v, n in zip(values.tolist(), sizes.tolist(), strict=True):
+        two.write(v, n)
+    assert one.bytes() == two.bytes()
+
+
+def test_media_interprets_less_than_a_line_a_byte():
+    """Symbols and bit positions are looked up together, so that little of a text is gone through by interpreted code."""
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(3000))
+    webp.media(text)
+    lines = 0
+
+    def traced(frame, event, _):
+        nonlocal lines
+        lines += event == "line" and frame.f_code.co_filename == webp.__file__
+        return traced
+
+    before = sys.gettrace()
+    sys.settrace(traced)
+    try:
+        _, _, back = webp.media(text)
+    finally:
+        sys.settrace(before)
+    assert back[: len(text)] == text.encode()
+    assert lines < len(back)
+
+
 def test_media_of_ten_megabytes():
     rng = random.Random(2)
     words = ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(3000)]
