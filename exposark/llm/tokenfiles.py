@@ -18,7 +18,7 @@ own, in the order of a hash of their texts. A damaged block is an error when rea
 
 from __future__ import annotations
 
-import operator
+import itertools
 import re
 import struct
 import unicodedata
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -82,10 +83,11 @@ class Prior:
         counts = np.bincount(ids)
         known = np.flatnonzero(counts)
         n = len(known)
-        number = np.zeros(len(counts), np.int64)
+        kind = np.uint32 if (n + 1) * n < 1 << 32 else np.int64
+        number = np.zeros(len(counts), kind)
         number[known] = np.arange(n)
-        numbers = number.take(ids)
-        pairs = np.empty(len(ids), np.int64)
+        numbers = number.take(ids, mode="clip")
+        pairs = np.empty(len(ids), kind)
         pairs[1:] = numbers[:-1]
         pairs[::block] = n
         pairs *= n
@@ -93,7 +95,7 @@ class Prior:
         pairs.sort()
         edges = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
         times = np.diff(np.append(edges, len(pairs)))
-        first, second = np.divmod(pairs[edges], n)
+        first, second = np.divmod(pairs[edges].astype(np.int64), n)
         starts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
         rows = first[starts]
         classes = np.zeros(n + 1, np.int64)
@@ -129,13 +131,14 @@ class Prior:
 class Models:
     """Orders 1 and 2 of so many blocks that are coded in step. They change after each group of GROUP ids, and are the same within one."""
 
-    def __init__(self, lanes: int) -> None:
-        self.lanes, self.lane = lanes, np.arange(lanes, dtype=np.int32)
-        self.base = np.arange(lanes) * SLOTS
-        self.seen = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)  # four times the number, plus the confidence
+    def __init__(self, lanes: int, ids: int) -> None:
+        kind = np.uint16 if 4 * ids < 1 << 16 else np.int32  # what is seen has few bits where it can, as it is looked up all over the place
+        self.lanes, self.lane = lanes, np.arange(lanes)
+        self.base = np.arange(2 * lanes).reshape(2, lanes) * SLOTS
+        self.seen = np.zeros(2 * lanes * SLOTS, kind)  # both orders: four times the number, plus the confidence
         self.right, self.tried = np.repeat(FORESEEN * EVIDENCE, lanes), np.full(TRUSTS * TRUSTS * lanes, EVIDENCE)
         self.slots = np.zeros((2, GROUP, lanes), np.int64)
-        self.found = np.zeros((2, GROUP, lanes), np.int32)
+        self.found = np.zeros((2, GROUP, lanes), kind)
         self.row = np.zeros((GROUP, lanes), np.int64)
 
     def mix(self) -> None:
@@ -148,18 +151,27 @@ class Models:
         slots, found, row = self.slots[:, k:until], self.found[:, k:until], self.row[k:until]
         mixed = one * np.int32(0x9E37)
         for j, key in enumerate((mixed >> 6, mixed + two * np.int32(0x5BD1) >> 5)):
-            np.add(self.base, key & np.int32(SLOTS - 1), out=slots[j])
-            self.seen[j].take(slots[j], out=found[j], mode="clip")
-        np.add((((found[1] & 3) << 2) + (found[0] & 3)) * np.int32(self.lanes), self.lane, out=row)
-        return np.where(found[1] > 0, found[1], found[0]) >> 2, self.part.take(row)
+            key &= np.int32(SLOTS - 1)
+            np.add(self.base[j], key, out=slots[j])
+            self.seen.take(slots[j], out=found[j], mode="clip")
+        first, second = found
+        trust = second & 3
+        trust <<= 2
+        trust |= first & 3
+        np.multiply(trust, self.lanes, out=row)
+        row += self.lane
+        return np.where(second > 0, second, first) >> 2, self.part.take(row, mode="clip")
 
     def learn(self, numbers: np.ndarray, right: np.ndarray) -> None:
         """Learn the group: what followed, and where the guess was right."""
         n = len(numbers)
-        fresh = (numbers << 2) + 1
-        for seen, slot, x in zip(self.seen, self.slots[:, :n], self.found[:, :n], strict=True):
-            trust = x & 3
-            seen[slot] = np.where(x >> 2 == numbers, x + (trust < 3), np.where(trust == 3, x - 1, fresh))  # of several at one slot, the last stays
+        same = numbers.astype(self.seen.dtype) << 2
+        fresh = same + 1
+        for slot, x in zip(self.slots[:, :n], self.found[:, :n], strict=True):
+            sure = x | 3
+            after = np.where(x == sure, x - 1, fresh)
+            np.copyto(after, np.minimum(x + 1, sure), where=sure - same == 3)
+            self.seen[slot.reshape(-1)] = after.reshape(-1)  # of several at one slot, the last stays
         row, size = self.row[:n], len(self.tried)
         self.right += np.bincount(row[right], minlength=size)
         self.tried += np.bincount(row.reshape(-1), minlength=size)
@@ -182,10 +194,10 @@ def encode_piece(ids: np.ndarray, block: int) -> bytes:
     pair = np.zeros(CLASSES * n, np.int64)
     pair[prior.places] = np.arange(len(prior.places))
     before = prior.classes * n
-    models = Models(lanes)
+    models = Models(lanes, n)
     low, wide = np.zeros(lanes), np.full(lanes, LEAST * DIGIT)
     room = 2 * width + 8
-    at, out = np.arange(lanes) * room, np.zeros(lanes * room)
+    at, out = np.arange(lanes) * room, np.zeros(lanes * room, np.int32)
     for t in range(0, width, GROUP):
         until = min(t + GROUP, width)
         one, now = columns[t + 1 : until + 1], columns[t + 2 : until + 2]
@@ -193,9 +205,11 @@ def encode_piece(ids: np.ndarray, block: int) -> bytes:
         guess, part = models.foresee(0, until - t, one, columns[t:until])
         right = (now == guess) & (part > 0)
         rest = (TOTAL - part) * 2.0**-prior.bits
-        place = pair.take(before.take(one) + now)
-        start = part + np.floor(prior.below.take(place) * rest)
-        share = part + np.floor(prior.above.take(place) * rest)
+        place = before.take(one, mode="clip")
+        place += now
+        place = pair.take(place, mode="clip")
+        start = part + np.floor(prior.below.take(place, mode="clip") * rest)
+        share = part + np.floor(prior.above.take(place, mode="clip") * rest)
         np.copyto(start, 0.0, where=right)
         np.copyto(share, part, where=right)
         share -= start
@@ -209,7 +223,8 @@ def encode_piece(ids: np.ndarray, block: int) -> bytes:
             due = wide < LEAST
             while due.any():
                 digit = np.floor(low * (1 / LEAST))  # may be over a digit: what is carried is settled below
-                out[at] = digit
+                ready = np.flatnonzero(due)
+                out[at.take(ready)] = digit.take(ready)
                 at += due
                 low -= digit * (due * LEAST)
                 up = np.where(due, DIGIT, 1.0)
@@ -219,7 +234,7 @@ def encode_piece(ids: np.ndarray, block: int) -> bytes:
         models.learn(now, right)
     out[at] = np.ceil(low * (1 / LEAST))
     at += 1 - np.arange(lanes) * room
-    digits = out.reshape(lanes, room)[:, : at.max()].astype(np.int32)
+    digits = out.reshape(lanes, room)[:, : at.max()].copy()
     while (digits > 0xFFFF).any():
         carry = digits >> 16
         digits &= 0xFFFF
@@ -240,22 +255,23 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
 def decode_piece(prior: Prior, heads: list[tuple[int, int, int]], coded: list[bytes]) -> list[np.ndarray]:
     """The ids of blocks. A block shorter than the longest is read on over its end, and what that gives is left out."""
     lanes, width = len(heads), max(h[0] for h in heads)
-    models = Models(lanes)
     n = len(prior.ids)
+    models = Models(lanes, n)
     room = max(map(len, coded)) // 2 + 8
     stream = np.zeros((lanes, room), "<u2")
     for k, x in enumerate(coded):
         stream[k, : len(x) // 2] = np.frombuffer(x, "<u2")
-    stream = stream.reshape(-1).astype(float)
+    stream = stream.reshape(-1)
     at, ahead = np.arange(lanes) * room, np.zeros(lanes)  # ahead: the stream's number less the lower end of the range
     for _ in range(3):
         ahead = ahead * DIGIT + stream.take(at)
         at += 1
     wide = np.full(lanes, LEAST * DIGIT)
     columns = np.full((width + 2, lanes), n, np.int32)
-    pair = np.repeat(np.arange(len(prior.places), dtype=np.int32), prior.shares)
-    number = (prior.places % n).astype(np.int32)
-    first = prior.classes << prior.bits
+    # by place in a class's distribution: number, share and what lies below, in one number of 17, 23 and 23 bits
+    below = prior.below.astype(np.int64)
+    pair = np.repeat((prior.places % n) << 46 | prior.shares << 23 | below, prior.shares)
+    first = (prior.classes << prior.bits) - 1
     right = np.zeros((GROUP, lanes), bool)
     for t in range(0, width, GROUP):
         until = min(t + GROUP, width)
@@ -272,14 +288,22 @@ def decode_piece(prior: Prior, heads: list[tuple[int, int, int]], coded: list[by
             value += 1
             value /= rest
             place = np.ceil(value, out=value).astype(np.int64)
-            place += first.take(one)
-            place -= 1
-            place = pair.take(place, mode="clip")
-            start = part + np.floor(prior.below.take(place) * rest)
-            share = part + np.floor(prior.above.take(place) * rest)
+            place += first.take(one, mode="clip")
+            found = pair.take(place, mode="clip")
+            start = found & 0x7FFFFF
+            found >>= 23
+            share = found & 0x7FFFFF
+            share += start
+            found >>= 23
+            start, share = start * rest, share * rest
+            np.floor(start, out=start)
+            np.floor(share, out=share)
+            start += part
+            share += part
             np.copyto(start, 0.0, where=foreseen)
             np.copyto(share, part, where=foreseen)
-            columns[k + 2] = np.where(foreseen, guess, number.take(place))
+            np.copyto(found, guess, where=foreseen)
+            columns[k + 2] = found
             share -= start
             start *= unit
             ahead -= start
@@ -338,10 +362,9 @@ APART = ("  ", " \n", "\n ", "\x85", "\xa0")
 LONGEST_REMEMBERED = 64
 #: Pieces of up to so many characters are remembered for themselves.
 SHORT = 2
-#: Signs that end a word and are a piece of their own after letters.
-ENDS = tuple(".,;:!?)")
+#: What stands behind the letters of a word is remembered for itself up to so many characters.
+SIGNS = 4
 LAST_LATIN = chr(LATIN)
-ID_OF = operator.attrgetter("id")
 
 
 class Tokens:
@@ -361,56 +384,117 @@ class Tokens:
         digits = re.escape("".join(c for c in map(chr, range(LATIN)) if unicodedata.category(c)[0] == "N"))
         latin = self.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{digits}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{digits}]")
         self.split_latin = re.compile(latin).findall
+        self.letters = re.compile(f"[{letters}]*").match
         self.beyond_latin = re.compile(f"[^\x00-{chr(LATIN - 1)}]|[\x1c-\x1f\x85]").search
         self.newest = regex.compile(f"[{NEW_LETTERS}{NEW_NUMBERS}]").search
         self.tokenize = self.library.model.tokenize
         self.bytes = {chr(b): symbol for b, symbol in byte_symbols().items()}
         self.symbols = {k: "".join(self.bytes[c] for c in chr(k).encode().decode("latin-1")) for k in range(LATIN)}
+        self.space = self.symbols[ord(" ")]
         self.short: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
-        special = any(s in text for s in self.special)
-        if not special and not text.encode("utf-8", "surrogatepass").translate(None, PLAIN) and not any(x in text for x in APART):
-            # a piece takes a single space as its first character or not at all, and a lone line end is a piece of its own:
-            # words are encoded apart, each with the space or line end before it
-            first, *words = (text if "\n\n" in text else text.replace("\n", " \n")).split(" ")
-            found = list(map(self.young.get, words))
-            if None in found:
-                found = [self.remember(w) if f is None else f for w, f in zip(words, found, strict=True)]
-            return b"".join([*map(self.modelled, self.split_latin(first)), *found])
-        beyond = self.beyond_latin(text)
-        if special or beyond and self.newest(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.modelled, (self.split if beyond else self.split_latin)(text)))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Texts that can be parted at spaces have their different words looked up once for all of them."""
+        out = [b""] * len(texts)
+        plain: list[int] = []
+        for k, text in enumerate(texts):
+            special = any(s in text for s in self.special)
+            if not text:
+                continue
+            if not special and not text.encode("utf-8", "surrogatepass").translate(None, PLAIN) and not any(x in text for x in APART):
+                plain.append(k)
+                continue
+            beyond = self.beyond_latin(text)
+            if special or beyond and self.newest(text):
+                out[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                out[k] = b"".join(map(self.modelled, (self.split if beyond else self.split_latin)(text)))
+        if plain:
+            for k, ids in zip(plain, self.parted([texts[k] for k in plain]), strict=True):
+                out[k] = ids
+        return out
+
+    def parted(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of some texts, none of them empty, that can be parted at spaces."""
+        # a piece takes a single space as its first character or not at all, and a lone line end is a piece of its own:
+        # words are encoded apart, each with the space or line end before it
+        words = pc.split_pattern(pa.array([t if "\n\n" in t else t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        edges = words.offsets.to_numpy().astype(np.int64)
+        encoded = words.flatten().dictionary_encode()
+        different = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which = encoded.indices.to_numpy().astype(np.int64)
+        found = list(map(self.young.get, different))
+        missing = [k for k, f in enumerate(found) if f is None]
+        for k, f in zip(missing, self.remember([different[k] for k in missing]), strict=True):
+            found[k] = f
+        # no space stands before the first word of a text
+        firsts = [different[k] for k in which.take(edges[:-1]).tolist()]
+        which[edges[:-1]] = len(found) + np.arange(len(firsts))
+        found += [b"".join(map(self.modelled, self.split_latin(w))) for w in firsts]
+        known = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        starts = sizes.cumsum() - sizes
+        n = sizes.take(which)
+        ends = np.append(0, n.cumsum())
+        place = (starts.take(which) - ends[:-1]).repeat(n)
+        place += np.arange(len(place))
+        ids = known.take(place, mode="clip") if len(place) else known[:0]
+        bounds = ends.take(edges).tolist()
+        return [ids[a:b].tobytes() for a, b in itertools.pairwise(bounds)]
 
     def modelled(self, piece: str) -> bytes:
         """What the library's byte-level pre-tokeniser hands to its model, by that model."""
         found = self.short.get(piece)
         if found is None:
             symbols = piece.translate(self.symbols) if len(piece) <= LONGEST_REMEMBERED and max(piece) < LAST_LATIN else "".join(map(self.bytes.__getitem__, piece.encode().decode("latin-1")))
-            found = array("I", list(map(ID_OF, self.tokenize(symbols)))).tobytes()
+            found = array("I", [t.id for t in self.tokenize(symbols)]).tobytes()
             if len(piece) <= SHORT and len(self.short) < REMEMBERED:
                 self.short[piece] = found
         return found
 
-    def remember(self, word: str) -> bytes:
-        """The ids of a word after a space, or of one that begins with a line end, that the younger generation lacks; when that is full, it becomes the older one."""
-        found = self.young.get(word) or self.old.get(word)
+    def remember(self, words: list[str]) -> list[bytes]:
+        """The ids of words after a space, or of such that begin with a line end, that the younger generation lacks; when that is full, it becomes the older one."""
+        out = []
+        space, symbols, tokenize, letters = self.space, self.symbols, self.tokenize, self.letters
+        for word in words:
+            found = self.old.get(word)
+            if found is None:
+                # letters, and pieces behind them that do not depend on the letters
+                head = word if word.isalpha() else letters(word)[0]
+                if len(head) > SHORT:
+                    found = self.young.get(head) or self.old.get(head)
+                    if found is None:
+                        found = array("I", [t.id for t in tokenize(space + (head if head.isascii() else head.translate(symbols)))]).tobytes()
+                        if head is not word:
+                            self.keep(head, found)
+                    if head is not word:
+                        found += self.behind(word[len(head) :])
+                else:
+                    found = b"".join(map(self.modelled, self.split_latin(word if word[:1] == "\n" else " " + word)))
+            self.keep(word, found)
+            out.append(found)
+        return out
+
+    def behind(self, rest: str) -> bytes:
+        """The ids of what stands behind the letters of a word, up to the next space. Signs are few, so they are remembered for themselves."""
+        found = self.short.get(rest)
         if found is None:
-            if word.isalpha() and len(word) > SHORT:
-                found = array("I", list(map(ID_OF, self.tokenize(f" {word}".translate(self.symbols))))).tobytes()
-            elif word[-1:] in ENDS and word[:-1].isalpha():  # two pieces, the first of which may be known
-                found = (self.young.get(word[:-1]) or self.remember(word[:-1])) + self.modelled(word[-1])
-            else:
-                found = b"".join(map(self.modelled, self.split_latin(word if word[:1] == "\n" else " " + word)))
+            found = b"".join(map(self.modelled, self.split_latin(rest)))
+            if len(rest) <= SIGNS and len(self.short) < REMEMBERED:
+                self.short[rest] = found
+        return found
+
+    def keep(self, word: str, found: bytes) -> None:
         if len(word) <= LONGEST_REMEMBERED:
             if len(self.young) >= REMEMBERED:
                 self.old, self.young = self.young, {}
             self.young[word] = found
-        return found
 
 
 _loaded: dict[str, Tokens] = {}
@@ -455,8 +539,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary_path: str | None = None, en
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["part", "chunk", "first", "n_ids", "doc_ids", "counts", "blocks"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tokens.encode(text or "") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode_all([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+                ids += end
                 doc_ids.append(doc_id)
                 counts.append(len(ids) // 4)
                 parts.append(ids)

@@ -349,6 +349,34 @@ def test_pieces_are_the_library(text):
     assert np.frombuffer(tokens.encode(text), "<u4").tolist() == tokens.library.encode(text, add_special_tokens=False).ids
 
 
+def test_letters_of_a_word_go_to_the_library_once():
+    tokens = tokenfiles.Tokens(tokenfiles.default_path())
+    text, asked, ask = "x zqwordlet zqwordlet, zqwordlet$$$ zqwordlet.%%% zqwordlet'll zqwordlet7", [], tokens.tokenize
+
+    def counted(symbols):
+        asked.append(symbols)
+        return ask(symbols)
+
+    tokens.tokenize = counted
+    ids = np.frombuffer(tokens.encode(text), "<u4").tolist()
+    assert ids == tokens.library.encode(text, add_special_tokens=False).ids
+    assert sum("zqwordlet" in symbols for symbols in asked) == 1
+
+
+def test_texts_of_a_batch_are_the_library_each():
+    tokens = tokenfiles.load(tokenfiles.default_path())
+    some = ["", "a b", "a", " a b", "über größe, ab", "<|endoftext|> a", "中 文", "b a$$$ b.,!", "a\nb c\n", "a\n\nb.\n\nc", "a b ", "x" * 300 + " y", "a b"]
+    for texts in (some, some[::-1], [""], []):
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode_all(texts)] == [tokens.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("kinds", [300, (1 << 14) - 1, 1 << 14, 70_000])
+def test_ids_of_few_and_many_kinds_round_trip(kinds):
+    """What the models have seen is kept in 16 bits up to some number of different ids, pairs of ids in 32."""
+    ids = np.random.default_rng(kinds).permutation(np.arange(2 * kinds) % kinds)
+    assert (tokenfiles.decode_ids(tokenfiles.encode_ids(ids, 256)) == ids).all()
+
+
 # toxicity
 
 
