@@ -541,13 +541,14 @@ def write_ids(docs: DataFrame, path: str, vocabulary_path: str | None = None, en
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode_all([x or "" for x in batch.column(1).to_pylist()]), strict=True):
                 ids += end
-                doc_ids.append(doc_id)
-                counts.append(len(ids) // 4)
-                parts.append(ids)
-                total += counts[-1]
-                if total >= CHUNK:
+                n = len(ids) // 4
+                if doc_ids and total + n > CHUNK:  # a chunk of a piece and a few ids more would take nearly as many steps for those
                     yield close()
                     first, chunk, total, doc_ids, counts, parts = first + total, chunk + 1, 0, [], [], []
+                doc_ids.append(doc_id)
+                counts.append(n)
+                parts.append(ids)
+                total += n
         if doc_ids:
             yield close()
 

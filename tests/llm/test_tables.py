@@ -183,6 +183,20 @@ def test_mixture_takes_what_it_should(spark):
     assert Counter(r["doc_id"] for r in mixture.mixed(table).collect()) == Counter({r["doc_id"]: r["copies"] for r in out if r["copies"] and r["size"]})
 
 
+def test_chunks_are_no_larger_than_a_piece(spark, tmp_path):
+    """A chunk of a little more than a piece would be coded as that piece and a second one of a few blocks."""
+    texts = ["one two " * (tokenfiles.CHUNK // 5)] * 3
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        tokenfiles.write_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "ids"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    rows = spark.read.parquet(str(tmp_path / "ids")).collect()
+    assert sum(len(r["counts"]) for r in rows) == 3
+    assert all(r["n_ids"] <= tokenfiles.CHUNK and r["n_ids"] == sum(r["counts"]) for r in rows)
+
+
 def test_token_files_plainly(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     library = tokenfiles.load(tokenfiles.default_path()).library
