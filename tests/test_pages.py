@@ -68,7 +68,7 @@ def test_workers_get_batches_bounded_by_bytes(spark, tmp_path):
 CUT = ("token = &quot", "Ann said token = &quot", "R&amp;D &am", "R&amp", "two &copy", "&quo", "&amplify", "a &quot;b&quot; &amp;quot; c")
 
 
-@pytest.mark.parametrize("name", ["page_texts", "page_profile_text", "page_profiles", "url_findings"])
+@pytest.mark.parametrize("name", ["page_texts", "page_profile_text", "page_profiles", "url_findings", "url_score"])
 def test_references_cut_short_are_read_as_in_sql(spark, tmp_path, name):
     import duckdb
 
